@@ -119,15 +119,22 @@ def range_stats(values: Column, empty: float = 0.0) -> dict[str, Column]:
 def moment_stats(values: Column, empty: float = 0.0) -> dict[str, Column]:
     """Min, max, mean and population standard deviation of an array."""
     some = F.size(values) > 0
-    n = F.size(values)
     zero = F.lit(0.0)
-    mean = F.aggregate(values, zero, lambda a, x: a + x.cast("double")) / n
-    var = F.aggregate(values, zero, lambda a, x: a + F.pow(x.cast("double") - mean, F.lit(2.0))) / n
+    start = F.struct(zero.alias("n"), zero.alias("mean"), zero.alias("m2"))
+
+    def step(a, x):
+        d = x.cast("double") - a["mean"]
+        mean = a["mean"] + d / (a["n"] + 1.0)
+        return F.struct((a["n"] + 1.0).alias("n"), mean.alias("mean"),
+                        (a["m2"] + d * (x.cast("double") - mean)).alias("m2"))
+
+    std = F.aggregate(values, start, step, lambda a: F.sqrt(a["m2"] / F.greatest(a["n"], F.lit(1.0))))
+    mean = F.aggregate(values, zero, lambda a, x: a + x.cast("double")) / F.size(values)
     e = F.lit(float(empty))
     return {"min": F.when(some, F.array_min(values).cast("double")).otherwise(e),
             "max": F.when(some, F.array_max(values).cast("double")).otherwise(e),
             "mean": F.when(some, mean).otherwise(e),
-            "std": F.when(some, F.sqrt(var)).otherwise(e)}
+            "std": F.when(some, std).otherwise(e)}
 
 
 def slot_column_name(address: str, prefix: str) -> str:
@@ -175,11 +182,19 @@ def hex_word(hex_text: Column, index: int) -> Column:
     return F.substring(hex_text, 4 * index + 1, 4)
 
 
-def first_key_values(keys: Column, values: Column, last: bool = False) -> Column:
-    """Zip addresses with values to the shorter list; on a repeated address the first (or last) wins."""
+def zip_shortest(keys: Column, values: Column) -> Column:
+    """``array<struct<k,v>>`` of two arrays cut to the shorter one."""
     n = F.least(F.size(keys), F.size(values))
-    pairs = F.arrays_zip(F.slice(keys, F.lit(1), n).alias("k"), F.slice(values, F.lit(1), n).alias("v"))
-    keep = F.filter(pairs, lambda p, i: F.when(
-        F.lit(last), ~F.array_contains(F.slice(keys, i + 2, F.greatest(n - i - 1, F.lit(0))), p["0"])
-    ).otherwise(F.array_position(keys, p["0"]) == i + 1))
-    return keep
+    return F.transform(F.slice(keys, F.lit(1), n), lambda k, i: F.struct(
+        k.alias("k"), F.get(values, i).alias("v")))
+
+
+def pair_map(pairs: Column, last: bool = False) -> Column:
+    """Map of address to value; on a repeated address the first (or last) pair wins."""
+    keys = F.transform(pairs, lambda p: p["k"])
+
+    def wins(p, i):
+        rest = F.slice(keys, i + 2, F.size(keys)) if last else F.slice(keys, F.lit(1), i)
+        return ~F.array_contains(rest, p["k"])
+
+    return F.map_from_entries(F.filter(pairs, wins))

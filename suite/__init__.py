@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ("packets", "sequences")
+_MODULES = ("packets", "sequences", "fitting", "matching")
 
 
 def load():
