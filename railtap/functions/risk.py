@@ -68,7 +68,7 @@ def severity(score: Column, threshold: Column) -> Column:
 def likelihood(score: Column, threshold: Column, temporal_max: Column, pattern_prob: Column) -> Column:
     """Noisy-or of severity, the worst step and how unsure the pattern is."""
     temporal = clamp(F.log10(F.greatest(temporal_max, F.lit(0.0)) + 1.0) / TEMPORAL_DECADES)
-    semantic = F.coalesce(clamp(1.0 - pattern_prob), F.lit(0.0))
+    semantic = F.when(pattern_prob.isNotNull(), clamp(1.0 - pattern_prob)).otherwise(F.lit(0.0))
     miss = F.lit(1.0)
     for part, weight in ((severity(score, threshold), WEIGHT_SEVERITY), (temporal, WEIGHT_TEMPORAL),
                          (semantic, WEIGHT_SEMANTIC)):
@@ -81,7 +81,8 @@ def confidence(score: Column, threshold: Column, pattern_prob: Column, entropy:
     of_score = sigmoid((_ratio(score, threshold) - 1.0) * CONFIDENCE_SLOPE)
     top = F.when(classes >= 2, F.log(classes.cast("double"))).otherwise(F.lit(log(DEFAULT_CLASSES)))
     spread = clamp(entropy / F.greatest(top, F.lit(1e-9)))
-    of_pattern = F.coalesce(0.5 * clamp(pattern_prob) + 0.5 * (1.0 - spread), F.lit(0.5))
+    known = pattern_prob.isNotNull() & entropy.isNotNull()
+    of_pattern = F.when(known, 0.5 * clamp(pattern_prob) + 0.5 * (1.0 - spread)).otherwise(F.lit(0.5))
     return clamp(WEIGHT_ANOMALY * of_score + WEIGHT_PATTERN * of_pattern)
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ("packets", "sequences", "fitting", "matching")
+_MODULES = ("packets", "sequences", "fitting", "matching", "scoring", "evaluation")
 
 
 def load():
