@@ -10,13 +10,10 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Each pattern is applied with regexp_extract, which yields the whole match or
-# empty text; an empty text never casts.  One look at the input per reading keeps
-# the expressions small, and with them the generated code.
+# Plain digits are by far the most common text, so every reading tries the cast
+# first and looks at patterns only when that fails: CASE and coalesce are lazy.
 _FLOAT = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
 _FLOAT_OR_WORD = r"^[+-]?((\d+\.?\d*|\.\d+)([eE][+-]?\d+)?|[nN][aA][nN]|[iI][nN][fF]([iI][nN][iI][tT][yY])?)$"
-_DIGITS = r"^[+-]?[0-9]+$"
-_LITERAL_INT = r"^[+-]?(0+|[1-9][0-9]*)$"
 _LIST = r"(?s)^\[.*\]$"
 _MAX_EXACT = 9.2e18
 
@@ -34,30 +31,27 @@ def _trunc(d: Column) -> Column:
     return F.when(F.abs(d) < _MAX_EXACT, d.cast("bigint"))
 
 
-def _digits(s: Column, pattern: str) -> Column:
-    return _bigint(F.regexp_extract(s, pattern, 0))
-
-
-def _prefixed(s: Column, letter: str, digits: str, most: int, base: int) -> Column:
+def _prefixed(t: Column, letter: str, digits: str, most: int, base: int) -> Column:
     """Signed ``0x``-style literal to BIGINT, null when it is not one or has over ``most`` significant digits."""
     mark = f"0[{letter}{letter.upper()}]"
-    text = F.regexp_extract(s, f"^[+-]?{mark}0*[{digits}]{{1,{most}}}$", 0)
     # a negative target base makes conv read and write the sign
-    return _bigint(F.conv(F.regexp_replace(text, f"^\\+?(-?){mark}", "$1"), base, -10))
+    value = F.conv(F.regexp_replace(t, f"^\\+?(-?){mark}", "$1"), base, -10)
+    return F.when(t.rlike(f"^[+-]?{mark}0*[{digits}]{{1,{most}}}$"), _bigint(value))
 
 
-def hex_literal(s: Column) -> Column:
-    return _prefixed(s, "x", "0-9A-Fa-f", 15, 16)
+def hex_literal(t: Column) -> Column:
+    return _prefixed(t, "x", "0-9A-Fa-f", 15, 16)
 
 
 def py_float(s: Column, finite: bool = False) -> Column:
     """Text to DOUBLE by the usual float grammar (no ``1d`` suffixes); null when it does not parse."""
-    return _double(F.regexp_extract(F.trim(s), _FLOAT if finite else _FLOAT_OR_WORD, 0))
+    return F.coalesce(_bigint(s).cast("double"),
+                      _double(F.regexp_extract(F.trim(s), _FLOAT if finite else _FLOAT_OR_WORD, 0)))
 
 
 def first_item(s: Column) -> Column:
     """First element when the text is a non-empty JSON list, else the text itself."""
-    return F.coalesce(F.get_json_object(s, "$[0]"), s)
+    return F.when(F.trim(s).startswith("["), F.coalesce(F.get_json_object(s, "$[0]"), s)).otherwise(s)
 
 
 def coerce_scalar(s: Column) -> Column:
@@ -67,7 +61,7 @@ def coerce_scalar(s: Column) -> Column:
     that parses becomes a float, anything else (blank included) stays text.
     """
     t = F.trim(s)
-    as_int = F.coalesce(hex_literal(t), _digits(t, r"^-?[0-9]+$"))
+    as_int = F.coalesce(F.when(~t.startswith("+"), _bigint(t)), hex_literal(t))
     as_float = F.when(as_int.isNull() & t.rlike("[.eE]"), py_float(t))
     text = F.when(as_int.isNull() & as_float.isNull(), s)
     return F.struct(as_int.alias("i"), as_float.alias("d"), text.alias("s"))
@@ -77,7 +71,15 @@ def to_int(s: Column) -> Column:
     """Integer only when the value is integral (``6.0`` is, ``6.5`` is not); hex accepted; else null."""
     t = F.trim(s)
     d = py_float(t, finite=True)
-    return F.coalesce(hex_literal(t), _digits(t, _DIGITS), F.when(d == F.floor(d), _trunc(d)))
+    return F.coalesce(_bigint(t), hex_literal(t), F.when(d == F.floor(d), _trunc(d)))
+
+
+def _literal(t: Column) -> Column:
+    """Integer literal of trimmed text; a leading zero is fine only for zero itself."""
+    v = _bigint(t)
+    plain = F.when((v == 0) | ~F.ltrim(t, F.lit("+-")).startswith("0"), v)
+    return F.when(v.isNotNull(), plain).otherwise(
+        F.coalesce(hex_literal(t), _prefixed(t, "o", "0-7", 20, 8), _prefixed(t, "b", "01", 62, 2)))
 
 
 def safe_int(s: Column, default: int | None = 0) -> Column:
@@ -85,9 +87,7 @@ def safe_int(s: Column, default: int | None = 0) -> Column:
 
     A JSON list is read through its first element.
     """
-    t = F.trim(first_item(s))
-    v = F.coalesce(hex_literal(t), _prefixed(t, "o", "0-7", 20, 8), _prefixed(t, "b", "01", 62, 2),
-                   _digits(t, _LITERAL_INT))
+    v = _literal(F.trim(F.when(F.ltrim(s).startswith("["), F.get_json_object(s, "$[0]")).otherwise(s)))
     return v if default is None else F.coalesce(v, F.lit(default).cast("bigint"))
 
 
@@ -95,8 +95,9 @@ def safe_int_offline(s: Column, default: int = 0) -> Column:
     """Labelling-job variant: first non-null list element, ``0x`` or plain digits (leading zeros fine)."""
     t = F.trim(s)
     items = F.filter(F.from_json(t, "array<string>"), lambda x: x.isNotNull())
-    t = F.trim(F.when(t.rlike(_LIST), F.get(items, 0)).otherwise(t))
-    v = F.coalesce(hex_literal(t), _digits(t, _DIGITS))
+    first = F.trim(F.get(items, 0))
+    v = F.when(t.startswith("["), F.coalesce(_bigint(first), hex_literal(first))).otherwise(
+        F.coalesce(_bigint(t), hex_literal(t)))
     return F.coalesce(v, F.lit(default).cast("bigint"))
 
 
@@ -107,8 +108,8 @@ def safe_float(s: Column, default: float = -1.0, finite: bool = False) -> Column
 
 def hex_or_decimal_int(s: Column) -> Column:
     """``0x`` text or a decimal (truncated) to BIGINT; ``nan``, non-finite and other text give null."""
-    t = F.lower(F.trim(s))
-    return F.coalesce(hex_literal(t), _digits(t, _DIGITS), _trunc(py_float(t, finite=True)))
+    t = F.trim(s)
+    return F.coalesce(_bigint(t), hex_literal(t), _trunc(py_float(t, finite=True)))
 
 
 def hex_or_decimal_float(s: Column) -> Column:
@@ -162,7 +163,7 @@ def float_list(s: Column) -> Column:
 def int_list(s: Column) -> Column:
     """JSON list (numbers truncate) or delimited text of integer literals -> integers, bad items dropped."""
     listed = F.transform(_json_items(s), lambda x: F.coalesce(
-        _digits(F.trim(x), _DIGITS), _trunc(py_float(x, finite=True))))
+        _bigint(x), _trunc(py_float(x, finite=True))))
     text = F.transform(F.split(F.trim(s), "[,; ]"), lambda x: safe_int(x, None))
     nums = F.filter(F.coalesce(listed, text), lambda x: x.isNotNull())
     return F.coalesce(nums, F.array().cast("array<bigint>"))

@@ -12,6 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from railtap.operators.order import Track, numeric_blocks, with_neighbour, with_running_sum
+from railtap.session import checkpoint
 
 # Percentile levels of a score distribution.
 PERCENT_LEVELS = [*range(5, 100, 5), 99]
@@ -90,6 +91,7 @@ def exact_percentiles(df: DataFrame, by, value: str, levels: list[float]) -> Dat
     by = _by(by)
     counts = (df.where(F.col(value).isNotNull()).withColumn("_g", F.lit(0))
               .groupBy("_g", *by, F.col(value).cast("double").alias("_x")).agg(F.count(F.lit(1)).alias("_n")))
+    counts = checkpoint(df.sparkSession, counts, "values")   # read three times below
     t = Track(("_g", *by), ("_x",), F.col("_b"))
     cum = with_running_sum(numeric_blocks(counts, "_x", "_b"), t, {"_cum": F.col("_n")})
     spot = [F.struct(F.lit(float(q)).alias("level"), (F.lit(q / 100.0) * (F.col("_cum_total") - 1)).alias("rank"))
@@ -132,6 +134,7 @@ def score_steps(df: DataFrame, by, y_true: str, score: str) -> tuple[DataFrame,
     at = df.groupBy(*by, F.col(score).cast("double").alias("score")).agg(
         F.count_if(F.col(y_true) == 1).alias("pos_at"), F.count_if(F.col(y_true) != 1).alias("neg_at"))
     at = at.withColumn("_g", F.lit(0)).withColumn("_down", -F.col("score"))
+    at = checkpoint(df.sparkSession, at, "scores")   # read three times below
     t = Track(("_g", *by), ("_down",), F.col("_b"))
     cum = with_running_sum(numeric_blocks(at, "_down", "_b"), t,
                            {"pos": F.col("pos_at"), "neg": F.col("neg_at")})
@@ -183,17 +186,25 @@ def one_vs_rest(df: DataFrame, label: str, probs: str, ident: str) -> DataFrame:
 def multiclass_auc(df: DataFrame, label: str, probs: str, ident: str, top_n: int) -> DataFrame:
     """AUC rows: ``micro`` (all classes pooled), ``macro`` and the ``top_n`` classes by support."""
     rows = one_vs_rest(df, label, probs, ident)
-    per = curve_areas(rows, "cls", "hit", "prob")
-    micro = curve_areas(rows.withColumn("cls", F.lit(-1)), "cls", "hit", "prob")
-    scope = F.lit(None).cast("int")
-    macro = per.agg(F.when(F.count_if(F.col("roc_auc").isNull()) == 0, F.avg("roc_auc")).alias("roc_auc"))
-    ranked = per.orderBy(F.col("positives").desc(), "cls").limit(top_n).where(F.col("roc_auc").isNotNull())
-    return (micro.select(F.lit("micro").alias("scope"), scope.alias("cls"), "roc_auc",
-                         F.col("positives").alias("support"))
-            .unionByName(macro.select(F.lit("macro").alias("scope"), scope.alias("cls"), "roc_auc",
-                                      F.lit(None).cast("bigint").alias("support")))
-            .unionByName(ranked.select(F.lit("class").alias("scope"), F.col("cls"), "roc_auc",
-                                       F.col("positives").alias("support"))))
+    both = rows.withColumn("cls", F.explode(F.array(F.col("cls"), F.lit(-1))))   # -1: all classes pooled
+    areas = curve_areas(both, "cls", "hit", "prob")
+    # one entry per class from here on; a single pass over it gives all three kinds of rows
+    entry = F.struct((-F.col("positives")).alias("order"), "cls", "roc_auc", F.col("positives").alias("support"))
+    g = areas.agg(F.array_sort(F.collect_list(entry)).alias("a"))
+    per = F.filter("a", lambda e: e["cls"] >= 0)
+    known = F.filter(per, lambda e: e["roc_auc"].isNotNull())
+    mean = F.aggregate(known, F.lit(0.0), lambda t, e: t + e["roc_auc"]) / F.size(per)
+
+    def row(scope: str, cls: Column, auc: Column, support: Column) -> Column:
+        return F.struct(F.lit(scope).alias("scope"), cls.cast("int").alias("cls"), auc.alias("roc_auc"),
+                        support.cast("bigint").alias("support"))
+
+    null = F.lit(None)
+    micro = F.transform(F.filter("a", lambda e: e["cls"] < 0), lambda e: row("micro", null, e["roc_auc"], e["support"]))
+    macro = F.array(row("macro", null, F.when(F.size(known) == F.size(per), mean), null))
+    top = F.transform(F.filter(F.slice(per, 1, top_n), lambda e: e["roc_auc"].isNotNull()),
+                      lambda e: row("class", e["cls"], e["roc_auc"], e["support"]))
+    return g.select(F.inline(F.concat(micro, macro, top)))
 
 
 def classification_report(df: DataFrame, label: str, predicted: str, prob_of_label: str | None = None) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from railtap.operators.evaluate import exact_percentiles
 from railtap.operators.order import Track, with_ordinal
 from railtap.operators.windows import sliding
+from railtap.session import checkpoint
 
 
 def score_windows(packets: DataFrame, t: Track, score: Column, attack: Column, size: int, step: int,
@@ -21,6 +22,7 @@ def score_windows(packets: DataFrame, t: Track, score: Column, attack: Column, s
     last = F.struct("sip", "dip", "timestamp")
     w = sliding(rows, t.by, "_i", size, step, {"score": ("avg", F.col("_score")), "truth": ("any", F.col("_attack")),
                                               "last": ("last", last)})
+    w = checkpoint(packets.sparkSession, w, "windows")   # read for the threshold and for the verdicts
     got = exact_percentiles(w.where(~F.col("truth")), (), "score", [level]).select("value").collect()
     threshold = F.lit(float(got[0][0])) if got else F.lit(None).cast("double")
     return w.select(*t.by, "window_id", "start", "end", "score", F.col("truth").cast("int").alias("y_true"),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ("packets", "sequences", "fitting", "matching", "scoring", "evaluation", "jobs")
+_MODULES = ("packets", "sequences", "fitting", "matching", "scoring", "evaluation", "jobs", "streams")
 
 
 def load():

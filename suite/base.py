@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from railtap.operators.order import Track, track_for
-from railtap.session import configure
+from railtap.session import configure, spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -109,6 +109,8 @@ PACKET_VIEW = {
 def packets(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     """The packet view over ``events``; naming the columns keeps the scan narrow."""
     ev = table(spark, sf_dir, "events")
+    if not columns:  # the whole view feeds feature jobs
+        ev = spread(ev)
     micros = F.unix_micros(F.col("ts").cast("timestamp"))
     ev = ev.select("event_id", "user_id", "event_type", "value",
                    F.get_json_object("props", "$.k").cast("int").alias("k"), micros.alias("ts_us"),
