@@ -114,16 +114,15 @@ def exact_percentiles(df: DataFrame, by, value: str, levels: list[float]) -> Dat
 def score_distribution(df: DataFrame, by, score: str, levels=PERCENT_LEVELS) -> DataFrame:
     """Count, mean, population deviation, extremes and percentiles of a score per group."""
     by = _by(by)
-    if not by:
-        whole = score_distribution(df.withColumn("_all", F.lit(0)), "_all", score, levels)
-        return whole.drop("_all")
-    moments = df.where(F.col(score).isNotNull()).groupBy(*by).agg(
-        F.count(score).alias("count"), F.avg(score).alias("mean"), F.stddev_pop(score).alias("std"),
-        F.min(score).alias("min"), F.max(score).alias("max"))
-    pct = exact_percentiles(df, by, score, [float(q) for q in levels])
-    pct = pct.groupBy(*by).agg(*[F.max(F.when(F.col("level") == float(q), F.col("value"))).alias(f"p{q}")
-                                 for q in levels])
-    return moments.join(pct, list(by))
+    x = F.col(score)
+    moments = df.where(x.isNotNull()).groupBy(*by).agg(
+        F.count(x).alias("count"), F.avg(x).alias("mean"), F.stddev_pop(x).alias("std"),
+        F.min(x).alias("min"), F.max(x).alias("max"))
+    # both halves have one row per group or level: stacking and folding them needs no join
+    both = moments.unionByName(exact_percentiles(df, by, score, [float(q) for q in levels]), allowMissingColumns=True)
+    return both.groupBy(*by).agg(
+        *[F.max(c).alias(c) for c in ("count", "mean", "std", "min", "max")],
+        *[F.max(F.when(F.col("level") == float(q), F.col("value"))).alias(f"p{q}") for q in levels])
 
 
 # --- curves ----------------------------------------------------------------

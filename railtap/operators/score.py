@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from railtap.functions.scalars import clamp, round_half_up, sigmoid, stable_hash
+from railtap.operators.evaluate import score_distribution
 from railtap.schema import MISSING, OUT_OF_RANGE
 
 _EPS = 1e-8
@@ -219,17 +220,16 @@ def reconstruct_with(df: DataFrame, predict, schema) -> DataFrame:
 
 def calibrate(df: DataFrame, error: str) -> DataFrame:
     """Threshold candidates and moments of training errors."""
-    from railtap.operators.evaluate import score_distribution
     d = score_distribution(df, (), error, levels=[99])
     return d.select(F.col("p99").alias("threshold_p99"), (F.col("mean") + 3.0 * F.col("std")).alias("threshold_mu3"),
                     "mean", "std", "min", "max")
 
 
-def adjust_threshold(stats: DataFrame, k: float) -> DataFrame:
-    """mean - k * std, and the same clipped to the observed range."""
-    tau = F.col("mean") - F.lit(float(k)) * F.col("std")
-    return stats.select(F.lit(float(k)).alias("k"), tau.alias("tau"),
-                        F.least(F.greatest(tau, F.col("min")), F.col("max")).alias("tau_clip"))
+def adjust_thresholds(stats: DataFrame, ks: list[float]) -> DataFrame:
+    """Add per ``k``: mean - k * std, and the same clipped to the observed range."""
+    rows = stats.withColumn("k", F.explode(F.array(*[F.lit(float(k)) for k in ks])))
+    tau = F.col("mean") - F.col("k") * F.col("std")
+    return rows.withColumn("tau", tau).withColumn("tau_clip", F.least(F.greatest("tau", "min"), F.col("max")))
 
 
 def pick_threshold(given: Column, p99: Column, mu3: Column, override: float | None = None) -> Column:

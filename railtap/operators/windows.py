@@ -104,16 +104,16 @@ def window_count(n: Column, size: int, step: int) -> Column:
     return F.when(n < size, F.lit(0)).otherwise(1 + F.floor((n - size) / step)).cast("bigint")
 
 
-def window_size_from_index(df: DataFrame, index: str) -> DataFrame:
-    """Global window length: one more than the largest position used, 0 when there is none."""
-    return df.agg(F.coalesce(F.max(F.col(index)) + 1, F.lit(0)).cast("bigint").alias("window_size"))
+def size_from_index(index: str) -> Column:
+    """Aggregate: global window length as one more than the largest position used, 0 when there is none."""
+    return F.coalesce(F.max(F.col(index)) + 1, F.lit(0)).cast("bigint")
 
 
-def window_size_from_arrays(df: DataFrame, *arrays: str) -> DataFrame:
-    """Global window length: the longest array present."""
+def size_from_arrays(*arrays: str) -> Column:
+    """Aggregate: global window length as the longest array present."""
     sizes = [F.coalesce(F.size(F.col(a)), F.lit(0)) for a in arrays]
     longest = sizes[0] if len(sizes) == 1 else F.greatest(*sizes)
-    return df.agg(F.coalesce(F.max(longest), F.lit(0)).cast("bigint").alias("window_size"))
+    return F.coalesce(F.max(longest), F.lit(0)).cast("bigint")
 
 
 def pad_by_index(df: DataFrame, window: str, line: str, index: str, size: int,

@@ -52,7 +52,8 @@ class _WindowBlock(StatefulProcessor):
         else:
             self._rows.put([held[i] for i in sorted(held) if i >= start])
             self._next.update((start,))
-        yield pd.DataFrame(out)
+        if out["window_id"]:
+            yield pd.DataFrame(out)
 
     def close(self) -> None:
         pass

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from railtap.operators import evaluate as EV
+from railtap.operators.score import anomaly_prediction
 from railtap.plans import offline as OFF
 from railtap.plans import training as TR
 from railtap.session import fresh_path
@@ -150,9 +151,9 @@ def train_reconstructor(spark, sf):
     """Reconstructor trained on windows, errors of both parts and the threshold they give."""
     w = reconstructed(spark, sf).select("vec_id", "x")
     _, errors, cal = TR.train_reconstructor(w, "vec_id", "x", T, D, k=8, weights=[1.0 + 0.5 * i for i in range(D)])
-    thr = cal.select("threshold_p99", F.lit(0).alias("_"))
-    return round_doubles(errors.withColumn("_", F.lit(0)).join(thr, "_").drop("_")
-                         .withColumn("is_anomaly_pred", (F.col("mse") > F.col("threshold_p99")).cast("int")))
+    threshold = cal.first()["threshold_p99"]
+    return round_doubles(errors.withColumn("threshold_p99", F.lit(threshold))
+                         .withColumn("is_anomaly_pred", anomaly_prediction(F.col("mse"), threshold)))
 
 
 @query("bagged_reconstructor")
@@ -170,5 +171,6 @@ def train_classifier(spark, sf):
     v = vectors(spark, sf).select("vec_id", F.concat(F.lit("class"), F.col("label").cast("string")).alias("label"), "x")
     _, scored, cv = TR.train_classifier(v, "vec_id", "label", "x")
     scored = scored.withColumn("pl", F.get("probs", F.col("y")))
-    rep = EV.classification_report(scored, "y", "pattern_index", "pl").withColumn("_", F.lit(0))
-    return round_doubles(rep.join(TR.best_candidate(cv, "reg", "avg_f1").withColumn("_", F.lit(0)), "_").drop("_"))
+    best = TR.best_candidate(cv, "reg", "avg_f1").first()
+    rep = EV.classification_report(scored, "y", "pattern_index", "pl")
+    return round_doubles(rep.withColumns({"reg": F.lit(best["reg"]), "avg_f1": F.lit(best["avg_f1"])}))

@@ -15,6 +15,7 @@ from suite.base import event_track, packets, pkt_sql, query, r6, round_doubles,
 from suite.packets import SQL_IMPACT
 
 T = D = 8
+MAX_CLASSES = 256
 NAMES = [f"f{i}" for i in range(64)]
 # Weights of the eight features in the weighted errors: 1, 1.5, 2, ...
 WEIGHTS = [1.0 + 0.5 * i for i in range(D)]
@@ -135,12 +136,8 @@ def threshold_adjust(spark, sf):
     """Thresholds lowered by k deviations, clipped to what was seen."""
     cal = SC.calibrate(_errors(spark, sf), "mse")
     picked = SC.pick_threshold(F.lit(None).cast("double"), F.col("threshold_p99"), F.col("threshold_mu3"))
-    cal = cal.withColumn("picked", picked)
-    out = None
-    for k in (0.5, 1.0, 9.0):
-        one = SC.adjust_threshold(cal, k).withColumn("_", F.lit(0)).join(cal.select("picked", F.lit(0).alias("_")), "_").drop("_")
-        out = one if out is None else out.unionByName(one)
-    return round_doubles(out, "k")
+    out = SC.adjust_thresholds(cal.withColumn("picked", picked), [0.5, 1.0, 9.0])
+    return round_doubles(out.select("k", "tau", "tau_clip", "picked"), "k")
 
 
 # --- packet verdicts ---------------------------------------------------------------
@@ -194,12 +191,14 @@ q AS (SELECT *, exp(l) / sum(exp(l)) OVER (PARTITION BY vec_id) AS p FROM d)"""
 def class_probs(spark, sf):
     """Class probabilities: softmax of the negative squared distance to every centroid.
 
-    The ten centroids travel as one row of arrays; its size is the number of
-    labels times the vector length, whatever the table holds.
+    The centroids are the classifier's parameters, one vector per class, and
+    enter the plan as literals; more classes than a classifier has are refused.
     """
     v = vectors(spark, sf)
-    packed = centroids(v).agg(F.transform(F.array_sort(F.collect_list(F.struct("label", "c"))), lambda s: s["c"]).alias("cs"))
-    j = v.withColumn("_", F.lit(0)).join(packed.withColumn("_", F.lit(0)), "_").drop("_")
+    cs = centroids(v).orderBy("label").limit(MAX_CLASSES + 1).collect()
+    if len(cs) > MAX_CLASSES:
+        raise ValueError(f"more than {MAX_CLASSES} classes")
+    j = v.withColumn("cs", F.array(*[F.array(*[F.lit(float(a)) for a in r["c"]]) for r in cs]))
     dist = F.transform("cs", lambda c: F.aggregate(F.zip_with("x", c, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, e: s + e))
     ex = F.transform(dist, lambda d: F.exp(-4.0 * d))
     total = F.aggregate("ex", F.lit(0.0), lambda s, e: s + e)

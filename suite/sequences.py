@@ -392,7 +392,4 @@ def global_window_size(spark, sf):
     """Window length from the largest position and from the longest sequence."""
     li = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber")
     per = li.groupBy("l_orderkey").agg(F.collect_list("l_linenumber").alias("a"), F.max("l_linenumber").alias("m"))
-    by_index = WIN.window_size_from_index(per, "m").withColumnRenamed("window_size", "by_index")
-    by_len = WIN.window_size_from_arrays(per, "a").withColumnRenamed("window_size", "by_length")
-    one = F.lit(1).alias("one")
-    return by_index.select("by_index", one).join(by_len.select("by_length", one), "one").drop("one")
+    return per.agg(WIN.size_from_index("m").alias("by_index"), WIN.size_from_arrays("a").alias("by_length"))
