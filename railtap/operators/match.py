@@ -69,22 +69,24 @@ def protocol_in(protocol: Column, names: list[str]) -> Column:
 
 # --- one-to-one by arrival -------------------------------------------------
 
-def number_sides(lines: DataFrame, raw: DataFrame, keys, lines_track: Track, raw_track: Track):
+def number_sides(lines: DataFrame, raw: DataFrame, keys, lines_track: Track, raw_track: Track,
+                 fraction: float = 0.01):
     """Both sides with complete keys and the occurrence number of each key value."""
-    left = occurrence(lines.where(has_all(*keys)), lines_track, keys, "_nth")
-    right = occurrence(raw.where(has_all(*keys)), raw_track, keys, "_nth")
+    left = occurrence(lines.where(has_all(*keys)), lines_track, keys, "_nth", fraction)
+    right = occurrence(raw.where(has_all(*keys)), raw_track, keys, "_nth", fraction)
     return left, right
 
 
 def match_fifo(lines: DataFrame, raw: DataFrame, keys, lines_track: Track, raw_track: Track,
-               how: str = "inner") -> DataFrame:
+               how: str = "inner", fraction: float = 0.01) -> DataFrame:
     """Line-to-packet match where the n-th line with a key takes the n-th packet with it.
 
     A packet is used at most once.  ``how="left"`` keeps unmatched lines.  The
     join key includes the occurrence number, so a key shared by a large part of
-    the rows is spread over its occurrences.
+    the rows is spread over its occurrences.  ``fraction`` is the sample hot
+    keys are looked for in.
     """
-    left, right = number_sides(lines, raw, keys, lines_track, raw_track)
+    left, right = number_sides(lines, raw, keys, lines_track, raw_track, fraction)
     right = right.withColumn("match", F.lit("O"))
     return left.join(right, [*keys, "_nth"], how).drop("_nth")
 

@@ -104,9 +104,44 @@ def with_ordinal(df: DataFrame, t: Track, name: str, start: int = 0) -> DataFram
     return out.withColumn(name, pos.cast("bigint")).drop("_blk", "_off")
 
 
-def occurrence(df: DataFrame, t: Track, keys, name: str) -> DataFrame:
-    """How many-th row with these key values this is (from 1), in track order; a hot key spans many tasks."""
-    return with_ordinal(df, t.keyed(*keys), name, start=1)
+def hot_keys(df: DataFrame, keys, fraction: float = 0.01) -> list[int]:
+    """Hashes of the key values that fill more than their share of a task, judged on a sample.
+
+    The list is bounded by the share itself.  A missed or extra key only costs
+    balance: callers give the same result for any list.
+    """
+    n = 4 * block_count(df.sparkSession)
+    sample = df.select(F.xxhash64(*keys).alias("h")).sample(fraction, seed=11)
+    counts = sample.groupBy("h").agg(F.count(F.lit(1)).alias("c"))
+    top = counts.orderBy(F.col("c").desc()).limit(n).collect()
+    least = top[-1]["c"] if len(top) == n else 0
+    # n keys above 1/n of the rows cannot exist, so the total is only needed when some key stands out
+    if not top or top[0]["c"] < 32 or top[0]["c"] <= 2 * least:
+        return []
+    total = counts.agg(F.sum("c")).first()[0]
+    return [r["h"] for r in top if r["c"] >= max(32, total / n)]
+
+
+def occurrence(df: DataFrame, t: Track, keys, name: str, fraction: float = 0.01) -> DataFrame:
+    """How many-th row with these key values this is (from 1), in track order.
+
+    Ordinary keys are numbered in one window each.  Keys that hold a large part
+    of the rows are cut into the track's blocks and numbered block-wise, so no
+    key is bound to one task.
+    """
+    hot = hot_keys(df, keys, fraction)
+    if not hot:
+        w = W.partitionBy(*keys).orderBy(*t.order)
+        return df.withColumn(name, F.row_number().over(w).cast("bigint"))
+    is_hot = F.xxhash64(*keys).isin(hot)
+    b = df.withColumn("_blk", F.when(is_hot, t.block.cast("bigint")).otherwise(F.lit(0).cast("bigint")))
+    cut = [*keys, "_blk"]
+    offs = b.where(is_hot).groupBy(*cut).agg(F.count(F.lit(1)).alias("_n"))
+    before = W.partitionBy(*keys).orderBy("_blk").rowsBetween(W.unboundedPreceding, -1)
+    offs = offs.select(*cut, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+    out = b.join(offs, cut, "left")
+    nth = F.coalesce("_off", F.lit(0)) + F.row_number().over(W.partitionBy(*cut).orderBy(*t.order))
+    return out.withColumn(name, nth.cast("bigint")).drop("_blk", "_off")
 
 
 def with_running_sum(df: DataFrame, t: Track, sums: dict[str, Column]) -> DataFrame:

@@ -123,13 +123,13 @@ def pad_by_index(df: DataFrame, window: str, line: str, index: str, size: int,
     Positions at or past ``size`` are dropped.  Each value column comes back as
     an array of ``size`` cells.
     """
-    cells = df.where((F.col(index) >= 0) & (F.col(index) < size))
+    # positions outside share one cell nobody reads: a pattern with no other is still a window of padding
+    inside = (F.col(index) >= 0) & (F.col(index) < size)
     payload = F.struct(*[F.col(c) for c in values])
-    cells = cells.groupBy(window, F.col(index).alias("_pos")).agg(F.max_by(payload, F.col(line)).alias("_cell"))
+    cells = df.groupBy(window, F.when(inside, F.col(index).cast("int")).otherwise(-1).alias("_pos")).agg(
+        F.max_by(payload, F.col(line)).alias("_cell"))
     packed = cells.groupBy(window).agg(
-        F.map_from_entries(F.collect_list(F.struct(F.col("_pos").cast("int"), F.col("_cell")))).alias("_m"))
-    # a pattern whose every position falls past the end is still a window of padding
-    packed = df.select(window).distinct().join(packed, window, "left")
+        F.map_from_entries(F.collect_list(F.struct("_pos", "_cell"))).alias("_m"))
     slots = F.sequence(F.lit(0), F.lit(size - 1))
     empty = F.lit(float(pad))
 

@@ -94,15 +94,16 @@ def test_online_key(spark):
     assert got == [("modbus", "t1", "9"), ("xgt_fen", "3", "bucket"), ("xgt_fen", "3", "bucket"), None]
 
 
-@pytest.mark.parametrize("block", [7, 10_000])
-def test_fifo_match_uses_each_packet_once(spark, block):
+@pytest.mark.parametrize("block,fraction", [(7, 1.0), (10_000, 1.0), (7, 0.01)])
+def test_fifo_match_uses_each_packet_once(spark, block, fraction):
     r = random.Random(5)
     keys = [("hot", "1", "1", "1") if r.random() < 0.5 else (str(r.randint(0, 5)), "1", "1", "1") for _ in range(400)]
     raw = [(i, *k) for i, k in enumerate(keys[:220])]
     lines = [(i, i // 8, *k) for i, k in enumerate(keys[180:])]
     rdf = spark.createDataFrame(raw, "seq bigint, ts string, sq string, ak string, fl string").repartition(4)
     ldf = spark.createDataFrame(lines, "line bigint, win bigint, ts string, sq string, ak string, fl string").repartition(3)
-    got = M.match_fifo(ldf, rdf, M.MATCH_KEYS, track((), "line", block), track((), "seq", block)).collect()
+    got = M.match_fifo(ldf, rdf, M.MATCH_KEYS, track((), "line", block), track((), "seq", block),
+                       fraction=fraction).collect()
     queues = defaultdict(deque)
     for i, *k in raw:
         queues[tuple(k)].append(i)

@@ -72,11 +72,16 @@ def test_running_sum_and_neighbours(spark, block):
             assert got[r[1]] == (run, total, g[i - 1][2] if i else None, g[i + 1][1] if i + 1 < len(g) else None)
 
 
-def test_occurrence_of_a_hot_key(spark):
-    rows = [("a", i, "same" if i % 3 else str(i), 0.0) for i in range(500)]
-    got = O.occurrence(frame(spark, rows), O.track("cap", "seq", 40), ["key"], "nth").where("key = 'same'").collect()
-    assert sorted(r["nth"] for r in got) == list(range(1, len(got) + 1))
-    assert [r["nth"] for r in sorted(got, key=lambda r: r["seq"])] == list(range(1, len(got) + 1))
+@pytest.mark.parametrize("fraction", [0.0, 1.0])
+def test_occurrence_of_a_hot_key(spark, fraction):
+    rows = [("a", i, "same" if i % 3 else f"k{i % 40}", 0.0) for i in range(900)]
+    df, t = frame(spark, rows), O.track("cap", "seq", 40)
+    assert bool(O.hot_keys(df, ["key"], fraction)) == (fraction > 0)
+    got = O.occurrence(df, t, ["key"], "nth", fraction).collect()
+    seen, want = {}, {}
+    for _, i, k, _ in rows:
+        want[i] = seen[k] = seen.get(k, 0) + 1
+    assert {r["seq"]: r["nth"] for r in got} == want
 
 
 @pytest.mark.parametrize("k", [1, 5, 6, 31])
