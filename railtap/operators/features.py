@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 from railtap.functions import coerce as C
 from railtap.functions import scalars as S
-from railtap.operators.fit import (Fitted, first_seen_vocabulary, host_token, number_slots, ranges, slot_ranges,
-                                   sorted_vocabulary)
+from railtap.operators.fit import (Fitted, entry, host_token, number_by_first_use, number_by_text, number_slots, ranges,
+                                   slot_entries, token_table)
 from railtap.schema import (ARP_FEATURES, BASE_FEATURES, COMMON_FEATURES, DNS_FEATURES, MISSING, MODBUS_FEATURES,
                             OUT_OF_RANGE, S7COMM_FEATURES, XGT_FEATURES)
 
@@ -91,17 +91,27 @@ def raw_values_fit(df: DataFrame) -> dict[str, Column]:
 
 def fit(df: DataFrame, order: str = "seq", missing_as_zero: bool = True,
         arp_source: tuple[str, str] = ("sip", "smac"), slot_columns=None) -> Fitted:
-    """Fit every range and vocabulary from raw packets."""
+    """Fit every range and vocabulary from raw packets in two scans: one for the ranges, one for all tokens."""
     p = with_parsed(df)
     values = raw_values(p) | raw_values_fit(p)
-    tokens = [host_token(F.col("sip"), F.col("smac")), host_token(F.col("dip"), F.col("dmac"))]
-    arp = df.where(F.col("protocol") == "arp")
-    arp_tokens = [host_token(F.col(arp_source[0]), F.col(arp_source[1])),
-                  host_token(_col(df, "arp_tip"), _col(df, "arp_tmac"))]
-    names = _of("xgt_fen", F.get(C.name_list(_col(df, "xgt_fen_vars")), 0))
-    return Fitted(host_vocab=sorted_vocabulary(df, tokens), arp_vocab=sorted_vocabulary(arp, arp_tokens),
-                  var_vocab=first_seen_vocabulary(df, names, order), norm_params=ranges(p, values, missing_as_zero),
-                  slot_params=number_slots(slot_ranges(df, slot_columns or SLOT_FIT_COLUMNS)))
+    c = lambda n: _col(df, n)
+    src = host_token(c("sip"), c("smac"))
+    pairs = slot_entries({q: av for q, av in (slot_columns or SLOT_FIT_COLUMNS).items() if set(av) <= set(df.columns)})
+    slots = F.transform(pairs, lambda x: F.struct(F.concat(F.lit("slot:"), F.col("protocol")).alias("kind"),
+                                                  x["k"].alias("token"), x["v"].alias("v")))
+    entries = F.concat(F.array(
+        entry("host", src), entry("host", host_token(c("dip"), c("dmac"))),
+        entry("arp", _of("arp", host_token(c(arp_source[0]), c(arp_source[1])))),
+        entry("arp", _of("arp", host_token(c("arp_tip"), c("arp_tmac")))),
+        entry("var", _of("xgt_fen", F.get(C.name_list(c("xgt_fen_vars")), 0)))), slots)
+    t = token_table(df, entries, order)
+    of = lambda kind, name: t.where(F.col("kind") == kind).select(F.col("token").alias(name), "at")
+    slot_rows = t.where(F.col("kind").startswith("slot:")).select(
+        F.substring("kind", 6, 64).alias("proto"), F.col("token").alias("addr"), "vmin", "vmax")
+    return Fitted(host_vocab=number_by_text(of("host", "token"), "token"),
+                  arp_vocab=number_by_text(of("arp", "token"), "token"),
+                  var_vocab=number_by_first_use(of("var", "name"), "name"),
+                  norm_params=ranges(p, values, missing_as_zero), slot_params=number_slots(slot_rows))
 
 
 def range_literals(norm_params: DataFrame) -> dict[str, tuple[Column, Column]]:

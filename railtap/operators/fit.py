@@ -16,6 +16,7 @@ from railtap.functions import coerce as C
 from railtap.functions import scalars as S
 from railtap.operators.order import Track, numeric_blocks, text_blocks, with_ordinal
 from railtap.schema import MISSING
+from railtap.session import checkpoint
 
 
 @dataclass
@@ -42,21 +43,47 @@ def host_token(ip: Column, mac: Column) -> Column:
     return F.when((i != "") & (m != ""), F.concat(i, F.lit("|"), m))
 
 
+def token_table(df: DataFrame, entries: Column, order: str) -> DataFrame:
+    """Every distinct (kind, token) with where it first occurs and the range of its values.
+
+    ``entries`` is an array of ``struct<kind,token,v>`` per packet.  All
+    vocabularies and slots come from this one scan; counts shrink map-side and
+    the written result is what they are numbered from.
+    """
+    e = df.select(F.col(order).alias("_o"), F.explode(F.filter(entries, lambda x: x["token"].isNotNull())).alias("e"))
+    table = e.groupBy("e.kind", "e.token").agg(F.min("_o").alias("at"), F.min("e.v").alias("vmin"),
+                                               F.max("e.v").alias("vmax"))
+    return checkpoint(df.sparkSession, table, "tokens")
+
+
+def entry(kind: str, token: Column, value: Column | None = None) -> Column:
+    v = value if value is not None else F.lit(None)
+    return F.struct(F.lit(kind).alias("kind"), token.alias("token"), v.cast("double").alias("v"))
+
+
+def number_by_text(words: DataFrame, name: str, start: int = 1) -> DataFrame:
+    """Distinct tokens numbered in text order."""
+    blocks = text_blocks(words.select(F.lit(0).alias("_g"), F.col(name)), name, "_b")
+    return with_ordinal(blocks, Track(("_g",), (name,), F.col("_b")), "id", start).select(name, "id")
+
+
+def number_by_first_use(words: DataFrame, name: str, at: str = "at") -> DataFrame:
+    """Distinct tokens numbered from 1 by where they first occur."""
+    blocks = numeric_blocks(words.select(F.lit(0).alias("_g"), F.col(name), F.col(at)), at, "_b")
+    return with_ordinal(blocks, Track(("_g",), (at, name), F.col("_b")), "id", 1).select(name, "id")
+
+
 def sorted_vocabulary(df: DataFrame, tokens: list[Column], name: str = "token", start: int = 1) -> DataFrame:
     """Distinct tokens of several columns, numbered in text order."""
-    e = F.explode(F.array_compact(F.array(*tokens)))
-    words = df.select(e.alias(name)).distinct()
-    words = text_blocks(words.withColumn("_g", F.lit(0)), name, "_b")
-    t = Track(("_g",), (name,), F.col("_b"))
-    return with_ordinal(words, t, "id", start).select(name, "id")
+    words = df.select(F.explode(F.array_compact(F.array(*tokens))).alias(name)).distinct()
+    return number_by_text(checkpoint(df.sparkSession, words, "words"), name, start)
 
 
 def first_seen_vocabulary(df: DataFrame, value: Column, order: str, name: str = "name") -> DataFrame:
     """Distinct names numbered from 1 by where they first occur."""
     first = df.select(value.alias(name), order).where(F.col(name).isNotNull()) \
-        .groupBy(name).agg(F.min(order).alias("_at")).withColumn("_g", F.lit(0))
-    t = Track(("_g",), ("_at", name), F.col("_b"))
-    return with_ordinal(numeric_blocks(first, "_at", "_b"), t, "id", 1).select(name, "id")
+        .groupBy(name).agg(F.min(order).alias("at"))
+    return number_by_first_use(checkpoint(df.sparkSession, first, "words"), name)
 
 
 def ranges(df: DataFrame, values: dict[str, Column], missing_as_zero: bool = True) -> DataFrame:
@@ -88,12 +115,17 @@ def slot_pairs(protocol: str, addresses: Column, values: Column) -> Column:
     return S.zip_shortest(keys, nums)
 
 
-def slot_ranges(df: DataFrame, columns: dict[str, tuple[str, str]]) -> DataFrame:
-    """Min and max per (protocol, address); ``columns`` maps a protocol to its address and value columns."""
+def slot_entries(columns: dict[str, tuple[str, str]]) -> Column:
+    """Pairs of a packet by protocol; ``columns`` maps a protocol to its address and value columns."""
     pairs = F.array().cast("array<struct<k:string,v:double>>")
     for proto, (a, v) in columns.items():
         pairs = F.when(F.col("protocol") == proto, slot_pairs(proto, F.col(a), F.col(v))).otherwise(pairs)
-    e = df.select(F.col("protocol").alias("proto"), F.explode(pairs).alias("p"))
+    return pairs
+
+
+def slot_ranges(df: DataFrame, columns: dict[str, tuple[str, str]]) -> DataFrame:
+    """Min and max per (protocol, address)."""
+    e = df.select(F.col("protocol").alias("proto"), F.explode(slot_entries(columns)).alias("p"))
     return e.groupBy("proto", F.col("p.k").alias("addr")).agg(F.min("p.v").alias("vmin"), F.max("p.v").alias("vmax"))
 
 

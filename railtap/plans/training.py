@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from railtap.functions.risk import class_summary
 from railtap.operators.score import calibrate, error_train, squared_errors
 from railtap.schema import MISSING
+from railtap.session import checkpoint
 
 
 @dataclass
@@ -77,6 +78,7 @@ def train_reconstructor(df: DataFrame, ident: str, x: str, steps: int, width: in
                         weights: list[float] | None = None, holdout: float = 0.1, seed: int = 42):
     """Fit on all but the hold-out; returns the model, scored windows and threshold candidates of the training part."""
     weights = weights or [1.0] * width
+    df = checkpoint(df.sparkSession, df.select(ident, x), "training")   # every pass of the fit reads it
     train, test = _split(df, ident, holdout, seed)
     rec = _fit(train, x, steps, width, k, weights)
 
@@ -92,6 +94,7 @@ def train_reconstructor(df: DataFrame, ident: str, x: str, steps: int, width: in
 def bagged_reconstruction(df: DataFrame, ident: str, x: str, steps: int, width: int, k: int = 8, members: int = 4,
                           seed: int = 42) -> DataFrame:
     """Mean reconstruction of several models, each fitted on a bootstrap sample."""
+    df = checkpoint(df.sparkSession, df, "training")   # every member reads it, and samples the same files
     out, names = df, []
     for m in range(members):
         sample = df.sample(withReplacement=True, fraction=1.0, seed=seed + m)
@@ -138,6 +141,7 @@ def train_classifier(df: DataFrame, ident: str, label: str, vector: str, folds:
     Returns the best pipeline, scored hold-out rows (label index, probability
     array, pattern summary) and one row per candidate with its fold average.
     """
+    df = checkpoint(df.sparkSession, df.select(ident, label, vector), "training")
     strat = can_stratify(df, label, holdout_parts)
     data = df.withColumn("_v", array_to_vector(F.col(vector))) \
              .withColumn("_part", _strata(df, ident, label, holdout_parts, seed, strat))

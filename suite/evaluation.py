@@ -138,3 +138,14 @@ def stage_summary(spark, sf):
     """Duration summary per stage."""
     ev = table(spark, sf, "events").select(F.col("event_type").alias("stage"), "value")
     return round_doubles(EV.stage_summary(ev, "stage", "value"))
+
+
+@query("cv_summary", f"""WITH {_J}, f AS (SELECT tag, window_index % 3 AS fold, avg(CAST(y_true = y_pred AS INT)) AS accuracy, avg(score) AS loss FROM j GROUP BY 1, 2)
+SELECT tag, {sql_r6('avg(accuracy)')} AS accuracy, {sql_r6('avg(loss)')} AS loss, count(*) AS folds FROM f GROUP BY tag""")
+def cv_summary(spark, sf):
+    """Fold averages per candidate."""
+    from railtap.plans.training import cv_summary as summary
+    hit = (F.col("y_true") == F.col("y_pred")).cast("int")
+    folds = judged(spark, sf).groupBy("tag", (F.col("window_index") % 3).alias("fold")).agg(
+        F.avg(hit).alias("accuracy"), F.avg("score").alias("loss"))
+    return round_doubles(summary(folds, "tag", ["accuracy", "loss"]))

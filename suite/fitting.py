@@ -258,3 +258,14 @@ def slot_names(spark, sf):
     li = table(spark, sf, "lineitem")
     a = F.concat(F.lit("%"), F.date_format("l_shipdate", "yyyy-MM-dd"), F.lit(" "), (F.col("l_partkey") % 20).cast("string"))
     return li.select(a.alias("addr")).distinct().select("addr", S.slot_column_expr(F.col("addr"), "xgt").alias("feature"))
+
+
+@query("slot_pairs_fit", f"""WITH {pkt_sql('seq', 'protocol', 'modbus_translated_addr', 'modbus_regs_addr', 'modbus_regs_val', 'xgt_fen_translated_addr', 'xgt_fen_word_value', 'k')}, {_SLOTS},
+won AS (SELECT seq, proto, p[1] AS addr, last(p[2]) AS v FROM pairs GROUP BY ALL)
+SELECT seq, proto, addr, slot, {sql_r6('CASE WHEN vmin = vmax THEN 0.0 ELSE (v - vmin) / (vmax - vmin) END')} AS value FROM won JOIN slots USING (proto, addr)""")
+def slot_pairs_fit(spark, sf):
+    """Slot values as the fit-time matrix has them: the last pair wins, scaling is unchecked."""
+    p = packets(spark, sf, "seq", "protocol", "modbus_translated_addr", "modbus_regs_addr", "modbus_regs_val",
+                "xgt_fen_translated_addr", "xgt_fen_word_value", "k")
+    slots = FT.number_slots(FT.slot_ranges(p, X.SLOT_FIT_COLUMNS))
+    return round_doubles(X.slot_values(p, FT.Fitted(None, None, None, None, slots), "seq", last=True))

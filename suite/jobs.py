@@ -7,12 +7,13 @@ from pyspark.sql import functions as F
 from railtap.operators import evaluate as EV
 from railtap.operators.score import anomaly_prediction
 from railtap.plans import offline as OFF
+from railtap.plans import serve as SV
 from railtap.plans import training as TR
 from railtap.session import fresh_path
 from railtap.sources import jsonl as J
 from railtap.sources import params as P
 from railtap.sources import sinks as K
-from suite.base import packets, pkt_sql, query, r6, round_doubles, sql_r6, table
+from suite.base import event_track, packets, pkt_sql, query, r6, round_doubles, sql_r6, table
 from suite.fitting import _ARPS, _FEATURE_FROM, _HOSTS, _PARSED, _SERVE_SQL, _VARS
 from suite.scoring import D, T, reconstructed, vectors
 
@@ -174,3 +175,38 @@ def train_classifier(spark, sf):
     best = TR.best_candidate(cv, "reg", "avg_f1").first()
     rep = EV.classification_report(scored, "y", "pattern_index", "pl")
     return round_doubles(rep.withColumns({"reg": F.lit(best["reg"]), "avg_f1": F.lit(best["avg_f1"])}))
+
+
+_SERVE_FEATURES = ["protocol", "delta_t", "len_norm", "dir_code", "sp_norm", "modbus_fc_norm", "xgt_data_mean_byte", "dns_qc_norm"]
+
+
+def _serving_inputs(spark, sf):
+    cols = ["seq", "capture", "protocol", "timestamp", "dir", "sip", "smac", "dip", "dmac", "sp", "dp", "len", "sq", "delta_t", "match",
+            "src_asset", "dst_asset", "modbus_fc", "xgt_fen_data", "xgt_fen_vars", "xgt_fen_cmd", "dns_qc", "dns_ac", "k"]
+    p = packets(spark, sf, *cols)
+    return p, OFF.fit_and_save(p, fresh_path(spark, "fitted"))
+
+
+@query("serving_run")
+def serving_run(spark, sf):
+    """Merge, featurise, window, reconstruct and judge a capture, the reconstructor fitted on its own windows."""
+    p, fitted = _serving_inputs(spark, sf)
+    t = event_track(p)
+    w = SV.feature_windows(SV.merged_packets(p, t, "seq"), "capture", fitted, _SERVE_FEATURES, 16, 16)
+    rec, _, cal = TR.train_reconstructor(w.withColumn("id", F.concat_ws("-", "capture", "window_id")), "id", "x", 16, len(_SERVE_FEATURES), k=6)
+    v = SV.serve(p, t, "seq", fitted, _SERVE_FEATURES, lambda d: rec.apply(d), size=16, step=4, threshold=cal.first()["threshold_p99"])
+    s = F.col("summary")
+    return v.select("capture", "seq_id", "start", "end", "pattern", r6(s["anomaly_score"]).alias("anomaly_score"),
+                    s["anomaly_type"].alias("anomaly_type"), s["risk"]["score"].alias("risk"), s["risk"]["src_ip"].alias("src_ip"),
+                    F.size(s["feature_error"]).alias("n_features"), "alert")
+
+
+@query("labelled_capture", f"""WITH {pkt_sql('seq', 'capture', 'protocol', 'modbus_fc', 'xgt_fen_cmd', 'k')},
+o AS (SELECT *, (protocol = 'xgt_fen' AND CAST(xgt_fen_cmd AS BIGINT) IN (88, 89)) OR (protocol = 'modbus' AND CAST(modbus_fc AS BIGINT) = 6) AS flag,
+ row_number() OVER (PARTITION BY capture ORDER BY seq) - 1 AS i FROM pkt), w AS (SELECT *, unnest(range(CAST(greatest(0, ceil((i - 7) / 4.0)) AS BIGINT), i // 4 + 1)) AS window_id FROM o)
+SELECT capture, window_id, count(*) AS n, CAST(count(*) AS INT) AS steps, CAST(bool_or(flag) AS INT) AS y_true, CASE WHEN bool_or(flag) THEN 'ATTACK' ELSE 'NORMAL' END AS pattern FROM w GROUP BY capture, window_id""")
+def labelled_capture(spark, sf):
+    """Feature windows of a labelled capture with their truth."""
+    p, fitted = _serving_inputs(spark, sf)
+    w = SV.labelled_windows(p, event_track(p), fitted, _SERVE_FEATURES, F.lit("modbus_fc6"), 8, 4)
+    return w.select("capture", "window_id", "n", F.size("x").alias("steps"), "y_true", "pattern")

@@ -80,7 +80,7 @@ def whole_coverage(spark, sf):
 # made of part and return flag so that it repeats within an order.
 _PATTERN = """w AS (SELECT l_orderkey AS window_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) - 1 AS pos,
  CAST(l_partkey % 3 AS VARCHAR) AS ts, l_returnflag AS sq FROM lineitem),
-p AS (SELECT l_orderkey * 2 AS pattern_id, l_orderkey AS window_id, l_linenumber * 100000 + l_partkey AS line_no, CAST(l_partkey % 3 AS VARCHAR) AS ts,
+p AS (SELECT l_orderkey * 2 AS pattern_id, l_orderkey AS window_id, (l_linenumber * 100000 + l_partkey) * 10000 + l_suppkey AS line_no, CAST(l_partkey % 3 AS VARCHAR) AS ts,
   CASE WHEN l_suppkey % 17 = 0 THEN 'Z' ELSE l_returnflag END AS sq, CASE WHEN l_orderkey % 11 = 0 THEN ' Noise ' ELSE 'scan' END AS label FROM lineitem WHERE l_linenumber % 2 = 1
  UNION ALL SELECT l_orderkey * 2 + 1, -l_orderkey, l_linenumber, '0', 'A', 'scan' FROM lineitem WHERE l_linenumber = 7),
 wn AS (SELECT *, row_number() OVER (PARTITION BY window_id, ts, sq ORDER BY pos) AS nth FROM w),
@@ -97,7 +97,7 @@ def _pattern_sides(spark, sf):
     windows = li.select(F.col("l_orderkey").alias("window_id"), place.alias("pos"), ts, F.col("l_returnflag").alias("sq"))
     odd = li.where(F.col("l_linenumber") % 2 == 1).select(
         (F.col("l_orderkey") * 2).alias("pattern_id"), F.col("l_orderkey").alias("window_id"),
-        (F.col("l_linenumber") * 100000 + F.col("l_partkey")).alias("line_no"), ts,
+        ((F.col("l_linenumber") * 100000 + F.col("l_partkey")) * 10000 + F.col("l_suppkey")).alias("line_no"), ts,
         F.when(F.col("l_suppkey") % 17 == 0, "Z").otherwise(F.col("l_returnflag")).alias("sq"),
         F.when(F.col("l_orderkey") % 11 == 0, " Noise ").otherwise("scan").alias("label"))
     lost = li.where("l_linenumber = 7").select(
@@ -107,7 +107,7 @@ def _pattern_sides(spark, sf):
     return odd.unionByName(lost), windows
 
 
-@query("window_index", f"""WITH {_PATTERN} SELECT pattern_id, string_agg(CAST(pos AS VARCHAR), ',' ORDER BY line_no) AS "index" FROM j JOIN ok USING (pattern_id) GROUP BY pattern_id""")
+@query("window_index", f"""WITH {_PATTERN} SELECT pattern_id, string_agg(CAST(pos AS VARCHAR), ',' ORDER BY line_no, pos) AS "index" FROM j JOIN ok USING (pattern_id) GROUP BY pattern_id""")
 def window_index(spark, sf):
     """Positions of pattern lines in their windows."""
     patterns, windows = _pattern_sides(spark, sf)
