@@ -31,16 +31,28 @@ def _trunc(d: Column) -> Column:
     return F.when(F.abs(d) < _MAX_EXACT, d.cast("bigint"))
 
 
-def _prefixed(t: Column, letter: str, digits: str, most: int, base: int) -> Column:
-    """Signed ``0x``-style literal to BIGINT, null when it is not one or has over ``most`` significant digits."""
-    mark = f"0[{letter}{letter.upper()}]"
-    # a negative target base makes conv read and write the sign
-    value = F.conv(F.regexp_replace(t, f"^\\+?(-?){mark}", "$1"), base, -10)
-    return F.when(t.rlike(f"^[+-]?{mark}0*[{digits}]{{1,{most}}}$"), _bigint(value))
+_HEX = "[xX]0*[0-9A-Fa-f]{1,15}"
+_OCTAL = "[oO]0*[0-7]{1,20}"
+_BINARY = "[bB]0*[01]{1,62}"
+
+
+def _unprefixed(t: Column) -> Column:
+    """Text without its ``0x``-style mark and plus sign."""
+    return F.regexp_replace(t, r"^\+?(-?)0[xXoObB]", "$1")
 
 
 def hex_literal(t: Column) -> Column:
-    return _prefixed(t, "x", "0-9A-Fa-f", 15, 16)
+    """Signed ``0x`` literal to BIGINT, null when it is not one or has over 60 significant bits."""
+    # a negative target base makes conv read and write the sign
+    return F.when(t.rlike(f"^[+-]?0{_HEX}$"), _bigint(F.conv(_unprefixed(t), 16, -10)))
+
+
+def _prefixed_literal(t: Column) -> Column:
+    """The same for hexadecimal, octal and binary literals."""
+    mark = F.lower(F.substring(F.ltrim(t, F.lit("+-")), 2, 1))
+    base = F.when(mark == "x", 16).when(mark == "o", 8).otherwise(2)
+    value = F.call_function("conv", _unprefixed(t), base, F.lit(-10))
+    return F.when(t.rlike(f"^[+-]?0({_HEX}|{_OCTAL}|{_BINARY})$"), _bigint(value))
 
 
 def py_float(s: Column, finite: bool = False) -> Column:
@@ -78,8 +90,7 @@ def _literal(t: Column) -> Column:
     """Integer literal of trimmed text; a leading zero is fine only for zero itself."""
     v = _bigint(t)
     plain = F.when((v == 0) | ~F.ltrim(t, F.lit("+-")).startswith("0"), v)
-    return F.when(v.isNotNull(), plain).otherwise(
-        F.coalesce(hex_literal(t), _prefixed(t, "o", "0-7", 20, 8), _prefixed(t, "b", "01", 62, 2)))
+    return F.when(v.isNotNull(), plain).otherwise(_prefixed_literal(t))
 
 
 def safe_int(s: Column, default: int | None = 0) -> Column:

@@ -18,6 +18,8 @@ from railtap.operators.order import Track, numeric_blocks, text_blocks, with_ord
 from railtap.schema import MISSING
 from railtap.session import checkpoint
 
+ONE_SORT_ROWS = 1 << 16
+
 
 @dataclass
 class Fitted:
@@ -61,16 +63,22 @@ def entry(kind: str, token: Column, value: Column | None = None) -> Column:
     return F.struct(F.lit(kind).alias("kind"), token.alias("token"), v.cast("double").alias("v"))
 
 
+def _numbered(words: DataFrame, keys: list[str], start: int, blocks) -> DataFrame:
+    """Dense ids in key order: one sort when the counted table is small, block-wise beyond that."""
+    rows = words.withColumn("_g", F.lit(0))
+    if words.count() <= ONE_SORT_ROWS:
+        return rows.withColumn("id", (F.row_number().over(W.partitionBy("_g").orderBy(*keys)) + (start - 1)).cast("bigint"))
+    return with_ordinal(blocks(rows, keys[0], "_b"), Track(("_g",), tuple(keys), F.col("_b")), "id", start)
+
+
 def number_by_text(words: DataFrame, name: str, start: int = 1) -> DataFrame:
     """Distinct tokens numbered in text order."""
-    blocks = text_blocks(words.select(F.lit(0).alias("_g"), F.col(name)), name, "_b")
-    return with_ordinal(blocks, Track(("_g",), (name,), F.col("_b")), "id", start).select(name, "id")
+    return _numbered(words.select(name), [name], start, text_blocks).select(name, "id")
 
 
 def number_by_first_use(words: DataFrame, name: str, at: str = "at") -> DataFrame:
     """Distinct tokens numbered from 1 by where they first occur."""
-    blocks = numeric_blocks(words.select(F.lit(0).alias("_g"), F.col(name), F.col(at)), at, "_b")
-    return with_ordinal(blocks, Track(("_g",), (at, name), F.col("_b")), "id", 1).select(name, "id")
+    return _numbered(words.select(name, at), [at, name], 1, numeric_blocks).select(name, "id")
 
 
 def sorted_vocabulary(df: DataFrame, tokens: list[Column], name: str = "token", start: int = 1) -> DataFrame:

@@ -20,7 +20,8 @@ def session(cpus: str = "8"):
     from pyspark.sql import SparkSession
     spark = (SparkSession.builder.master(f"local[{cpus}]").appName("railtap")
              .config("spark.sql.shuffle.partitions", "8").config("spark.driver.memory", "12g")
-             .config("spark.ui.enabled", "false").config("spark.sql.session.timeZone", "UTC")
+             .config("spark.ui.enabled", "false")
+             .config("spark.python.sql.dataFrameDebugging.enabled", "false").config("spark.sql.session.timeZone", "UTC")
              .getOrCreate())
     spark.sparkContext.setLogLevel("ERROR")
     return spark
