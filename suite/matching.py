@@ -78,7 +78,7 @@ def whole_coverage(spark, sf):
 
 # Patterns are sub-sequences of order lines: the order is the window, a key is
 # made of part and return flag so that it repeats within an order.
-_PATTERN = """w AS (SELECT l_orderkey AS window_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) - 1 AS pos,
+_PATTERN = """w AS (SELECT l_orderkey AS window_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_discount) - 1 AS pos,
  CAST(l_partkey % 3 AS VARCHAR) AS ts, l_returnflag AS sq FROM lineitem),
 p AS (SELECT l_orderkey * 2 AS pattern_id, l_orderkey AS window_id, (l_linenumber * 100000 + l_partkey) * 10000 + l_suppkey AS line_no, CAST(l_partkey % 3 AS VARCHAR) AS ts,
   CASE WHEN l_suppkey % 17 = 0 THEN 'Z' ELSE l_returnflag END AS sq, CASE WHEN l_orderkey % 11 = 0 THEN ' Noise ' ELSE 'scan' END AS label FROM lineitem WHERE l_linenumber % 2 = 1
@@ -91,9 +91,9 @@ ok AS (SELECT pattern_id FROM j GROUP BY 1 HAVING count(*) = count(pos))"""
 
 def _pattern_sides(spark, sf):
     from pyspark.sql import Window as W
-    li = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag")
+    li = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag", "l_quantity", "l_discount")
     ts = (F.col("l_partkey") % 3).cast("string").alias("ts")
-    place = F.row_number().over(W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")) - 1
+    place = F.row_number().over(W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_discount")) - 1
     windows = li.select(F.col("l_orderkey").alias("window_id"), place.alias("pos"), ts, F.col("l_returnflag").alias("sq"))
     odd = li.where(F.col("l_linenumber") % 2 == 1).select(
         (F.col("l_orderkey") * 2).alias("pattern_id"), F.col("l_orderkey").alias("window_id"),

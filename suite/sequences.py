@@ -334,12 +334,12 @@ def flagship_metrics(spark, sf):
 # --- padding and compaction ----------------------------------------------------
 
 @query("pad_by_index", """WITH o AS (SELECT DISTINCT l_orderkey FROM lineitem), p AS (SELECT l_orderkey, unnest(range(0, 7)) AS pos FROM o),
-c AS (SELECT l_orderkey, l_linenumber AS pos, last(l_quantity ORDER BY l_partkey * 1000000 + l_suppkey) AS q FROM lineitem GROUP BY ALL)
+c AS (SELECT l_orderkey, l_linenumber AS pos, last(l_quantity ORDER BY (l_partkey * 1000000 + l_suppkey) * 100 + l_quantity) AS q FROM lineitem GROUP BY ALL)
 SELECT p.l_orderkey, CAST(p.pos AS INT) AS pos, coalesce(c.q, -1.0) AS cell FROM p LEFT JOIN c USING (l_orderkey, pos)""")
 def pad_by_index(spark, sf):
     """Order lines spread over seven positions, gaps padded, later positions cut."""
     li = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity",
-                                             (F.col("l_partkey") * 1000000 + F.col("l_suppkey")).alias("line"))
+                                             ((F.col("l_partkey") * 1000000 + F.col("l_suppkey")) * 100 + F.col("l_quantity")).alias("line"))
     return WIN.pad_positions(li, "l_orderkey", "line", "l_linenumber", 7, "l_quantity") \
         .select("l_orderkey", "pos", F.col("l_quantity").alias("cell"))
 
@@ -347,8 +347,8 @@ def pad_by_index(spark, sf):
 _CELLS = "[CASE WHEN l_quantity % 2 = 0 THEN -1.0 ELSE l_quantity END, CASE WHEN l_quantity % 3 = 0 THEN -2.0 ELSE l_discount END]"
 
 
-@query("compact_sequence", f"""WITH s AS (SELECT l_orderkey, l_linenumber, l_suppkey, l_partkey, {_CELLS} AS c FROM lineitem),
-k AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS t FROM s WHERE NOT (c[1] IN (-1.0, -2.0) AND c[2] IN (-1.0, -2.0))),
+@query("compact_sequence", f"""WITH s AS (SELECT l_orderkey, l_linenumber, l_suppkey, l_partkey, l_quantity, l_discount, {_CELLS} AS c FROM lineitem),
+k AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_discount) AS t FROM s WHERE NOT (c[1] IN (-1.0, -2.0) AND c[2] IN (-1.0, -2.0))),
 a AS (SELECT l_orderkey, count(*) FILTER (t <= 4) AS n, sum(CASE WHEN t <= 4 AND c[1] NOT IN (-1.0, -2.0) THEN c[1] * t ELSE 0 END) AS s1,
  sum(CASE WHEN t <= 4 AND c[2] NOT IN (-1.0, -2.0) THEN c[2] * t ELSE 0 END) AS s2 FROM k GROUP BY l_orderkey)
 SELECT o.l_orderkey, CAST(greatest(coalesce(n, 0), 1) AS INT) AS length, {sql_r6('coalesce(s1, 0)')} AS weighted1, {sql_r6('coalesce(s2, 0)')} AS weighted2
@@ -358,7 +358,7 @@ def compact_sequence(spark, sf):
     q = F.col("l_quantity")
     cells = F.array(F.when(q % 2 == 0, -1.0).otherwise(q), F.when(q % 3 == 0, -2.0).otherwise(F.col("l_discount")))
     li = table(spark, sf, "lineitem").select("l_orderkey", F.struct(
-        "l_linenumber", "l_partkey", "l_suppkey", cells.alias("c")).alias("s"))
+        "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_discount", cells.alias("c")).alias("s"))
     # an order has a handful of lines, so its sequence is gathered whole
     seqs = li.groupBy("l_orderkey").agg(F.array_sort(F.collect_list("s")).alias("s"))
     seqs = seqs.select("l_orderkey", WIN.compact(F.transform("s", lambda x: x["c"]), 4).alias("x"))
@@ -371,14 +371,14 @@ def compact_sequence(spark, sf):
 
 
 @query("dense_tensor", f"""WITH r AS (SELECT l_orderkey, l_quantity AS a, CASE WHEN l_linenumber % 3 = 0 THEN NULL ELSE l_discount END AS b,
- row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS t FROM lineitem),
+ row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_discount) AS t FROM lineitem),
 g AS (SELECT l_orderkey, unnest(range(1, 6)) AS t FROM (SELECT DISTINCT l_orderkey FROM lineitem))
 SELECT l_orderkey, CAST(g.t - 1 AS INT) AS t, coalesce(a, -1.0) AS c0, coalesce(b, -1.0) AS c1 FROM g LEFT JOIN r USING (l_orderkey, t)""")
 def dense_tensor(spark, sf):
     """Fixed 5 x 2 tensors: missing cells and steps padded, longer sequences cut."""
     b = F.when(F.col("l_linenumber") % 3 != 0, F.col("l_discount"))
     li = table(spark, sf, "lineitem").withColumn("b", b)
-    rows = li.select("l_orderkey", F.struct("l_linenumber", "l_partkey", "l_suppkey",
+    rows = li.select("l_orderkey", F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_discount",
                                             WIN.dense_cells(["l_quantity", "b"], -1.0).alias("c")).alias("s"))
     seqs = rows.groupBy("l_orderkey").agg(F.array_sort(F.collect_list("s")).alias("s"))
     cells = WIN.tensor(F.transform("s", lambda x: x["c"]), 5, 2, -1.0)
