@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from public_tokenizers import path as tokenizer_path
 from pyspark.sql import DataFrame, SparkSession
 
-from railtap.llm import mixing
+from railtap.llm import mixing, packing, token_counts
 from railtap.llm.common import read
 from railtap.session import configure
 
+BYTE_BPE = tokenizer_path("byte_bpe_50k.json")
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
@@ -26,3 +29,15 @@ def query(fn):
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of each document that a mix to 5:2:1 weights takes."""
     return mixing.taken(mixing.mix(mixing.sized(read(spark, sf_dir, "documents", "doc_id", "source", "text"))))
+
+
+@query
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of all documents in windows of at most 2048 tokens."""
+    return packing.pack(read(spark, sf_dir, "documents", "doc_id", "text"), BYTE_BPE)
+
+
+@query
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes and tokens of every document."""
+    return token_counts.count_tokens(read(spark, sf_dir, "documents", "doc_id", "text"), BYTE_BPE)
