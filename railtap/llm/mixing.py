@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from railtap.llm.common import WORD, block_number, need, running_total, stored, swap_or_not
 
 WEIGHTS = (5, 2, 1)
-_CHUNK = 65_536
+_CHUNK = 8_192
 
 
 @dataclass
@@ -98,10 +98,12 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, percent: int = 150,
     documents = stored(running_total(named.select("rid", "doc_id", "s", "size"), ["s"], "rid", F.col("size"), "start",
                                      block_number(docs.count())), "mix-documents")
 
-    # slots of a source, dealt out in chunks so that a large source is no single task's work
+    # slots of a source, dealt out in chunks so that a large source is no single task's work; they are written, so
+    # that the joins below know how many there are
+    total = int(sources.agg(F.sum("n")).first()[0] or 0)
     chunks = sources.filter("n > 0").withColumn(
         "chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(n - 1) div {_CHUNK}"))))
-    slots = chunks.repartition(F.col("s"), F.col("chunk")).withColumn(
+    slots = chunks.repartition(1 + total // (8 * _CHUNK), F.col("s"), F.col("chunk")).withColumn(
         "i", F.explode(F.sequence(F.col("chunk") * _CHUNK, F.least(F.col("n"), (F.col("chunk") + 1) * _CHUNK) - 1)))
     slots = slots.withColumn("pass", F.expr("i div blocks")).withColumn("t", F.col("i") % F.col("blocks"))
     place = swap_or_not(F.col("first") + F.col("i"), F.col("total"), F.lit(seed))
@@ -112,16 +114,15 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, percent: int = 150,
     last = (F.col("i") == F.col("n") - 1) & (F.col("more") > 0)
     slots = slots.withColumn("place", place).withColumn("block", block).withColumn(
         "words", words - F.when(last, F.col("cut")).otherwise(F.lit(0)))
-    slots = slots.select(F.expr(f"place div {shard_slots}").alias("shard"), (F.col("place") % shard_slots).alias("slot"),
-                         "s", "pass", "block", "words")
+    slots = stored(slots.select(F.expr(f"place div {shard_slots}").alias("shard"), (F.col("place") % shard_slots).alias("slot"),
+                                "s", "pass", "block", "words"), "mix-slots")
 
     some = documents.filter("size > 0").withColumn("end", F.col("start") + F.col("size"))
     pieces = some.withColumn("block", F.explode(F.sequence(F.expr(f"start div {block_words}"), F.expr(f"(end - 1) div {block_words}"))))
     lo = F.greatest(F.col("start"), F.col("block") * block_words)
     pieces = pieces.select("s", "block", "rid", (lo - F.col("start")).alias("start"), (lo - F.col("block") * block_words).alias("from"),
                            (F.least(F.col("end"), (F.col("block") + 1) * block_words) - lo).alias("length"))
-    total = sources.agg(F.sum("n")).first()[0] or 0
-    return Mix(documents, sources, slots, pieces, int(total))
+    return Mix(documents, sources, slots, pieces, total)
 
 
 def sized(docs: DataFrame) -> DataFrame:
