@@ -7,7 +7,7 @@ from collections.abc import Callable
 from public_tokenizers import path as tokenizer_path
 from pyspark.sql import DataFrame, SparkSession
 
-from railtap.llm import mixing, packing, token_counts
+from railtap.llm import mixing, packing, quality, token_counts
 from railtap.llm.common import read
 from railtap.session import configure
 
@@ -37,6 +37,14 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents", "doc_id", "text"), BYTE_BPE)
 
 
+@query
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base measures and verdict of every document."""
+    return quality.judge(read(spark, sf_dir, "documents", "doc_id", "text"),
+                         read(spark, sf_dir, "labels", "doc_id", "quality")).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 @query
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes and tokens of every document."""
