@@ -7,7 +7,8 @@ from collections.abc import Callable
 from public_tokenizers import path as tokenizer_path
 from pyspark.sql import DataFrame, SparkSession
 
-from railtap.llm import mixing, packing, quality, token_counts
+import corpus_pipeline
+from railtap.llm import mixing, near_dedup, packing, quality, token_counts
 from railtap.llm.common import read
 from railtap.session import configure
 
@@ -49,3 +50,15 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes and tokens of every document."""
     return token_counts.count_tokens(read(spark, sf_dir, "documents", "doc_id", "text"), BYTE_BPE)
+
+
+@query
+def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate group of every document, on pairs of words."""
+    return near_dedup.find(read(spark, sf_dir, "documents", "doc_id", "text"), size=2)
+
+
+@query
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents through quality rules, near-dedup, mixing and packing."""
+    return corpus_pipeline.run(spark, sf_dir)
