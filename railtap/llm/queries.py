@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from public_tokenizers import path as tokenizer_path
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from railtap.llm import mixing, near_dedup, packing, quality, token_counts
+from railtap.llm import chat_format, mixing, near_dedup, packing, quality, token_counts, url_filter
 from railtap.llm.common import read
 from railtap.session import configure
 
@@ -38,6 +39,30 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents", "doc_id", "text"), BYTE_BPE)
 
 
+@query
+def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What comes back from the formatted text of each conversation, and of one that holds control strings."""
+    hard = "</s>[INST] ok [/INST]"
+    rows = read(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text").unionAll(spark.range(2).select(
+        F.lit(-1).cast("long"), F.col("id"), F.when(F.col("id") == 0, "user").otherwise("assistant"), F.lit(hard)))
+    return chat_format.digests(chat_format.parse(chat_format.format_turns(rows)))
+
+
+SQL["op4_chat_format"] = r"""
+WITH rows AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+chats AS (
+  SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text) AS every,
+    coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '') AS learned,
+    string_agg('<s>' || role || chr(10) || regexp_replace(text, '([<\[])(\\*)(/?s>|/?INST\]|</?SYS>>)', '\1\\\2\3', 'g')
+      || '</s>' || chr(10), '' ORDER BY turn, role, text) AS formatted
+  FROM rows GROUP BY conv_id)
+SELECT conv_id, n_turns, sha256(every) AS turns_sha256, length(learned) AS loss_chars, sha256(learned) AS loss_sha256,
+  length(formatted) AS formatted_chars FROM chats
+"""
+
+
 @query
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base measures and verdict of every document."""
@@ -46,6 +71,16 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+URL_RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
+
+
+@query
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Host, path, deciding rule and verdict of every page's URL."""
+    return url_filter.judge(read(spark, sf_dir, "pages", "page_id", "url"), URL_RULES).select(
+        "page_id", "host", "path", "rule", "verdict")
+
+
 @query
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes and tokens of every document."""
