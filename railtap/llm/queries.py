@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from railtap.llm import chat_format, mixing, near_dedup, packing, quality, token_counts, url_filter
+from railtap.llm import chat_format, mixing, near_dedup, packing, quality, token_counts, url_filter, warc
 from railtap.llm.common import read
 from railtap.session import configure
 
@@ -81,6 +81,24 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
         "page_id", "host", "path", "rule", "verdict")
 
 
+@query
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages written as WARC records, later copies of a payload as revisits, and read back."""
+    return warc.read_back(spark, warc.write_pages(read(spark, sf_dir, "pages", "page_id", "url", "html")))
+
+
+SQL["op8_warc"] = """
+WITH body AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS hex FROM pages),
+first AS (SELECT hex, min(page_id) AS first FROM body GROUP BY hex)
+SELECT page_id, octet_length(encode(html)) AS payload_bytes,
+  list_aggregate(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((
+    CAST('0x' || substr(hex, CAST(5 * (i // 4) + 1 AS INT), 5) AS INT) >> CAST(15 - 5 * (i % 4) AS INT)) & 31), 1)), 'string_agg', '') AS payload_digest,
+  CASE WHEN page_id IS DISTINCT FROM first AND first IS NOT NULL THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN page_id IS DISTINCT FROM first THEN first END AS refers_to
+FROM body JOIN first USING (hex)
+"""
+
+
 @query
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes and tokens of every document."""
