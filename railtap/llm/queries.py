@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from railtap.llm import chat_format, mixing, near_dedup, packing, quality, token_counts, url_filter, warc
+from railtap.llm import ann, chat_format, mixing, near_dedup, packing, quality, token_counts, url_filter, warc
 from railtap.llm.common import read
 from railtap.session import configure
 
@@ -111,6 +111,12 @@ def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.find(read(spark, sf_dir, "documents", "doc_id", "text"), size=2)
 
 
+@query
+def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest rows of each row whose id is divisible by 20."""
+    return ann.search(read(spark, sf_dir, "embeddings", "vec_id", "embedding"), "vec_id % 20 = 0")
+
+
 @query
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents through quality rules, near-dedup, mixing and packing."""
