@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from railtap.llm import ann, chat_format, mixing, near_dedup, packing, quality, token_counts, url_filter, warc
+from railtap.llm import ann, chat_format, html_text, mixing, near_dedup, packing, quality, token_counts, url_filter, warc
 from railtap.llm.common import read
 from railtap.session import configure
 
@@ -39,6 +39,12 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents", "doc_id", "text"), BYTE_BPE)
 
 
+@query
+def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return html_text.extract(read(spark, sf_dir, "pages", "page_id", "url", "html"))
+
+
 @query
 def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What comes back from the formatted text of each conversation, and of one that holds control strings."""
