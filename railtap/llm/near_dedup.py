@@ -273,6 +273,7 @@ def find(docs: DataFrame, size: int = 5, percent: int = 80, trees: int = TREES)
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
     """The documents of ``docs``, one of each near-duplicate group; rows equal in id and text count once."""
-    kept = find(docs, **options).filter("kept").select(F.col("doc_id").alias("_id")).distinct()
-    one = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-    return one.dropDuplicates(["doc_id", "text"])
+    kept = find(docs, **options).filter("kept").select(F.col("doc_id").alias("kept_id")).distinct()
+    rows = docs.select(F.struct("*").alias("row"), "doc_id", F.md5(F.col("text").cast("binary")).alias("text_md5"))
+    one = rows.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
+    return one.dropDuplicates(["doc_id", "text_md5"]).select("row.*")
