@@ -270,7 +270,7 @@ class WarcReader(DataSourceReader):
         return [_File(i.path) for i in here if i.path.endswith((".warc", ".warc.gz"))]
 
     def read(self, partition: _File) -> Iterator[tuple]:
-        if partition.value is None:  # what an archive without files is given
+        if partition is None:  # what an archive without files is given
             return
         fs, _ = _folder(self.path)
         with fs.open_input_file(partition.value) as file:
