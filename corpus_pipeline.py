@@ -6,16 +6,17 @@ from public_tokenizers import path as tokenizer_path
 from pyspark.sql import DataFrame, SparkSession
 
 from railtap.llm import mixing, near_dedup, packing, quality
-from railtap.llm.common import read, stored
+from railtap.llm.common import read, small_batches, stored
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rules and the n-gram ratio keep."""
-    return quality.keep(docs, read(spark, sf_dir, "labels", "doc_id", "quality"))
+    return quality.keep(docs, read(small_batches(spark), sf_dir, "labels", "doc_id", "quality"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group: five-word shingles, similarity 0.8 or more."""
+    small_batches(spark)
     return near_dedup.keep_one(docs)
 
 
@@ -26,6 +27,7 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the mixed documents in windows of at most 2048 tokens."""
+    small_batches(spark)
     return packing.pack(docs, tokenizer_path("byte_bpe_50k.json"))
 
 

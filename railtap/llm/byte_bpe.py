@@ -14,7 +14,7 @@ import re
 from array import array
 from functools import lru_cache
 
-MEMO = 400_000
+MEMO = 200_000
 
 # The pre-token pattern of byte-level vocabularies.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"

@@ -16,6 +16,13 @@ WORD = r"[^\x20\x09-\x0D]+"
 ROUNDS = 24
 
 
+def small_batches(spark: SparkSession) -> SparkSession:
+    """Hand texts to Python tasks a few MB at a time, whatever their length."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "16m")
+    return spark
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written to the shared folder and read back; row ids made before stay as they are."""
     return checkpoint(df.sparkSession, df, name)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from railtap.llm import ann, chat_format, html_text, mixing, near_dedup, packing, quality, token_counts, url_filter, warc
-from railtap.llm.common import read
+from railtap.llm.common import read, small_batches
 from railtap.session import configure
 
 BYTE_BPE = tokenizer_path("byte_bpe_50k.json")
@@ -21,7 +21,7 @@ SQL: dict[str, str] = {}
 
 def query(fn):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return fn(configure(spark), sf_dir)
+        return fn(small_batches(configure(spark)), sf_dir)
     run.__doc__ = fn.__doc__
     QUERIES[fn.__name__] = run
     return fn
