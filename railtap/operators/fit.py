@@ -18,8 +18,6 @@ from railtap.operators.order import Track, numeric_blocks, text_blocks, with_ord
 from railtap.schema import MISSING
 from railtap.session import checkpoint
 
-ONE_SORT_ROWS = 1 << 16
-
 
 @dataclass
 class Fitted:
@@ -64,10 +62,8 @@ def entry(kind: str, token: Column, value: Column | None = None) -> Column:
 
 
 def _numbered(words: DataFrame, keys: list[str], start: int, blocks) -> DataFrame:
-    """Dense ids in key order: one sort when the counted table is small, block-wise beyond that."""
+    """Dense ids in key order, block by block."""
     rows = words.withColumn("_g", F.lit(0))
-    if words.count() <= ONE_SORT_ROWS:
-        return rows.withColumn("id", (F.row_number().over(W.partitionBy("_g").orderBy(*keys)) + (start - 1)).cast("bigint"))
     return with_ordinal(blocks(rows, keys[0], "_b"), Track(("_g",), tuple(keys), F.col("_b")), "id", start)
 
 

@@ -1,13 +1,17 @@
 """Joining split packets back together.
 
 Consecutive packets of one capture with equal merge key form a group.  Group
-numbers come from block-wise run numbering, aggregation is one ``groupBy`` on
-them, so neither step depends on how large a capture is.
+numbers come from block-wise run numbering.  Aggregation is a ``groupBy`` on
+(group, chunk of ``CHUNK_ROWS`` packets), so that a group of any length never
+meets in one task; what holds for the group as a whole is then spread over its
+chunk rows.  Together the chunk rows hold every value of the group.  A group of
+up to ``CHUNK_ROWS`` packets is one row, with ``chunk`` 0.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from railtap.functions.coerce import iso_epoch_ms
@@ -22,7 +26,7 @@ ID_FIELDS = ("sq", "modbus_sq", "xgt_fen_sq", "transaction_id", "trans_id", "tid
 PAIR_COLUMNS = {"modbus": ("modbus_regs_translated_addr", "modbus_regs_val"),
                 "xgt_fen": ("xgt_fen_word_offset", "xgt_fen_word_value")}
 DEFAULT_BUCKET_MS = 3
-LIST_ROWS = 1 << 16
+CHUNK_ROWS = 1 << 16
 
 
 def _mergeable(df: DataFrame, protocols) -> Column:
@@ -60,36 +64,43 @@ def _prefixed(df: DataFrame, protocols) -> list[str]:
     return [c for c in df.columns if any(c.startswith(p + "_") for p in protocols)]
 
 
-def _ordered_list(value: Column, order: Column, rows: int, keep_null: bool) -> Column:
-    """Values of a group in order, the first ``rows`` of them; longer groups continue in :func:`list_overflow`."""
+def _ordered_list(value: Column, order: Column, keep_null: bool) -> Column:
+    """Values of a chunk in order."""
     # a null value inside a struct survives collect_list
-    pick = (order < rows) if keep_null else (order < rows) & value.isNotNull()
-    items = F.array_sort(F.collect_list(F.when(pick, F.struct(order.alias("i"), value.alias("v")))))
+    item = F.struct(order.alias("i"), value.alias("v"))
+    items = F.array_sort(F.collect_list(item if keep_null else F.when(value.isNotNull(), item)))
     return F.transform(items, lambda s: s["v"])
 
 
+def _chunked(df: DataFrame, chunk_rows: int) -> DataFrame:
+    return df.withColumn("chunk", F.floor(F.col("idx") / F.lit(chunk_rows)))
+
+
+def _whole(by: tuple[str, ...]):
+    """A group's chunk rows: one per ``CHUNK_ROWS`` packets."""
+    return W.partitionBy(*by, "merge_event_id")
+
+
 def merge_online(grouped: DataFrame, by, order: str, protocols=MERGE_PROTOCOLS,
-                 list_rows: int = LIST_ROWS) -> DataFrame:
-    """One packet per group: the first packet, each protocol field replaced by the group's value.
+                 chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+    """A row per group and chunk: the group's first packet, each protocol field replaced by the group's value.
 
-    A field with one distinct non-null value keeps it; otherwise it becomes the
-    JSON list of the non-null values in order.  Whether values differ is decided
-    by mergeable min/max; lists hold at most ``list_rows`` items of a group and
-    :func:`list_overflow` gives the rest of longer ones, so no list is unbounded.
+    A field with one distinct non-null value in the group keeps it; otherwise it
+    becomes the JSON list of the chunk's non-null values in order.
     """
     fields = _prefixed(grouped, protocols)
-    return _merge(grouped, by, order, fields, (), protocols, list_rows, keep_null=False)
+    return _merge(grouped, by, order, fields, (), protocols, chunk_rows, keep_null=False)
 
 
 def merge_offline(grouped: DataFrame, by, order: str, protocols=MERGE_PROTOCOLS,
-                  list_rows: int = LIST_ROWS) -> DataFrame:
+                  chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """Batch merge: the address and value columns are concatenated as text lists, every other protocol
     field is the common value or the full JSON list with nulls; a lone packet is left as it is."""
     pairs = tuple(c for p in protocols for c in PAIR_COLUMNS.get(p, ()) if c in grouped.columns)
-    return _merge(grouped, by, order, _prefixed(grouped, protocols), pairs, protocols, list_rows, keep_null=True)
+    return _merge(grouped, by, order, _prefixed(grouped, protocols), pairs, protocols, chunk_rows, keep_null=True)
 
 
-def _merge(df, by, order, fields, pairs, protocols, list_rows, keep_null):
+def _merge(df, by, order, fields, pairs, protocols, chunk_rows, keep_null):
     by = (by,) if isinstance(by, str) else tuple(by)
     at, i = F.col(order), F.col("idx")
     base = [c for c in df.columns if c not in (*by, "merge_event_id", "idx")]
@@ -98,12 +109,16 @@ def _merge(df, by, order, fields, pairs, protocols, list_rows, keep_null):
     for f in plain:
         c = F.col(f)
         aggs += [F.min(c).alias(f"_lo_{f}"), F.max(c).alias(f"_hi_{f}"), F.count(c).alias(f"_c_{f}"),
-                 _ordered_list(c, i, list_rows, keep_null).alias(f"_l_{f}")]
+                 _ordered_list(c, i, keep_null).alias(f"_l_{f}")]
     for f in pairs:
         items = F.when(F.trim(f).rlike(r"(?s)^\[.*\]$"), F.coalesce(
             F.from_json(F.col(f), "array<string>"), F.array(f))).when(F.col(f).isNotNull(), F.array(f))
-        aggs.append(F.flatten(_ordered_list(items, i, list_rows, False)).alias(f"_l_{f}"))
-    g = df.groupBy(*by, "merge_event_id").agg(*aggs)
+        aggs.append(F.flatten(_ordered_list(items, i, False)).alias(f"_l_{f}"))
+    g = _chunked(df, chunk_rows).groupBy(*by, "merge_event_id", "chunk").agg(*aggs)
+    w = _whole(by)
+    first = w.orderBy("chunk").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    g = g.withColumns({"raw_count": F.sum("raw_count").over(w), "_base": F.first("_base").over(first)} | {
+        f"_{k}_{f}": e(f"_{k}_{f}").over(w) for f in plain for k, e in (("lo", F.min), ("hi", F.max), ("c", F.sum))})
     proto = protocol_alias(F.col("_base.protocol"))
 
     def merged(f: str) -> Column:
@@ -119,12 +134,12 @@ def _merge(df, by, order, fields, pairs, protocols, list_rows, keep_null):
             new = F.when(c == 0, F.lit(None).cast("string")).when(same, lo).otherwise(F.to_json(f"_l_{f}"))
         return F.when(use, new).otherwise(F.col("_base")[f])
 
-    return g.select(*by, "merge_event_id", "raw_count",
+    return g.select(*by, "merge_event_id", "chunk", "raw_count",
                     *[(merged(c) if c in fields else F.col("_base")[c]).alias(c) for c in base])
 
 
-def list_overflow(grouped: DataFrame, by, protocols=MERGE_PROTOCOLS, list_rows: int = LIST_ROWS) -> DataFrame:
-    """Values past the first ``list_rows`` of a group, one row per (group, field, place)."""
+def list_overflow(grouped: DataFrame, by, list_rows: int, protocols=MERGE_PROTOCOLS) -> DataFrame:
+    """Values past the first ``list_rows`` of a group in long form, one row per (group, field, place); 0 gives all."""
     by = (by,) if isinstance(by, str) else tuple(by)
     fields = _prefixed(grouped, protocols)
     rest = grouped.where(F.col("idx") >= list_rows).select(*by, "merge_event_id", "idx", *fields)
@@ -132,17 +147,23 @@ def list_overflow(grouped: DataFrame, by, protocols=MERGE_PROTOCOLS, list_rows:
 
 
 def group_meta(grouped: DataFrame, by, order: str, ident: str, ts_ms: str, pop_time: str, ingest: str,
-               list_rows: int = LIST_ROWS) -> DataFrame:
-    """Ids, time range, pop times and counts of every group."""
+               chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+    """Ids (those of the chunk), time range, pop times and counts of every group, a row per group and chunk."""
     by = (by,) if isinstance(by, str) else tuple(by)
-    at = F.col(order)
-    ids = _ordered_list(F.col(ident), F.col("idx"), list_rows, False)
-    return grouped.groupBy(*by, "merge_event_id").agg(
-        F.min_by("protocol", at).alias("protocol"), ids.alias("ids"), F.min_by(ident, at).alias("first_id"),
-        F.coalesce(F.min(ts_ms), F.lit(0)).alias("ts_ms_min"), F.coalesce(F.max(ts_ms), F.lit(0)).alias("ts_ms_max"),
-        F.min_by(pop_time, F.when(F.col(pop_time).isNotNull(), at)).alias("pop_time_first"),
-        F.max_by(pop_time, F.when(F.col(pop_time).isNotNull(), at)).alias("pop_time_last"),
+    at, popped = F.col(order), F.when(F.col(pop_time).isNotNull(), F.col(order))
+    g = _chunked(grouped, chunk_rows).groupBy(*by, "merge_event_id", "chunk").agg(
+        F.min_by("protocol", at).alias("protocol"), _ordered_list(F.col(ident), F.col("idx"), False).alias("ids"),
+        F.min_by(ident, at).alias("first_id"), F.min(ts_ms).alias("ts_ms_min"), F.max(ts_ms).alias("ts_ms_max"),
+        F.min_by(pop_time, popped).alias("pop_time_first"), F.max_by(pop_time, popped).alias("pop_time_last"),
         F.count(F.lit(1)).alias("raw_count"), F.min(ingest).alias("ingest_id_min"), F.max(ingest).alias("ingest_id_max"))
+    w = _whole(by)
+    every = w.orderBy("chunk").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    return g.withColumns({
+        "protocol": F.first("protocol").over(every), "first_id": F.first("first_id").over(every),
+        "ts_ms_min": F.coalesce(F.min("ts_ms_min").over(w), F.lit(0)), "ts_ms_max": F.coalesce(F.max("ts_ms_max").over(w), F.lit(0)),
+        "pop_time_first": F.first("pop_time_first", True).over(every), "pop_time_last": F.last("pop_time_last", True).over(every),
+        "raw_count": F.sum("raw_count").over(w), "ingest_id_min": F.min("ingest_id_min").over(w),
+        "ingest_id_max": F.max("ingest_id_max").over(w)})
 
 
 def audit_before(grouped: DataFrame, by, *columns: str) -> DataFrame:
@@ -154,11 +175,11 @@ def audit_before(grouped: DataFrame, by, *columns: str) -> DataFrame:
 def audit_after(merged: DataFrame, by, *columns: str) -> DataFrame:
     """Audit rows of the packets coming out: one per group."""
     by = (by,) if isinstance(by, str) else tuple(by)
-    return merged.select(*by, "merge_event_id", F.lit(0).cast("bigint").alias("idx"), "raw_count",
+    return merged.where("chunk = 0").select(*by, "merge_event_id", F.lit(0).cast("bigint").alias("idx"), "raw_count",
                          F.lit(1).cast("bigint").alias("merged_count"), *columns)
 
 
 def merge_totals(merged: DataFrame, by=()) -> DataFrame:
     """Raw packets in, groups out."""
     by = (by,) if isinstance(by, str) else tuple(by)
-    return merged.groupBy(*by).agg(F.sum("raw_count").alias("packets_in"), F.count(F.lit(1)).alias("groups_out"))
+    return merged.where("chunk = 0").groupBy(*by).agg(F.sum("raw_count").alias("packets_in"), F.count(F.lit(1)).alias("groups_out"))

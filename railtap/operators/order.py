@@ -18,11 +18,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from railtap.session import block_count
+from railtap.session import block_count, checkpoint
 
 DEFAULT_BLOCK_ROWS = 1 << 18
-_SAMPLE_PER_BLOCK = 32
-_MAX_TEXT_SPLITS = 256
 
 
 @dataclass(frozen=True)
@@ -61,20 +59,12 @@ def numeric_blocks(df: DataFrame, col: str, out: str, n: int | None = None) -> D
 
 
 def text_blocks(df: DataFrame, col: str, out: str, n: int | None = None) -> DataFrame:
-    """Add ``out``: range blocks of a distinct text column, split at points of a hash-ordered sample.
+    """Add ``out``: range blocks of a text column, as Spark's range partitioning cuts them.
 
-    The sample has a fixed size whatever the table holds; uneven splits cost
-    balance, never correctness.
+    The result is written, since another run of the partitioning may cut elsewhere.
     """
-    n = min(n or block_count(df.sparkSession), _MAX_TEXT_SPLITS)
-    rows = (df.where(F.col(col).isNotNull()).select(col)
-            .orderBy(F.xxhash64(col), col).limit(_SAMPLE_PER_BLOCK * n).collect())
-    sample = sorted({r[0] for r in rows}, key=lambda s: s.encode())
-    points = [sample[i * len(sample) // n] for i in range(1, n)] if sample else []
-    points = sorted(set(points), key=lambda s: s.encode())
-    block = (F.size(F.filter(F.array(*[F.lit(p) for p in points]), lambda p: p <= F.col(col)))
-             if points else F.lit(0))
-    return df.withColumn(out, block)
+    cut = df.repartitionByRange(n or block_count(df.sparkSession), col).withColumn(out, F.spark_partition_id())
+    return checkpoint(df.sparkSession, cut, "text-blocks")
 
 
 def _blocked(df: DataFrame, t: Track) -> DataFrame:

@@ -52,12 +52,3 @@ def checkpoint(spark: SparkSession, df, name: str = "cut"):
 def block_count(spark: SparkSession) -> int:
     """How many range blocks to cut a global order into: one per shuffle partition."""
     return max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
-
-
-def spread(df):
-    """Give a scan of few, small files one partition per core before costly per-row work.
-
-    Does nothing once the input has that many splits, as any large input does.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -28,13 +28,13 @@ def _origin_schema() -> T.StructType:
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Text lines with file name and line number (from 1).
+    """Text lines with the file's full path, its short ``name`` and the line number (from 1).
 
     A file is numbered split by split: rows of a split keep their order, splits
     are ordered by their offset, so no file has to pass through one task.
     """
     rows = (spark.read.text(path).select(
-        "value", F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("_at"),
+        "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_name").alias("name"), F.col("_metadata.file_block_start").alias("_at"),
         F.monotonically_increasing_id().alias("_row")))
     t = Track(("file",), ("_at", "_row"), F.col("_at"))
     return with_ordinal(rows, t, "line_no", start=1).drop("_at", "_row")
@@ -125,12 +125,14 @@ def union_streams(streams: list[DataFrame], ident: str) -> DataFrame:
     return out.withColumn("ts_ms", ms).withColumn("id_seq", seq)
 
 
-def check_capture(spark: SparkSession, path: str, rows: int = 50) -> None:
-    """Fail fast on a capture that is empty or whose first records do not parse."""
-    head = spark.read.text(path).where(F.trim("value") != "").limit(rows)
-    got = head.select(F.from_json("value", "`@timestamp` STRING", {"mode": "PERMISSIVE",
-                      "columnNameOfCorruptRecord": "_bad"}).alias("o"), F.trim("value").startswith("{").alias("ok")).collect()
+def check_capture(spark: SparkSession, path: str) -> None:
+    """Fail fast on a capture that is empty or whose first record is no JSON object."""
+    head = spark.read.text(path).where(F.trim("value") != "").limit(1)
+    schema = T.StructType.fromDDL("`@timestamp` STRING, _bad STRING")
+    obj = F.from_json(F.trim("value"), schema, {"columnNameOfCorruptRecord": "_bad"})
+    got = head.withColumn("o", obj).select((F.trim("value").startswith("{") & F.col("o").isNotNull()
+                                            & F.col("o._bad").isNull()).alias("ok")).collect()
     if not got:
         raise ValueError(f"{path} holds no records")
-    if not any(r["ok"] for r in got):
-        raise ValueError(f"the first records of {path} are not JSON objects")
+    if not got[0]["ok"]:
+        raise ValueError(f"the first record of {path} is not a JSON object")

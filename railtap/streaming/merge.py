@@ -18,7 +18,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from railtap.operators.merge import merge_online, online_key
-from railtap.operators.order import Track, islands, with_ordinal
+from railtap.operators.order import Track, islands, numeric_blocks, with_ordinal
 from railtap.schema import MERGE_PROTOCOLS
 
 
@@ -45,12 +45,9 @@ class MergeStream:
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
         cap, rows = self.capture, batch
-        lead = F.col(self.order[0])
         # number the batch's rows oldest first; later ones of an earlier time are simply appended
-        low = rows.agg(F.min(lead), F.max(lead)).first()
-        width = max(1, ((low[1] or 0) - (low[0] or 0)) // 64)
-        t = Track((cap,), self.order, F.floor(lead / width))
-        rows = with_ordinal(rows, t, "_arrival")
+        rows = numeric_blocks(rows, self.order[0], "_part")
+        rows = with_ordinal(rows, Track((cap,), self.order, F.col("_part")), "_arrival").drop("_part")
         counters, carried = self._earlier("counters", batch_id), self._earlier("open", batch_id)
         if counters is None:
             rows = rows.withColumn("_groups", F.lit(0).cast("bigint"))

@@ -44,14 +44,14 @@ def metrics_by_tag(spark, sf):
 
 
 @query("prediction_join", """WITH t AS (SELECT doc_id AS window_index, max(CASE WHEN toxic > 0 THEN 1 ELSE 0 END) AS y_true FROM labels GROUP BY 1),
-p AS (SELECT doc_id % 700 AS window_index, last(n_chars ORDER BY doc_id) AS score, last(CASE WHEN doc_id % 6 = 0 THEN -1 ELSE CAST(n_chars > 900 AS INT) END ORDER BY doc_id) AS y_pred FROM documents GROUP BY 1)
+p AS (SELECT doc_id // 2 AS window_index, last(n_chars ORDER BY doc_id) AS score, last(CASE WHEN doc_id % 6 = 0 THEN -1 ELSE CAST(n_chars > 900 AS INT) END ORDER BY doc_id) AS y_pred FROM documents GROUP BY 1)
 SELECT window_index, CAST(score AS BIGINT) AS score, CAST(y_pred AS INT) AS y_pred, y_true FROM p JOIN t USING (window_index) WHERE y_pred <> -1""")
 def prediction_join(spark, sf):
     """Repeated predictions keep the last, unknown ones are ignored, both sides must know the window."""
     truth = EV.ground_truth(table(spark, sf, "labels").select(F.col("doc_id").alias("window_index"), F.col("toxic").alias("is_anomaly")))
     i = F.col("doc_id")
     pred = table(spark, sf, "documents").select(
-        (i % 700).alias("window_index"), i.alias("at"), F.col("n_chars").alias("score"),
+        F.floor(i / 2).alias("window_index"), i.alias("at"), F.col("n_chars").alias("score"),
         F.when(i % 6 == 0, -1).otherwise((F.col("n_chars") > 900).cast("int")).alias("y_pred"))
     return EV.join_predictions(pred, truth, ignore_unknown=True, order="at").select("window_index", "score", "y_pred", "y_true")
 

@@ -40,6 +40,30 @@ def jsonl_scan(spark, sf):
                     F.col("meta.packet_ts_ms").alias("packet_ts_ms"), (~F.col("meta.id").startswith("file:")).alias("given_id"))
 
 
+def _rename_only(spark, folder: str) -> None:
+    """Give the one text file below ``folder``/part the name p.jsonl."""
+    jvm = spark.sparkContext._jvm.org.apache.hadoop.fs
+    part = jvm.Path(f"{folder}/part")
+    fs = part.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    name = next(f.getPath() for f in fs.listStatus(part) if f.getPath().getName().startswith("part-"))
+    fs.rename(name, jvm.Path(f"{folder}/p.jsonl"))
+
+
+@query("jsonl_scan_folders", """SELECT CASE WHEN event_id % 2 = 0 THEN 'a' ELSE 'b' END AS folder, event_id, row_number() OVER (PARTITION BY event_id % 2 ORDER BY event_id) AS line_no,
+ true AS own_id FROM events""")
+def jsonl_scan_folders(spark, sf):
+    """Two folders with files of one name: each file counts its own lines and names its own packets."""
+    p = packets(spark, sf, "seq")
+    root = fresh_path(spark, "folders")
+    for k, folder in enumerate("ab"):
+        lines = p.where(F.col("seq") % 2 == k).repartitionByRange(1, "seq").sortWithinPartitions("seq")
+        lines.select(F.concat(F.lit('{"sq": "'), F.col("seq").cast("string"), F.lit('"}')).alias("value")).write.text(f"{root}/{folder}/part")
+        _rename_only(spark, f"{root}/{folder}")
+    r = J.read_packets(spark, f"{root}/*/*.jsonl")
+    own = F.col("meta.id") == F.concat(F.lit("file:"), "file", F.lit(":"), F.col("line_no").cast("string"))
+    return r.select(F.regexp_extract("file", "/([ab])/p[.]jsonl$", 1).alias("folder"), F.col("sq").cast("bigint").alias("event_id"), "line_no", own.alias("own_id"))
+
+
 @query("jsonl_scan_bad_lines", """SELECT count(*) FILTER (event_id % 5 < 3) AS good, count(*) FILTER (event_id % 10 = 3) + count(*) FILTER (event_id % 5 = 4) AS bad FROM events""")
 def jsonl_scan_bad_lines(spark, sf):
     """Unparsable lines kept with their text; blank ones still skipped."""

@@ -15,7 +15,6 @@ from suite.base import event_track, packets, pkt_sql, query, r6, round_doubles,
 from suite.packets import SQL_IMPACT
 
 T = D = 8
-MAX_CLASSES = 256
 NAMES = [f"f{i}" for i in range(64)]
 # Weights of the eight features in the weighted errors: 1, 1.5, 2, ...
 WEIGHTS = [1.0 + 0.5 * i for i in range(D)]
@@ -192,15 +191,15 @@ def class_probs(spark, sf):
     """Class probabilities: softmax of the negative squared distance to every centroid.
 
     The centroids are the classifier's parameters, one vector per class, and
-    enter the plan as literals; more classes than a classifier has are refused.
+    enter the plan as literals.
     """
     v = vectors(spark, sf)
-    cs = centroids(v).orderBy("label").limit(MAX_CLASSES + 1).collect()
-    if len(cs) > MAX_CLASSES:
-        raise ValueError(f"more than {MAX_CLASSES} classes")
+    cs = centroids(v).orderBy("label").collect()
     j = v.withColumn("cs", F.array(*[F.array(*[F.lit(float(a)) for a in r["c"]]) for r in cs]))
     dist = F.transform("cs", lambda c: F.aggregate(F.zip_with("x", c, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, e: s + e))
-    ex = F.transform(dist, lambda d: F.exp(-4.0 * d))
+    j = j.select("vec_id", "label", dist.alias("dist")).withColumn("near", F.array_min("dist"))
+    # from the nearest on: at least one term is 1, so the sum is never 0
+    ex = F.transform("dist", lambda d: F.exp(-4.0 * (d - F.col("near"))))
     total = F.aggregate("ex", F.lit(0.0), lambda s, e: s + e)
     return j.select("vec_id", "label", ex.alias("ex")).select(
         "vec_id", "label", F.transform("ex", lambda e: e / total).alias("probs"))

@@ -36,17 +36,16 @@ def alert_ids(spark, sf):
 
 
 @query("union_oldest_first", f"""WITH {pkt_sql('seq', 'protocol', 'ts_us', 'k')}
-SELECT protocol, ts_us // 1000 AS ts_ms, seq, row_number() OVER (ORDER BY ts_us // 1000, seq) - 1 AS pos FROM pkt WHERE protocol IN ('modbus', 'xgt_fen', 's7comm')""")
+SELECT protocol, ts_us // 1000 AS ts_ms, seq, row_number() OVER (ORDER BY ts_us // 1000, seq) - 1 AS pos FROM pkt""")
 def union_oldest_first(spark, sf):
     """Several per-protocol streams read as one, oldest id first."""
     from railtap.sources.jsonl import union_streams
     p = packets(spark, sf, "seq", "protocol", "ts_us", "k")
     ids = p.select("protocol", F.concat_ws("-", F.floor(F.col("ts_us") / 1000).cast("string"),
                                            F.col("seq").cast("string")).alias("id"))
-    u = union_streams([ids.where(F.col("protocol") == x) for x in ("modbus", "xgt_fen", "s7comm")], "id")
-    u = u.withColumn("all", F.lit(0))
-    width = u.agg((F.max("ts_ms") - F.min("ts_ms")).alias("w")).first()["w"] or 0
-    t = O.Track(("all",), ("ts_ms", "id_seq"), F.floor(F.col("ts_ms") / max(1, width // 32)))
+    u = union_streams([ids.where(F.col("protocol") == x) for x in ("modbus", "xgt_fen", "s7comm", "dns", "arp")], "id")
+    u = O.numeric_blocks(u.withColumn("all", F.lit(0)), "ts_ms", "part")
+    t = O.Track(("all",), ("ts_ms", "id_seq"), F.col("part"))
     return O.with_ordinal(u, t, "pos").select("protocol", "ts_ms", F.col("id_seq").alias("seq"), "pos")
 
 
@@ -161,6 +160,36 @@ def merge_offline(spark, sf):
         "xgt_fen_data", "xgt_fen_word_value", "xgt_fen_word_offset")
 
 
+_LONG_CHUNK = 1024
+
+
+@query("merge_long_run", f"""WITH {pkt_sql('seq', 'k', 'sip', 'modbus_fc', 'modbus_regs_val', 'value')}, n AS (SELECT *, row_number() OVER (ORDER BY seq) - 1 AS idx FROM pkt)
+SELECT idx // {_LONG_CHUNK} AS chunk, (SELECT count(*) FROM n) AS raw_count, (SELECT min(seq) FROM n) AS seq, (SELECT arg_min(sip, seq) FROM n) AS sip,
+ CAST(to_json(list(modbus_fc ORDER BY seq)) AS VARCHAR) AS modbus_fc, CAST(to_json(list(modbus_regs_val ORDER BY seq)) AS VARCHAR) AS modbus_regs_val
+ FROM n GROUP BY idx // {_LONG_CHUNK}""")
+def merge_long_run(spark, sf):
+    """The whole table as one run: every value is in the chunk rows of its one group."""
+    p = packets(spark, sf, "seq", "k", "sip", "modbus_fc", "modbus_regs_val").withColumns(
+        {"capture": F.lit("all"), "protocol": F.lit("modbus"), "timestamp": F.lit("t"), "sq": F.lit("1")})
+    g = G.groups(p, event_track(p), G.offline_key(p))
+    return G.merge_online(g, "capture", "seq", chunk_rows=_LONG_CHUNK).select("chunk", "raw_count", "seq", "sip", "modbus_fc", "modbus_regs_val")
+
+
+@query("consecutive_groups_online", f"""WITH {pkt_sql('seq', 'capture', 'protocol', 'sq', 'ts_us', 'k')},
+keyed AS (SELECT *, CASE WHEN protocol IN ('modbus', 'xgt_fen') THEN CASE WHEN k % 2 = 0 THEN protocol || '|s|' || CAST(k % 3 AS VARCHAR)
+  ELSE protocol || '|' || CAST(ts_us // 1000 // 600000 AS VARCHAR) || '|bucket' END END AS key FROM pkt),
+prev AS (SELECT *, lag(key) OVER (PARTITION BY capture ORDER BY seq) AS pk FROM keyed),
+flag AS (SELECT *, CASE WHEN key IS NULL OR pk IS NULL OR key <> pk THEN 1 ELSE 0 END AS new FROM prev)
+SELECT capture, seq, CAST(sum(new) OVER (PARTITION BY capture ORDER BY seq) AS BIGINT) AS merge_event_id FROM flag""")
+def consecutive_groups_online(spark, sf):
+    """Runs by the serving key with the envelope's time: ids, time buckets and packets that never merge."""
+    p = packets(spark, sf, "seq", "capture", "protocol", "sq", "ts_us", "k")
+    p = p.withColumns({"timestamp": F.when(F.col("k") % 2 == 0, "s").otherwise(""), "sq": (F.col("k") % 3).cast("string"),
+                       "ts_ms": F.floor(F.col("ts_us") / 1000)})
+    g = G.groups(p, event_track(p), G.online_key(p, bucket_ms=600000, ts_ms="ts_ms"))
+    return g.select("capture", "seq", "merge_event_id")
+
+
 @query("merge_list_overflow", f"""WITH {_RUNS}, long AS (
  SELECT capture, merge_event_id, idx, 'modbus_fc' AS field, modbus_fc AS value FROM runs UNION ALL
  SELECT capture, merge_event_id, idx, 'xgt_fen_data', xgt_fen_data FROM runs) SELECT * FROM long WHERE idx >= 2""")
@@ -178,7 +207,7 @@ def group_meta(spark, sf):
     """Ids, times and counts of every merged group."""
     g = _runs(spark, sf).withColumn("id", F.concat(F.lit("id-"), F.col("seq").cast("string"))) \
         .withColumn("ts_ms", F.floor(F.col("ts_us") / 1000))
-    m = G.group_meta(g, "capture", "seq", "id", "ts_ms", "timestamp", "seq")
+    m = G.group_meta(g, "capture", "seq", "id", "ts_ms", "timestamp", "seq").drop("chunk")
     return m.withColumn("ids", F.array_join("ids", ","))
 
 

@@ -115,7 +115,8 @@ def stream_counters(spark, sf):
     p = packets(spark, sf, "seq", "value")
     src = fresh_path(spark, "stream")
     schema = _deliver(p, src)
-    q = SS.start(SS.read_folder(spark, src, schema, files_per_trigger=1).writeStream.format("noop"), fresh_path(spark, "progress"))
+    counters = fresh_path(spark, "counters")
+    q = SS.start(SS.counted(SS.read_folder(spark, src, schema, files_per_trigger=1), counters), fresh_path(spark, "progress"))
     q.awaitTermination()
-    t = SS.progress_table(spark, q).where("input_rows > 0").select("batch_id", "input_rows").distinct()
+    t = spark.read.parquet(counters).where("input_rows > 0")
     return t.agg(F.sum("input_rows").alias("raw_packets"), F.count(F.lit(1)).alias("batches"))

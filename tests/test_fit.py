@@ -18,9 +18,7 @@ def packets(spark):
     return spark.createDataFrame(rows, DDL).repartition(3)
 
 
-@pytest.mark.parametrize("limit", [0, 1 << 16])
-def test_fit_and_featurise(spark, monkeypatch, limit):
-    monkeypatch.setattr(FT, "ONE_SORT_ROWS", limit)
+def test_fit_and_featurise(spark):
     p = packets(spark)
     f = X.fit(p)
     assert {r["token"]: r["id"] for r in f.host_vocab.collect()} == {"a|m": 1, "b|m": 2, "c|m": 3}

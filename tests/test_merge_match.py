@@ -78,13 +78,16 @@ def test_merge(spark, offline, block):
             assert have == v, (f, r)
 
 
-def test_long_groups_continue_in_long_form(spark):
+def test_long_groups_are_whole_in_chunks_and_in_long_form(spark):
     rows = [("a", i, "modbus", "t", "1", str(i), None, None, None) for i in range(10)]
     df = spark.createDataFrame(rows, COLS)
     g = G.groups(df, track("cap", "seq", 3), G.offline_key(df))
-    r = G.merge_online(g, "cap", "seq", list_rows=4).first()
+    r = G.merge_online(g, "cap", "seq", chunk_rows=4).orderBy("chunk").collect()
+    assert [json.loads(x["modbus_fc"]) for x in r] == [["0", "1", "2", "3"], ["4", "5", "6", "7"], ["8", "9"]]
+    assert {(x["raw_count"], x["seq"]) for x in r} == {(10, 0)}
+    assert G.merge_totals(G.merge_online(g, "cap", "seq", chunk_rows=4)).first() == (10, 1)
     rest = G.list_overflow(g, "cap", list_rows=4).where("field = 'modbus_fc'").orderBy("idx").collect()
-    assert json.loads(r["modbus_fc"]) + [x["value"] for x in rest] == [str(i) for i in range(10)]
+    assert [x["value"] for x in rest] == [str(i) for i in range(4, 10)]
 
 
 def test_online_key(spark):

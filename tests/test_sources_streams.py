@@ -33,7 +33,7 @@ def test_capture_with_bom_blank_and_bad_lines(spark, tmp_path):
     assert sorted(rows) == [1, 5, 6]
     assert (rows[1]["modbus_fc"], rows[1]["modbus_regs_addr"], rows[1]["meta"]["ts_ms"]) == ("6", "[1,2]", 1000)
     assert (rows[5]["protocol"], rows[5]["modbus_fc"], rows[5]["meta"]["ts_ms"]) == ("unknown", "0x10", 5)
-    assert rows[5]["meta"]["id"] == "file:cap.jsonl:5"
+    assert rows[5]["meta"]["id"] == f"file:{rows[5]['file']}:5" and rows[5]["file"].endswith("/cap.jsonl")
     assert (rows[6]["meta"]["id"], rows[6]["meta"]["packet_ts_ms"], rows[6]["protocol"]) == ("9-1", 77, "arp")
     bad = J.read_packets(spark, path, keep_bad=True).where("raw is not null").orderBy("line_no").collect()
     assert [r["raw"] for r in bad] == ["not json", "[1]"]
@@ -58,7 +58,9 @@ def test_check_capture(spark, tmp_path):
         J.check_capture(spark, write(tmp_path / "empty.jsonl", ["", " "]))
     with pytest.raises(ValueError):
         J.check_capture(spark, write(tmp_path / "junk.jsonl", ["a", "b"]))
-    J.check_capture(spark, write(tmp_path / "ok.jsonl", ["{}"]))
+    with pytest.raises(ValueError):
+        J.check_capture(spark, write(tmp_path / "broken.jsonl", ["{broken", "{}"]))
+    J.check_capture(spark, write(tmp_path / "ok.jsonl", ["", "{}"]))
 
 
 def test_dictionaries_and_policy(spark, tmp_path):
