@@ -190,11 +190,9 @@ def zip_shortest(keys: Column, values: Column) -> Column:
 
 
 def pair_map(pairs: Column, last: bool = False) -> Column:
-    """Map of address to value; on a repeated address the first (or last) pair wins."""
-    keys = F.transform(pairs, lambda p: p["k"])
+    """Map of address to value; on a repeated address the first (or last) pair wins.
 
-    def wins(p, i):
-        rest = F.slice(keys, i + 2, F.size(keys)) if last else F.slice(keys, F.lit(1), i)
-        return ~F.array_contains(rest, p["k"])
-
-    return F.map_from_entries(F.filter(pairs, wins))
+    One pass over the pairs: a map keeps the last of equal keys, which is a
+    setting of the session (see :func:`railtap.session.configure`).
+    """
+    return F.map_from_entries(pairs if last else F.reverse(pairs))

@@ -47,13 +47,11 @@ def ground_truth(df: DataFrame, by=(), window_index: str | None = "window_index"
         F.max("y_true").alias("y_true"))
 
 
-def join_predictions(pred: DataFrame, truth: DataFrame, by=(), ignore_unknown: bool = False,
-                     order: str | None = None) -> DataFrame:
-    """Windows present on both sides; a repeated prediction keeps its last; -1 predictions optionally dropped."""
+def join_predictions(pred: DataFrame, truth: DataFrame, order: str, by=(), ignore_unknown: bool = False) -> DataFrame:
+    """Windows present on both sides; of repeated predictions the last by ``order``; -1 predictions optionally dropped."""
     keys = [*_by(by), "window_index"]
-    if order:
-        rest = [c for c in pred.columns if c not in (*keys, order)]
-        pred = pred.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.col(order)).alias("_p")).select(*keys, "_p.*")
+    rest = [c for c in pred.columns if c not in (*keys, order)]
+    pred = pred.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.col(order)).alias("_p")).select(*keys, "_p.*")
     if ignore_unknown:
         pred = pred.where(F.col("y_pred") != -1)
     return pred.join(truth, keys)

@@ -18,7 +18,6 @@ from railtap.operators.fit import (Fitted, entry, host_token, number_by_first_us
 from railtap.schema import (ARP_FEATURES, BASE_FEATURES, COMMON_FEATURES, DNS_FEATURES, MISSING, MODBUS_FEATURES,
                             OUT_OF_RANGE, S7COMM_FEATURES, XGT_FEATURES)
 
-MAX_SLOT_COLUMNS = 4096
 SLOT_PREFIX = {"modbus": "modbus", "xgt_fen": "xgt"}
 SLOT_FIT_COLUMNS = {"modbus": ("modbus_translated_addr", "modbus_regs_val"),
                     "xgt_fen": ("xgt_fen_translated_addr", "xgt_fen_word_value")}
@@ -131,11 +130,8 @@ class _Default(dict):
 
 
 def slot_list(slot_params: DataFrame, proto: str) -> list:
-    """Slots of a protocol in slot order; they become columns, so more than a wide row holds is an error."""
-    rows = slot_params.where(F.col("proto") == proto).orderBy("slot").limit(MAX_SLOT_COLUMNS + 1).collect()
-    if len(rows) > MAX_SLOT_COLUMNS:
-        raise ValueError(f"{proto} has over {MAX_SLOT_COLUMNS} address slots; use slot_values for the long form")
-    return rows
+    """Slots of a protocol in slot order; each becomes a column, so for wide address spaces ``slot_values`` is the better form."""
+    return slot_params.where(F.col("proto") == proto).orderBy("slot").collect()
 
 
 def lookup_ids(df: DataFrame, vocab: DataFrame, tokens: dict[str, Column], key: str = "token",

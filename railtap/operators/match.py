@@ -124,8 +124,11 @@ def match_whole(lines: DataFrame, raw: DataFrame, key: str, window: str, raw_ord
 def whole_coverage(lines: DataFrame, raw: DataFrame, key: str, window: str) -> DataFrame:
     """Windows fully matched and dropped under :func:`match_whole`."""
     known = raw.where(has_all(key)).select(key).distinct().withColumn("_m", F.lit(1))
-    per = (lines.withColumn("_keyed", has_all(key)).join(known, key, "left").groupBy(window)
-           .agg(F.count_if("_keyed").alias("_n"), F.count_if(F.col("_keyed") & F.col("_m").isNotNull()).alias("_k")))
+    # lines without a key are counted with their windows only: in a join they would meet in one task
+    keyed = (lines.where(has_all(key)).select(window, key).join(known, key, "left").groupBy(window)
+             .agg(F.count(F.lit(1)).alias("_n"), F.count("_m").alias("_k")))
+    per = lines.select(window).distinct().join(keyed, window, "left").withColumns(
+        {c: F.coalesce(c, F.lit(0)) for c in ("_n", "_k")})
     full = (F.col("_n") > 0) & (F.col("_n") == F.col("_k"))
     return per.agg(F.count(F.lit(1)).alias("windows"), F.count_if(full).alias("full"),
                    F.count_if(~full).alias("dropped"))
@@ -164,8 +167,10 @@ def skip_reasons(patterns: DataFrame, windows: DataFrame, keys, window: str, pat
     known = windows.select(window).distinct().withColumn("_known", F.lit(1))
     done = pattern_positions(patterns.where(~is_noise), windows, keys, window, pattern, line, pos) \
         .select(pattern).distinct().withColumn("_done", F.lit(1))
-    heads = (patterns.groupBy(pattern).agg(F.first(window).alias(window), F.bool_or(is_noise).alias("_noise"))
-             .join(known, window, "left").join(done, pattern, "left"))
+    heads = patterns.groupBy(pattern).agg(
+        F.min_by(window, F.struct(F.col(window).isNull(), F.col(line), F.col(window))).alias(window), F.bool_or(is_noise).alias("_noise"))
+    named = heads.where(F.col(window).isNotNull()).join(known, window, "left")
+    heads = named.unionByName(heads.where(F.col(window).isNull()).withColumn("_known", F.lit(None).cast("int"))).join(done, pattern, "left")
     reason = (F.when(F.col("_noise"), "noise").when(F.col(window).isNull(), "no_window_id")
               .when(F.col("_known").isNull(), "unknown_window").when(F.col("_done").isNull(), "unmatched")
               .otherwise("written"))

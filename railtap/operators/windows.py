@@ -175,3 +175,8 @@ def compact(rows: Column, max_length: int, pads=(MISSING, OUT_OF_RANGE)) -> Colu
 def compact_length(compacted: Column) -> Column:
     """Length of a compacted sequence, at least 1."""
     return F.greatest(F.size(compacted), F.lit(1))
+
+
+def first_of_run(df: DataFrame, n: int, *order: str) -> DataFrame:
+    """The first ``n`` rows of a whole run in order: its limit on raw packets, merged packets or windows."""
+    return df.orderBy(*order).limit(n)

@@ -12,7 +12,8 @@ _CHECKPOINT = "spark.checkpoint.dir"
 
 
 def configure(spark: SparkSession) -> SparkSession:
-    """Pin the settings results depend on: UTC clock and run-time re-planning with skew splitting."""
+    """Pin the settings results depend on: UTC clock, the last of equal map keys, run-time re-planning with skew splitting."""
+    spark.conf.set("spark.sql.mapKeyDedupPolicy", "LAST_WIN")
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     spark.conf.set("spark.sql.adaptive.enabled", "true")
     spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")

@@ -8,7 +8,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from railtap.operators.order import Track, with_ordinal
+from railtap.operators.order import Track, numeric_blocks, with_ordinal
 from railtap.operators.verdict import alarm_payload
 from railtap.sources.sinks import prune
 
@@ -36,11 +36,8 @@ class ResultSinks:
         return r["windows"], r["alerts"]
 
     def _numbered(self, df: DataFrame, name: str, start: int) -> DataFrame:
-        lead = self.order[0]
-        lo, hi = df.agg(F.min(lead), F.max(lead)).first()
-        width = max(1, ((hi or 0) - (lo or 0)) // 64)
-        t = Track(("_run",), self.order, F.floor(F.col(lead) / width))
-        return with_ordinal(df.withColumn("_run", F.lit(0)), t, name, start).drop("_run")
+        rows = numeric_blocks(df.withColumn("_run", F.lit(0)), self.order[0], "_part")
+        return with_ordinal(rows, Track(("_run",), self.order, F.col("_part")), name, start).drop("_run", "_part")
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
         """Expects verdict rows with ``summary``, ``pattern`` and ``alert``."""

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from railtap.operators import evaluate as EV
+from railtap.operators import order as O
 from railtap.operators.score import anomaly_prediction
 from railtap.plans import offline as OFF
 from railtap.plans import serve as SV
@@ -40,6 +41,48 @@ def jsonl_scan(spark, sf):
                     F.col("meta.packet_ts_ms").alias("packet_ts_ms"), (~F.col("meta.id").startswith("file:")).alias("given_id"))
 
 
+@query("stored_dictionaries", """SELECT 'count' AS what, CAST(user_id AS VARCHAR) AS name, CAST(count(*) AS DOUBLE) AS a, CAST(count(*) AS DOUBLE) AS b FROM events GROUP BY user_id
+UNION ALL SELECT 'range', event_type, min(value), max(value) FROM events GROUP BY event_type""")
+def stored_dictionaries(spark, sf):
+    """A dictionary and a range file written from the events and loaded again."""
+    ev, root = table(spark, sf, "events"), fresh_path(spark, "dictionaries")
+
+    def store(rows, name):  # one object per file: a few hundred names
+        rows.agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("k", "v")))).alias("value")).coalesce(1).write.text(f"{root}/{name}")
+
+    store(ev.groupBy(F.col("user_id").cast("string").alias("k")).agg(F.count("*").alias("v")), "counts")
+    ends = ev.groupBy("event_type").agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
+    store(ends.select(F.inline(F.array(F.struct(F.concat("event_type", F.lit("_min")).alias("k"), F.col("lo").alias("v")),
+                                       F.struct(F.concat("event_type", F.lit("_max")).alias("k"), F.col("hi").alias("v"))))), "ranges")
+    counts = P.load_dictionary(spark, f"{root}/counts")
+    ranges = P.load_ranges(spark, f"{root}/ranges")
+    n = F.col("id").cast("double")
+    return counts.select(F.lit("count").alias("what"), F.col("token").alias("name"), n.alias("a"), n.alias("b")).unionAll(
+        ranges.select(F.lit("range"), "feature", "vmin", "vmax"))
+
+
+@query("catalog_file", """WITH f AS (SELECT DISTINCT event_type AS name FROM events)
+SELECT name, true AS use, 1.0e0 AS weight FROM f UNION ALL SELECT unnest(['protocol', 'delta_t', 'match']), true, 1.0e0""")
+def catalog_file(spark, sf):
+    """A feature catalog written as policy lines and read again."""
+    names = [r[0] for r in table(spark, sf, "events").select("event_type").distinct().orderBy("event_type").collect()]
+    path = fresh_path(spark, "catalog")
+    P.catalog_lines(P.catalog(spark, names)).write.text(path)
+    return P.read_policy(spark, path)
+
+
+@query("alert_ids_continued", f"""WITH {pkt_sql('seq', 'k')}, old AS (SELECT count(*) AS n FROM pkt WHERE k % 2 = 0)
+SELECT seq, row_number() OVER (ORDER BY seq) + (SELECT n FROM old) AS alert_seq_id FROM pkt WHERE k % 2 = 1""")
+def alert_ids_continued(spark, sf):
+    """Alert ids that run on from the records stored before, counted from the files."""
+    p = packets(spark, sf, "seq", "k")
+    path = fresh_path(spark, "records")
+    K.append_jsonl(p.where("k % 4 = 0"), path)
+    K.append_jsonl(p.where("k % 4 = 2"), path)
+    rest = p.where("k % 2 = 1").withColumn("run", F.lit(0))
+    return O.with_ordinal(rest, event_track(rest, "run"), "alert_seq_id", start=K.count_records(spark, path) + 1).select("seq", "alert_seq_id")
+
+
 def _rename_only(spark, folder: str) -> None:
     """Give the one text file below ``folder``/part the name p.jsonl."""
     jvm = spark.sparkContext._jvm.org.apache.hadoop.fs

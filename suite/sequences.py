@@ -295,6 +295,24 @@ def run_limits(spark, sf):
                        max_windows=12)
 
 
+@query("run_limits_total", f"""WITH {_RUNS}, w AS (SELECT capture, ordinal // 80 AS window_id, count(*) AS n FROM runs GROUP BY 1, 2 HAVING count(*) = 80)
+SELECT 'raw' AS what, CAST(capture AS INT) AS capture, seq AS id FROM (SELECT * FROM runs ORDER BY seq LIMIT 500) UNION ALL
+SELECT 'merged', capture, merge_event_id FROM (SELECT DISTINCT capture, merge_event_id FROM runs ORDER BY merge_event_id, capture LIMIT 300) UNION ALL
+SELECT 'windows', capture, window_id FROM (SELECT * FROM w ORDER BY window_id, capture LIMIT 40)""")
+def run_limits_total(spark, sf):
+    """Limits of a whole run: raw packets, merged packets, windows."""
+    g = _runs(spark, sf)
+    merged = G.merge_online(g.select("capture", "merge_event_id", "idx", "seq", "protocol"), "capture", "seq").where("chunk = 0")
+    windows = WIN.sliding(_ordinal(spark, sf), "capture", "i", 80, 80, {"full": ("count", F.lit(1))})
+    parts = [("raw", g, "seq", 500, ("seq",)), ("merged", merged, "merge_event_id", 300, ("merge_event_id", "capture")),
+             ("windows", windows, "window_id", 40, ("window_id", "capture"))]
+    out = None
+    for what, df, ident, n, order in parts:
+        one = WIN.first_of_run(df, n, *order).select(F.lit(what).alias("what"), "capture", F.col(ident).cast("bigint").alias("id"))
+        out = one if out is None else out.unionAll(one)
+    return out
+
+
 @query("window_arrays", _sql_windows(16, 4, "n = 16", "string_agg(CAST(k AS VARCHAR), ',' ORDER BY i) AS ks"))
 def window_arrays(spark, sf):
     """Windows as ordered arrays, as a model takes them."""

@@ -52,7 +52,7 @@ def test_empty_input_has_empty_ranges(spark):
     assert (f["vmin"], f["vmax"]) == (-1.0, -1.0)
 
 
-def test_too_many_slots_are_refused(spark, monkeypatch):
-    monkeypatch.setattr(X, "MAX_SLOT_COLUMNS", 2)
-    with pytest.raises(ValueError):
-        X.featurise(packets(spark), X.fit(packets(spark)), ["seq"])
+def test_every_slot_is_a_column(spark):
+    fitted = X.fit(packets(spark))
+    names = X.featurise(packets(spark), fitted, ["seq"]).columns
+    assert sum(n.startswith(("modbus_slot_", "xgt_slot_")) for n in names) == fitted.slot_params.count()
