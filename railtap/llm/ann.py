@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from railtap.llm.common import need, stored
+from railtap.llm.common import bounded_sample, need, stored
 
 SAMPLE = 8_000
 MAX_BITS = 256
@@ -151,7 +151,7 @@ def search(vectors: DataFrame, queries: str, k: int = 20, sample: int = SAMPLE)
     rows = stored(rows.withColumn("rid", F.monotonically_increasing_id()), "ann-rows")
     schema = "query_id long, rid long, vec_id long, score double"
     # at most ``sample`` vectors
-    some = [r[0] for r in rows.orderBy(F.xxhash64("rid"), "rid").limit(sample).select("embedding").collect()]
+    some = [r[0] for r in bounded_sample(rows, "rid", sample, rows.count()).select("embedding").collect()]
     if not some:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     sizes, times = np.unique([len(v) for v in some], return_counts=True)

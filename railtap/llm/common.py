@@ -28,6 +28,18 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return checkpoint(df.sparkSession, df, name)
 
 
+def bounded_sample(df: DataFrame, key: str, size: int, rows: int) -> DataFrame:
+    """The ``size`` rows with the smallest hashed keys, for fitting a model; ``rows`` is how many ``df`` has at most.
+
+    Rows are thinned by their hash first, so that what the tasks hand on to the
+    sort is about twice the sample and does not grow with their number.
+    """
+    h = F.xxhash64(F.col(key), F.lit(17))
+    span = 1 << 40
+    part = min(span, span * 2 * size // max(1, rows) + 1)
+    return df.filter(F.pmod(h, F.lit(span)) < part).orderBy(F.pmod(h, F.lit(span)), key).limit(size)
+
+
 def block_number(rows: int, least: int = 256) -> int:
     """Blocks for :func:`running_total`: as many as each block has rows, so both levels stay small."""
     return max(least, math.isqrt(max(0, rows)) + 1)
