@@ -14,7 +14,6 @@ from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from railtap.operators.merge import merge_online, online_key
@@ -101,8 +100,9 @@ class MergeStream:
         rest = self.spark.read.parquet(self._path("open", last_batch))
         groups = self.spark.read.parquet(self._path("counters", last_batch)).select(
             self.capture, (F.col("groups") + 1).alias("merge_event_id"))
-        first = F.min("_arrival").over(W.partitionBy(self.capture))
-        rest = rest.join(groups, self.capture).withColumn("idx", F.col("_arrival") - first)
+        first = rest.groupBy(self.capture).agg(F.min("_arrival").alias("_first"))
+        rest = rest.join(groups.join(first, self.capture), self.capture)
+        rest = rest.withColumn("idx", F.col("_arrival") - F.col("_first")).drop("_first")
         self._emit(rest.withColumn("_mergeable", F.lit(True)), last_batch + 1)
 
     def merged(self) -> DataFrame:

@@ -16,17 +16,22 @@ from suite.base import event_track, packets, query, r6, sql_r6
 from suite.sequences import _RUNS, _sql_merge, _sql_windows
 
 _SHARDS = 3
-_STATE_PARTITIONS = 4
 
 
-def _deliver(df, path, by="seq"):
-    """Write rows in a few deliveries, oldest first, each after the one before has landed."""
+def _deliver(spark, df, path, writer, by="seq"):
+    """Deliver rows in a few parts of many files, oldest first, and drain the stream after each.
+
+    ``writer`` turns the stream into its writer; every part is a micro-batch.
+    The last query is returned.
+    """
     lo, hi = df.agg(F.min(by), F.max(by)).first()
     width = (hi - lo) // _SHARDS + 1
-    part = F.floor((F.col(by) - lo) / width)
+    part, progress, query_ = F.floor((F.col(by) - lo) / width), fresh_path(spark, "progress"), None
     for s in range(_SHARDS):
-        df.where(part == s).coalesce(1).write.mode("append").parquet(path)
-    return df.schema
+        df.where(part == s).repartition(F.col(by)).write.mode("append").parquet(path)
+        query_ = SS.start(writer(SS.read_folder(spark, path, df.schema)), progress)
+        query_.awaitTermination()
+    return query_
 
 
 @query("stream_windows", _sql_windows(80, 5, "n = 80", f"CAST(sum(k) AS BIGINT) AS k_sum, {sql_r6('avg(value)')} AS value_avg, last(sip ORDER BY i) AS last_sip").replace(
@@ -36,12 +41,13 @@ def stream_windows(spark, sf):
     p = packets(spark, sf, "seq", "capture", "value", "sip", "k")
     p = O.with_ordinal(p, event_track(p), "i")
     src, out = fresh_path(spark, "stream"), fresh_path(spark, "windows")
-    schema = _deliver(p, src)
-    stream = SS.read_folder(spark, src, schema, files_per_trigger=1)
-    with SS.state_settings(spark, _STATE_PARTITIONS):
+
+    def windows(stream):
         w = SW.stream_windows(stream, "capture", "i", ["k", "value", "sip"], 80, 5, block_rows=2048)
-        SS.start(w.writeStream.format("parquet").option("path", out).outputMode("append"),
-                 fresh_path(spark, "progress")).awaitTermination()
+        return w.writeStream.format("parquet").option("path", out).outputMode("append")
+
+    with SS.state_settings(spark):
+        _deliver(spark, p, src, windows)
     w = spark.read.parquet(out)
     k_sum = F.aggregate("k", F.lit(0).cast("bigint"), lambda a, x: a + x)
     avg = F.aggregate("value", F.lit(0.0), lambda a, x: a + x) / F.size("value")
@@ -57,11 +63,8 @@ def stream_merge(spark, sf):
     p = p.withColumn("timestamp", F.substring("timestamp", 1, 13)).withColumn("sq", F.lit("run")) \
          .withColumn("ts_ms", F.floor(F.col("ts_us") / 1000)).withColumn("id_seq", F.col("seq")).drop("k", "ts_us")
     src, root = fresh_path(spark, "stream"), fresh_path(spark, "merge")
-    schema = _deliver(p, src)
     job = SM.MergeStream(spark, root)
-    q = SS.start(SS.read_folder(spark, src, schema, files_per_trigger=1).writeStream.foreachBatch(job),
-                 fresh_path(spark, "progress"))
-    q.awaitTermination()
+    q = _deliver(spark, p, src, lambda stream: stream.writeStream.foreachBatch(job))
     job.finish(q.lastProgress["batchId"])
     return job.merged().select("capture", "merge_event_id", "raw_count", "seq", "sip", "modbus_fc", "xgt_fen_data")
 
@@ -75,18 +78,9 @@ def stream_multi_sink(spark, sf):
     """Every result, the alerts with ids running on from earlier ones, and the alarms, per micro-batch."""
     p = packets(spark, sf, "seq", "protocol", "timestamp", "sip", "dip", "src_asset", "dst_asset", "value", "k")
     src, root = fresh_path(spark, "stream"), fresh_path(spark, "sinks")
-    schema = _deliver(p, src)
-    s = SS.read_folder(spark, src, schema, files_per_trigger=1)
     null = F.lit(None).cast("double")
-    v = s.select(F.col("seq").alias("window_id"), r6(F.col("value") / 30.0).alias("mse"), F.lit(1.0).alias("threshold"),
-                 F.lit(0.1).alias("temporal_error_max"), F.when(F.col("k") % 2 == 0, "scan").alias("pattern"),
-                 null.alias("pattern_prob"), null.alias("probs_entropy"), F.lit(None).cast("int").alias("num_classes"),
-                 null.alias("similarity"), null.alias("latent_distance"),
-                 F.struct("protocol", "timestamp", "sip", "dip", "src_asset", "dst_asset").alias("last"))
-    v = v.withColumn("is_anomaly_pred", SC.anomaly_prediction(F.col("mse"), 1.0))
-    v = V.with_alert(V.normalise(V.assess(v))).select("window_id", "pattern", "summary", "alert")
     sinks = SK.ResultSinks(spark, root, ("window_id",), stored=100)
-    SS.start(v.writeStream.foreachBatch(sinks), fresh_path(spark, "progress")).awaitTermination()
+    _deliver(spark, p, src, lambda stream: _verdicts(stream, null).writeStream.foreachBatch(sinks))
     ddl = "seq_id bigint, window_id bigint, pattern string, summary struct<anomaly_score:double>"
     out = None
     for sink in ("final", "alerts", "alarms"):
@@ -96,6 +90,16 @@ def stream_multi_sink(spark, sf):
     return out
 
 
+def _verdicts(s, null):
+    v = s.select(F.col("seq").alias("window_id"), r6(F.col("value") / 30.0).alias("mse"), F.lit(1.0).alias("threshold"),
+                 F.lit(0.1).alias("temporal_error_max"), F.when(F.col("k") % 2 == 0, "scan").alias("pattern"),
+                 null.alias("pattern_prob"), null.alias("probs_entropy"), F.lit(None).cast("int").alias("num_classes"),
+                 null.alias("similarity"), null.alias("latent_distance"),
+                 F.struct("protocol", "timestamp", "sip", "dip", "src_asset", "dst_asset").alias("last"))
+    v = v.withColumn("is_anomaly_pred", SC.anomaly_prediction(F.col("mse"), 1.0))
+    return V.with_alert(V.normalise(V.assess(v))).select("window_id", "pattern", "summary", "alert")
+
+
 @query("stream_protocol_union", """SELECT CASE event_type WHEN 'click' THEN 'modbus' ELSE 'xgt_fen' END AS protocol, epoch_us(ts) // 1000 AS ts_ms, event_id AS id_seq FROM events WHERE event_type IN ('click', 'view')""")
 def stream_protocol_union(spark, sf):
     """One stream read from a folder per protocol."""
@@ -114,9 +118,7 @@ def stream_counters(spark, sf):
     """Progress counters of a drained stream."""
     p = packets(spark, sf, "seq", "value")
     src = fresh_path(spark, "stream")
-    schema = _deliver(p, src)
     counters = fresh_path(spark, "counters")
-    q = SS.start(SS.counted(SS.read_folder(spark, src, schema, files_per_trigger=1), counters), fresh_path(spark, "progress"))
-    q.awaitTermination()
+    _deliver(spark, p, src, lambda stream: SS.counted(stream, counters))
     t = spark.read.parquet(counters).where("input_rows > 0")
     return t.agg(F.sum("input_rows").alias("raw_packets"), F.count(F.lit(1)).alias("batches"))
