@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from railtap.functions.risk import class_summary
+from railtap.functions.scalars import stable_hash
 from railtap.operators.score import calibrate, error_train, squared_errors
 from railtap.schema import MISSING
 from railtap.session import checkpoint
@@ -57,9 +58,23 @@ class Reconstructor:
         return low.withColumn(out, expand(vector_to_array("_z"))).drop("_in", "_z")
 
 
+    def save(self, path: str) -> None:
+        """The basis as a spark.ml model, means and weights with one row per position."""
+        self.model.write().overwrite().save(f"{path}/basis")
+        rows = [(i, m, self.root[i], self.steps, self.width) for i, m in enumerate(self.mean)]
+        SparkSession.active().createDataFrame(rows, "pos int, mean double, root double, steps int, width int") \
+            .write.mode("overwrite").parquet(f"{path}/scaling")
+
+    @classmethod
+    def load(cls, path: str) -> "Reconstructor":
+        rows = SparkSession.active().read.parquet(f"{path}/scaling").orderBy("pos").collect()
+        return cls(PCAModel.load(f"{path}/basis"), [r["mean"] for r in rows], [r["root"] for r in rows],
+                   rows[0]["steps"], rows[0]["width"])
+
+
 def _split(df: DataFrame, ident: str, share: float, seed: int) -> tuple[DataFrame, DataFrame]:
     """Hold-out split by hash of the id: the same rows on every recomputation."""
-    u = F.pmod(F.xxhash64(F.lit(seed), ident), F.lit(10_000)) / 10_000.0
+    u = stable_hash(F.concat_ws("|", F.lit(seed), F.col(ident)), 10_000) / 10_000.0
     return df.where(u >= share), df.where(u < share)
 
 
@@ -131,7 +146,7 @@ def can_stratify(df: DataFrame, label: str, n: int) -> bool:
 def _strata(df: DataFrame, ident: str, label: str, parts: int, seed: int, stratify: bool) -> Column:
     """Part number by hash; stratified hashing mixes the label in, so each class is spread on its own."""
     mix = [F.lit(seed), F.col(ident)] + ([F.col(label)] if stratify else [])
-    return F.pmod(F.xxhash64(*mix), F.lit(parts)).cast("int")
+    return stable_hash(F.concat_ws("|", *mix), parts).cast("int")
 
 
 def train_classifier(df: DataFrame, ident: str, label: str, vector: str, folds: int = 3, holdout_parts: int = 5,
@@ -184,7 +199,10 @@ class Bundle:
 
     def save(self, path: str) -> None:
         spark = self.catalog.sparkSession
-        self.model.write().overwrite().save(f"{path}/model")
+        if isinstance(self.model, Reconstructor):
+            self.model.save(f"{path}/model")
+        else:
+            self.model.write().overwrite().save(f"{path}/model")
         self.catalog.write.mode("overwrite").parquet(f"{path}/catalog")
         self.threshold.write.mode("overwrite").parquet(f"{path}/threshold")
         spark.createDataFrame(list(self.config.items()), "key string, value string") \

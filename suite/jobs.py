@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from railtap.operators import evaluate as EV
 from railtap.operators import order as O
-from railtap.operators.score import anomaly_prediction
+from railtap.operators.score import anomaly_prediction, error_train, squared_errors
 from railtap.plans import offline as OFF
 from railtap.plans import serve as SV
 from railtap.plans import training as TR
@@ -244,6 +244,33 @@ def train_classifier(spark, sf):
     return round_doubles(rep.withColumns({"reg": F.lit(best["reg"]), "avg_f1": F.lit(best["avg_f1"])}))
 
 
+@query("reconstructor_full_rank", """SELECT vec_id, CASE WHEN CAST('0x' || substr(md5('42|' || CAST(vec_id AS VARCHAR)), 1, 8) AS BIGINT) % 10000 >= 1000 THEN 'train' ELSE 'test' END AS part,
+ 0.0e0 AS mse, 0.0e0 AS threshold_p99 FROM embeddings""")
+def reconstructor_full_rank(spark, sf):
+    """With as many components as cells nothing is lost; the model is stored and loaded before it scores."""
+    w = reconstructed(spark, sf).select("vec_id", "x")
+    rec, errors, cal = TR.train_reconstructor(w, "vec_id", "x", T, D, k=T * D)
+    path = fresh_path(spark, "bundle")
+    catalog = P.catalog(spark, [f"f{i}" for i in range(D)])
+    TR.Bundle(rec, catalog, cal, {"steps": str(T)}).save(path)
+    b = TR.Bundle.load(spark, path, TR.Reconstructor)
+    again = b.model.apply(w).select("vec_id", error_train(F.col("x"), squared_errors(F.col("x"), F.col("xh"))).alias("mse"))
+    return errors.select("vec_id", "part").join(again, "vec_id").select(
+        "vec_id", "part", r6("mse").alias("mse"), r6(F.lit(b.threshold.first()["threshold_p99"])).alias("threshold_p99"))
+
+
+@query("classifier_separable", """SELECT vec_id, 'class' || CAST(label AS VARCHAR) AS label, true AS correct FROM embeddings
+ WHERE CAST('0x' || substr(md5('42|' || CAST(vec_id AS VARCHAR) || '|class' || CAST(label AS VARCHAR)), 1, 8) AS BIGINT) % 5 = 0""")
+def classifier_separable(spark, sf):
+    """A classifier whose vectors hold their class: the held-out fifth, by a hash of id and class, is all correct."""
+    v = vectors(spark, sf)
+    own = F.transform(F.sequence(F.lit(0), F.lit(9)), lambda c: F.when(c == F.col("label"), 5.0).otherwise(0.0))
+    v = v.withColumn("x", F.concat("x", own))
+    rows = v.withColumn("label", F.concat(F.lit("class"), F.col("label").cast("string"))).select("vec_id", "label", "x")
+    _, scored, _ = TR.train_classifier(rows, "vec_id", "label", "x")
+    return scored.select("vec_id", "label", (F.col("y") == F.col("pattern_index")).alias("correct"))
+
+
 _SERVE_FEATURES = ["protocol", "delta_t", "len_norm", "dir_code", "sp_norm", "modbus_fc_norm", "xgt_data_mean_byte", "dns_qc_norm"]
 
 
