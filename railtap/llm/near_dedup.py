@@ -16,10 +16,10 @@ others that would join different components.  Components come from
 :mod:`railtap.llm.components`.
 
 Edge cases: a null text and a text without words have no shingles and link with
-nothing.  A text with fewer words than a shingle is one shingle.  Rows with the
-same id count as one document of the graph.  Null ids come after all others: a
-group with an id takes the smallest; one without has a null ``component_id`` and
-its rows are kept.
+nothing.  A text with fewer words than a shingle is one shingle.  Every row is a
+document of its own, whatever its id: rows that share an id and differ in text
+may be in different groups.  A group's id is the smallest of its rows' ids; a
+group without any has a null ``component_id`` and its rows are kept.
 """
 
 from __future__ import annotations
@@ -41,9 +41,6 @@ DEPTH = 8
 SHALLOW = 4
 REACH = 8
 
-#: Node numbers of classes without any id start here.
-_NO_ID = 1 << 62
-
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xD6E8FEB86659FD93)
 
@@ -86,7 +83,7 @@ def _raw(docs: DataFrame) -> DataFrame:
 
 
 def signatures(docs: DataFrame, size: int, trees: int = TREES) -> DataFrame:
-    """doc_id, n_shingles, the set's fingerprint (f1, f2) and the signature (null for an empty set)."""
+    """doc_id, rid, n_shingles, the set's fingerprint (f1, f2) and the signature (null for an empty set)."""
     kind = dict(docs.dtypes)["doc_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -99,17 +96,17 @@ def signatures(docs: DataFrame, size: int, trees: int = TREES) -> DataFrame:
                 for column, value in zip(out, row):
                     column.append(value)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), *[pa.array(c, pa.int64()) for c in out[:3]], pa.array(out[3], pa.binary())],
-                ["doc_id", "n_shingles", "f1", "f2", "signature"])
+                [batch.column("doc_id"), batch.column("rid"), *[pa.array(c, pa.int64()) for c in out[:3]],
+                 pa.array(out[3], pa.binary())], ["doc_id", "rid", "n_shingles", "f1", "f2", "signature"])
 
-    return _raw(docs).mapInArrow(run, f"doc_id {kind}, n_shingles long, f1 long, f2 long, signature binary")
+    rows = _raw(docs).withColumn("rid", F.monotonically_increasing_id())
+    return rows.mapInArrow(run, f"doc_id {kind}, rid long, n_shingles long, f1 long, f2 long, signature binary")
 
 
 def classes(signed: DataFrame) -> DataFrame:
-    """One row per distinct set: its node (smallest id), size and signature."""
-    node = F.coalesce(F.min("doc_id").cast("long"), F.lit(_NO_ID) + F.shiftrightunsigned(F.first("f1"), 3))
+    """One row per distinct set: its node (the smallest row number), smallest id, size and signature."""
     return (signed.filter("n_shingles > 0").groupBy("f1", "f2")
-            .agg(node.alias("node"), F.first("n_shingles").alias("n"), F.first("signature").alias("signature")))
+            .agg(F.min("rid").alias("node"), F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"), F.first("signature").alias("signature")))
 
 
 class _Neighbours:
@@ -205,20 +202,22 @@ def candidates(found: DataFrame, trees: int = TREES) -> DataFrame:
 
 
 def _sets(docs: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
-    """node, items: the full shingle sets of these nodes (node, f1, f2, id), worked out again from the texts."""
+    """node, items: the full shingle sets of these nodes (node, f1, f2, id), worked out again from the texts.
+
+    Ids only pick the texts to look at; a set meets its node by its fingerprint.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            node, items = [], []
-            for row in batch.to_pylist():
-                found = shingles(row["raw"], size)
-                if _fingerprint(found) == (row["f1"], row["f2"]):
-                    node.append(row["node"])
-                    items.append(found.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(items, pa.binary())], ["node", "items"])
+            found = [shingles(raw, size) for raw in batch.column("raw").to_pylist()]
+            halves = [_fingerprint(f) for f in found]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([h[0] for h in halves], pa.int64()), pa.array([h[1] for h in halves], pa.int64()),
+                 pa.array([f.tobytes() for f in found], pa.binary())], ["f1", "f2", "items"])
 
-    rows = _raw(docs).withColumnRenamed("doc_id", "id").join(nodes, F.col("id").eqNullSafe(F.col("doc_id")))
-    return rows.select("node", "f1", "f2", "raw").mapInArrow(run, "node long, items binary")
+    some = _raw(docs).join(nodes.select("id").distinct(), F.col("doc_id").eqNullSafe(F.col("id")), "left_semi")
+    rows = some.select("raw").mapInArrow(run, "f1 long, f2 long, items binary")
+    return rows.join(nodes, ["f1", "f2"]).select("node", "items").dropDuplicates(["node"])
 
 
 def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -255,18 +254,19 @@ def find(docs: DataFrame, size: int = 5, percent: int = 80, trees: int = TREES)
     ends = pairs.select(F.col("a").alias("node"), "b", "a", "hits").unionAll(pairs.select(F.col("b").alias("node"), "b", "a", "hits"))
     best = stored(ends.groupBy("node").agg(F.max(F.struct("hits", -F.col("a"), -F.col("b"), "a", "b")).alias("best"))
                   .select("best.a", "best.b").distinct(), "best-pairs")
-    nodes = ends.select("node").distinct().join(found.select("node", "f1", "f2"), "node")
-    nodes = nodes.withColumn("doc_id", F.when(F.col("node") < _NO_ID, F.col("node")))
-    sets = stored(_sets(docs, nodes, size).dropDuplicates(["node"]), "shingle-sets")
+    nodes = stored(ends.select("node").distinct().join(found.select("node", "f1", "f2", "id"), "node"), "set-nodes")
+    sets = stored(_sets(docs, nodes, size), "shingle-sets")
     first = stored(_confirm(best, sets, percent), "first-links")
     grouped = components(first)
     rest = _component_of(pairs.join(best, ["a", "b"], "left_anti"), grouped).filter("root_a <> root_b").select("a", "b")
     more = stored(_confirm(rest, sets, percent), "more-links")
     grouped = components(grouped.select(F.col("u").alias("a"), F.col("v").alias("b")).unionAll(more))
-    labels = stored(found.select("f1", "f2", "node").join(grouped, F.col("node") == F.col("u"), "left")
-                    .select("f1", "f2", F.coalesce("v", "node").alias("component")), "set-labels")
-    component = F.when(F.col("component").isNull(), F.col("doc_id")).when(F.col("component") < _NO_ID, F.col("component"))
+    rooted = stored(found.select("f1", "f2", "node", "id").join(grouped, F.col("node") == F.col("u"), "left")
+                    .select("f1", "f2", "id", F.coalesce("v", "node").alias("root")), "set-roots")
+    named = stored(rooted.groupBy("root").agg(F.min("id").alias("component_id")), "component-ids")
+    labels = stored(rooted.join(named, "root").select("f1", "f2", "component_id"), "set-labels")
     out = signed.select("doc_id", "n_shingles", "f1", "f2").join(labels, ["f1", "f2"], "left")
+    component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "n_shingles", component.cast("long").alias("component_id")).withColumn(
         "kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
