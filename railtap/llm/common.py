@@ -45,17 +45,19 @@ def block_number(rows: int, least: int = 256) -> int:
     return max(least, math.isqrt(max(0, rows)) + 1)
 
 
-def running_total(df: DataFrame, keys: list[str], order: str, value: Column, out: str, blocks: int) -> DataFrame:
+def running_total(df: DataFrame, keys: list[str], order: list[str], value: Column, out: str, blocks: int,
+                  spread: list[str] | None = None) -> DataFrame:
     """Add the sum of ``value`` over the rows before each one within ``keys`` (not null, ``order`` unique).
 
     A key may hold any share of the rows: sums run inside hashed blocks of a
     key, the block totals are summed over one row per block, and both meet on
-    the partitioning that the rows already have.
+    the partitioning that the rows already have.  ``spread`` names the columns
+    that choose the block (those of ``order`` unless given).
     """
-    at = df.withColumn("_block", F.pmod(F.xxhash64(F.col(order)), F.lit(blocks))).withColumn("_value", value)
+    at = df.withColumn("_block", F.pmod(F.xxhash64(*(spread or order)), F.lit(blocks))).withColumn("_value", value)
     by = [*keys, "_block"]
     inside = at.withColumn("_inside", F.coalesce(
-        F.sum("_value").over(Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+        F.sum("_value").over(Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     totals = at.groupBy(*by).agg(F.sum("_value").alias("_total"))
     base = totals.withColumn("_base", F.coalesce(
         F.sum("_total").over(Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)),

@@ -90,13 +90,14 @@ def _plan(sources: DataFrame, block_words: int) -> DataFrame:
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, percent: int = 150, most: int = 2,
         block_words: int = 256, shard_slots: int = 1024, seed: int = 7) -> Mix:
-    """Mix ``docs`` (rid unique, doc_id, source, size in words) to the weights."""
+    """Mix ``docs`` (rid unique, doc_id, source, size in words, mark: a hash of the text) to the weights."""
     spark = docs.sparkSession
     sizes = docs.groupBy("source").agg(F.sum("size").alias("size"))
     sources = stored(_plan(targets(sizes, weights, percent, most), block_words), "mix-sources")
     named = docs.join(sources.select(F.col("source").alias("_source"), "s"), F.col("source").eqNullSafe(F.col("_source")))
-    documents = stored(running_total(named.select("rid", "doc_id", "s", "size"), ["s"], "rid", F.col("size"), "start",
-                                     block_number(docs.count())), "mix-documents")
+    # the order comes from what the rows hold, not from how the table was split: another run gives the same mix
+    documents = stored(running_total(named.select("rid", "doc_id", "s", "size", "mark"), ["s"], ["doc_id", "mark", "rid"], F.col("size"),
+                                     "start", block_number(docs.count()), ["doc_id", "mark"]).drop("mark"), "mix-documents")
 
     # slots of a source, dealt out in chunks so that a large source is no single task's work; they are written, so
     # that the joins below know how many there are
@@ -129,7 +130,7 @@ def sized(docs: DataFrame) -> DataFrame:
     """Number the rows and count their words; the narrow copy is read from then on."""
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
     return stored(need(docs, "doc_id", "source", "text").select(
-        F.monotonically_increasing_id().alias("rid"), "doc_id", "source", size.alias("size")), "mix-sizes")
+        F.monotonically_increasing_id().alias("rid"), "doc_id", "source", size.alias("size"), F.xxhash64("text").alias("mark")), "mix-sizes")
 
 
 def taken(m: Mix) -> DataFrame:
@@ -152,7 +153,7 @@ def mix_documents(docs: DataFrame, **options) -> DataFrame:
     kept = stored(need(docs, "doc_id", "text", "lang", "source", "n_chars").withColumn(
         "rid", F.monotonically_increasing_id()), "mix-texts")
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    m = mix(stored(kept.select("rid", "doc_id", "source", size.alias("size")), "mix-sizes"), **options)
+    m = mix(stored(kept.select("rid", "doc_id", "source", size.alias("size"), F.xxhash64("text").alias("mark")), "mix-sizes"), **options)
     drawn = (m.spans().groupBy("rid", "pass").agg(F.sum("length").alias("words"),
                                                   F.sort_array(F.collect_list(F.struct("start", "length"))).alias("parts"))
              .join(m.documents.select("rid", "size"), "rid"))

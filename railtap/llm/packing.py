@@ -221,7 +221,7 @@ def pieces(tokens: DataFrame, window: int = WINDOW, keep_ids: bool = False, **op
     layout = plan({k: v for k, v in counted.items() if k}, window, **options)
     tails = sorted(counted)
     before = dict(zip(tails, np.cumsum([0, *(counted[t] for t in tails)]).tolist()))
-    ranked = running_total(narrow.select("rid", "tail"), ["tail"], "rid", F.lit(1), "rank", block_number(documents))
+    ranked = running_total(narrow.select("rid", "tail"), ["tail"], ["rid"], F.lit(1), "rank", block_number(documents))
     rows = tokens.join(ranked.select("rid", "rank"), "rid")
     kind = dict(tokens.dtypes)["doc_id"]
 
