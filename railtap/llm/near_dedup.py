@@ -215,7 +215,9 @@ def _sets(docs: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
                 [pa.array([h[0] for h in halves], pa.int64()), pa.array([h[1] for h in halves], pa.int64()),
                  pa.array([f.tobytes() for f in found], pa.binary())], ["f1", "f2", "items"])
 
-    some = _raw(docs).join(nodes.select("id").distinct(), F.col("doc_id").eqNullSafe(F.col("id")), "left_semi")
+    # the ids grow with the table, so they are shuffled at every size and never broadcast
+    ids = nodes.select("id").distinct().hint("merge")
+    some = _raw(docs).join(ids, F.col("doc_id").eqNullSafe(F.col("id")), "left_semi")
     rows = some.select("raw").mapInArrow(run, "f1 long, f2 long, items binary")
     return rows.join(nodes, ["f1", "f2"]).select("node", "items").dropDuplicates(["node"])
 
