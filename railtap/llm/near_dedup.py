@@ -9,6 +9,13 @@ classes share, all pairs are candidates; where even the full key is shared by
 more, each class meets its next two neighbours.  Two classes of similarity 0.8
 share four hashes in at least one of 16 orders with probability 0.9998.
 
+More than ``REACH`` + 1 classes with the same ``SHALLOW`` hashes are a crowd, and
+there the neighbours alone would miss pairs.  All classes that stand in a crowd of
+any order are joined exactly (:func:`crowd_pairs`): shingles are put into one
+order, rare ones first, and two sets that reach the wanted similarity have their
+first common shingle near the front of both.  Nothing is left out of this join but
+pairs that links found before already put into one component.
+
 Orders are cut by range, so a region of any size spreads over tasks; the rows at
 the cuts are sorted again among themselves until no cut is left.  Candidates are
 confirmed on full shingle sets: first the best partner of each class, then those
@@ -40,6 +47,7 @@ TREES = 16
 DEPTH = 8
 SHALLOW = 4
 REACH = 8
+ORDER_BUCKETS = 1 << 18
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xD6E8FEB86659FD93)
@@ -110,7 +118,10 @@ def classes(signed: DataFrame) -> DataFrame:
 
 
 class _Neighbours:
-    """Candidate pairs of sorted rows that arrive in batches; rows are kept only as far as pairs still reach."""
+    """Candidate pairs of sorted rows that arrive in batches; rows are kept only as far as pairs still reach.
+
+    A node in a crowd is paired with itself, to tell it from others.
+    """
 
     def __init__(self):
         self.tree, self.key = np.empty(0, np.int32), np.empty((0, DEPTH), np.uint32)
@@ -133,7 +144,9 @@ class _Neighbours:
             edge = np.concatenate([[0], np.flatnonzero(shared < d) + 1, [rows]])
             length = np.repeat(np.diff(edge), np.diff(edge))
             depth[length <= hold] = d
-        left, right, reach = [], [], shared
+        at = np.arange(self.done, to)
+        crowd = np.unique(self.node[at[length[at] > hold]])  # ``length`` is still that of the shallowest regions
+        left, right, reach = [crowd], [crowd], shared
         for step in range(1, min(REACH, rows - 1) + 1):
             if step > 1:
                 reach = np.minimum(reach[:-1], shared[step - 1:])
@@ -183,7 +196,7 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def candidates(found: DataFrame, trees: int = TREES) -> DataFrame:
-    """Distinct candidate pairs of nodes a < b, with the number of times that the orders gave them."""
+    """Distinct candidate pairs of nodes a < b, with the number of times that the orders gave them; (a, a) if a is in a crowd."""
     width = 4 * DEPTH
     key = F.expr(f"substring(signature, tree * {width} + 1, {width})")
     rows = found.withColumn("tree", F.explode(F.array(*[F.lit(t) for t in range(trees)]))).select("tree", key.alias("key"), "node", "n")
@@ -191,7 +204,7 @@ def candidates(found: DataFrame, trees: int = TREES) -> DataFrame:
     while True:
         sorted_rows = rows.repartitionByRange(parts, "tree", "key", "node").sortWithinPartitions("tree", "key", "node")
         out = stored(sorted_rows.mapInArrow(_neighbours, _FOREST), "forest")
-        pairs.append(out.filter("a < b").select("a", "b"))
+        pairs.append(out.filter("a <= b").select("a", "b"))
         if parts == 1:
             break
         rows, parts = out.filter("node IS NOT NULL").select("tree", "key", "node", "n"), -(-parts // 512)
@@ -246,23 +259,95 @@ def _component_of(pairs: DataFrame, grouped: DataFrame) -> DataFrame:
     return pairs
 
 
+def _crowd_counts(sets: DataFrame) -> np.ndarray:
+    """How many sets have a shingle of each bucket: only the order of shingles depends on it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(ORDER_BUCKETS, np.int64)
+        for batch in batches:
+            for items in batch.column("items").to_pylist():
+                np.add.at(counts, (np.frombuffer(items, np.uint64) % np.uint64(ORDER_BUCKETS)).astype(np.int64), 1)
+        some = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(counts[some])], ["bucket", "n"])
+
+    every = np.zeros(ORDER_BUCKETS, np.int64)
+    # at most ``ORDER_BUCKETS`` rows
+    rows = sets.select("items").mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    every[rows.column("bucket").to_numpy()] = rows.column("n").to_numpy()
+    return every
+
+
+def front(items: np.ndarray, counts: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """The front shingles of a set, and the largest size of a set that may have each as its first common one with it.
+
+    At place k of n, at most n - k shingles are common from there on, and similarity
+    asks for percent / (100 + percent) of both sizes together.
+    """
+    n, many = len(items), counts[(items % np.uint64(ORDER_BUCKETS)).astype(np.int64)]
+    items = items[np.lexsort((items, many))]
+    most = ((100 + percent) * (n - np.arange(n)) - percent * n) // percent
+    ok = 100 * most >= percent * n
+    ok &= np.sort(many) > 1  # else no other set has it
+    return items[ok], most[ok]
+
+
+def crowd_pairs(sets: DataFrame, percent: int) -> DataFrame:
+    """All pairs a < b of the sets (node, root, items) of different roots that can be as similar as ``percent``.
+
+    The join meets the smaller set's front with the larger one's, and by the bounds
+    of :func:`front` no shingle that a whole crowd shares makes pairs, unless sharing
+    it can be enough.  In the list of a shingle the root with most rows never meets
+    itself, so a large group costs what other rows there are times its size.
+    """
+    counts = _crowd_counts(sets)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            items = [np.frombuffer(x, np.uint64) for x in batch.column("items").to_pylist()]
+            if not items:
+                continue
+            fronts = [front(x, counts, percent) for x in items]
+            k = [len(f[0]) for f in fronts]
+            each = [np.repeat(x, k) for x in (batch.column("node").to_numpy(), batch.column("root").to_numpy(), [len(x) for x in items])]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(x) for x in (np.concatenate([f[0] for f in fronts]).view(np.int64), *each, np.concatenate([f[1] for f in fronts]))],
+                ["token", "node", "root", "n", "most"])
+
+    rows = stored(sets.mapInArrow(run, "token long, node long, root long, n long, most long"), "fronts")
+    # lists of one root make no pairs, nor do those without a smaller side
+    lists = rows.groupBy("token", "root").agg(F.count("*").alias("rows"), F.max(F.col("most") >= F.col("n")).alias("small")).groupBy("token").agg(
+        F.max_by("root", F.struct("rows", "root")).alias("top"), F.count("*").alias("roots"), F.max("small").alias("small"))
+    lists = lists.filter("roots > 1 AND small").select("token", "top")
+    rows = stored(rows.join(lists, "token").withColumn("top", F.col("root") == F.col("top")), "mixed-fronts")
+    x, y = rows.filter("most >= n").alias("x"), rows.alias("y")
+    fit = F.expr("x.token = y.token AND x.root <> y.root AND x.n <= y.n AND y.n <= x.most AND x.n <= y.most")
+    pairs = x.filter("NOT top").join(y, fit).unionAll(x.filter("top").join(y.filter("NOT top"), fit))
+    return pairs.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
+
+
 def find(docs: DataFrame, size: int = 5, percent: int = 80, trees: int = TREES) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every document."""
     docs = need(docs, "doc_id", "text")
     signed = stored(signatures(docs, size, trees), "signatures")
     found = stored(classes(signed), "set-classes")
     pairs = stored(candidates(found, trees), "candidates")
+    crowd, pairs = pairs.filter("a = b").select(F.col("a").alias("node")), pairs.filter("a < b")
     # every class's best partner first: most links of a group come from these, and the rest need no look
     ends = pairs.select(F.col("a").alias("node"), "b", "a", "hits").unionAll(pairs.select(F.col("b").alias("node"), "b", "a", "hits"))
     best = stored(ends.groupBy("node").agg(F.max(F.struct("hits", -F.col("a"), -F.col("b"), "a", "b")).alias("best"))
                   .select("best.a", "best.b").distinct(), "best-pairs")
-    nodes = stored(ends.select("node").distinct().join(found.select("node", "f1", "f2", "id"), "node"), "set-nodes")
+    nodes = stored(ends.select("node").unionAll(crowd).distinct().join(found.select("node", "f1", "f2", "id"), "node"), "set-nodes")
     sets = stored(_sets(docs, nodes, size), "shingle-sets")
     first = stored(_confirm(best, sets, percent), "first-links")
     grouped = components(first)
     rest = _component_of(pairs.join(best, ["a", "b"], "left_anti"), grouped).filter("root_a <> root_b").select("a", "b")
     more = stored(_confirm(rest, sets, percent), "more-links")
     grouped = components(grouped.select(F.col("u").alias("a"), F.col("v").alias("b")).unionAll(more))
+    # what the neighbours in a crowd may have missed
+    dense = sets.join(crowd, "node").join(grouped.withColumnRenamed("u", "node"), "node", "left").select(
+        "node", F.coalesce("v", "node").alias("root"), "items")
+    last = stored(_confirm(crowd_pairs(stored(dense, "crowd-sets"), percent), sets, percent), "crowd-links")
+    grouped = components(grouped.select(F.col("u").alias("a"), F.col("v").alias("b")).unionAll(last))
     rooted = stored(found.select("f1", "f2", "node", "id").join(grouped, F.col("node") == F.col("u"), "left")
                     .select("f1", "f2", "id", F.coalesce("v", "node").alias("root")), "set-roots")
     named = stored(rooted.groupBy("root").agg(F.min("id").alias("component_id")), "component-ids")

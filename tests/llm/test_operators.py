@@ -270,6 +270,24 @@ def test_near_copies_across_task_edges(spark):
     assert [r["component_id"] for r in got] == [0]
 
 
+@pytest.mark.parametrize("base", [0.71, 0.785])
+def test_pairs_in_a_crowd_of_one_template(spark, base):
+    """Documents of one template, alike below the limit, and among them pairs at 0.8 and a little more."""
+    r, n, m = np.random.default_rng(int(1000 * base)), 400, 500
+    same = round(2 * base / (1 + base) * n)
+    need, texts = -(-80 * 2 * n // 180), []
+    for k in range(m):
+        texts.append([f"t{i}" for i in range(same)] + [f"u{k}x{i}" for i in range(n - same)])
+        if k % 5 == 0:  # a partner that has just as many of its words as the limit asks for
+            texts.append(texts[-1][:need + k % 3] + [f"v{k}x{i}" for i in range(n - need - k % 3)])
+    order = r.permutation(len(texts))
+    rows = [(int(i), " ".join(r.permutation(texts[j]))) for i, j in enumerate(order)]
+    want = _groups({i: set(t.split()) for i, t in rows})
+    assert len(set(want.values())) == m
+    got = {x["doc_id"]: x["component_id"] for x in near_dedup.find(spark.createDataFrame(rows, "doc_id long, text string"), size=1).collect()}
+    assert got == want
+
+
 def test_components_of_a_long_path(spark):
     links = spark.range(1, 200).select(F.col("id").alias("a"), (F.col("id") - 1).alias("b")).unionAll(
         spark.range(301, 320).select(F.lit(300).cast("long"), F.col("id")))
