@@ -2,7 +2,8 @@
 
 A page is cut into text blocks at block-level tags.  A block has its number of
 words and its link density, those of its neighbours, and whether it stands in
-something named as boilerplate, or in an article.  A decision tree, trained on
+something named as boilerplate, or in an article.  A class or id says nothing on
+html, body and main, nor on a wrapper that holds the page.  A decision tree, trained on
 the small labelled table of :mod:`railtap.llm.html_labels`, keeps or drops each
 block.  The kept blocks, character references decoded and white space turned
 into single blanks, are joined by line breaks in page order.
@@ -62,27 +63,49 @@ class Block:
     heading: bool
 
 
-def _mark(tag: str, attributes: str) -> tuple[bool, bool]:
-    """Whether the element is named as boilerplate, and as an article."""
+def _mark(tag: str, attributes: str) -> tuple[bool, bool, bool]:
+    """Whether the element is boilerplate, an article, and named as boilerplate by its class or id alone."""
     aside, main = tag in _ASIDE or tag in _UNSEEN, tag in ("article", "main")
+    named = False
     if attributes and not attributes.isspace():
         for name, a, b, c in _ATTRIBUTE.findall(attributes):
             name, value = name.lower(), (a or b or c).lower()
             if name in ("class", "id"):
                 words = set(_NAME.findall(value))
-                aside = aside or not words.isdisjoint(_ASIDE_WORDS)
+                # of an article only whole names count: "comment", but not "comment-open"
+                named = named or not (set(value.split()) if tag == "article" else words).isdisjoint(_ASIDE_WORDS)
                 main = main or not words.isdisjoint(_MAIN_WORDS)
             elif name == "role":
                 aside, main = aside or value in _ASIDE_ROLES, main or value in ("main", "article")
             elif name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none", value):
                 aside = True
-    return aside, main
+    return aside, main, named and tag not in ("html", "body", "main")
+
+
+def _wrappers(out: list[Block], within: list[tuple[int, ...]], holds: set[int]) -> set[int]:
+    """The elements named as boilerplate that hold the page: its main element (``holds``) or two thirds of its words.
+
+    Words that are boilerplate anyway do not count, and what an article elsewhere leaves over is no page.
+    """
+    inside: dict[int, int] = {}
+    total = elsewhere = 0
+    for b, names in zip(out, within):
+        if not b.aside:
+            total += b.words
+            elsewhere += b.main and not names
+            for k in names:
+                inside[k] = inside.get(k, 0) + b.words
+    return set() if elsewhere else {k for k, n in inside.items() if k in holds or 3 * n >= 2 * total}
 
 
 def blocks(page: str) -> list[Block]:
     """The text blocks of a page, in page order."""
     out: list[Block] = []
-    stack: list[tuple[str, bool, bool]] = []
+    within: list[tuple[int, ...]] = []
+    stack: list[tuple[str, bool, bool, tuple[int, ...]]] = []
+    named: tuple[int, ...] = ()
+    holds: set[int] = set()
+    number = 0
     text: list[str] = []
     linked: list[str] = []
     aside = main = False
@@ -95,6 +118,7 @@ def blocks(page: str) -> list[Block]:
                 inside = len(html.unescape(" ".join(linked)).split()) if linked else 0
                 head = any(t[0] in ("h1", "h2", "h3", "h4", "h5", "h6") for t in stack)
                 out.append(Block(" ".join(words), len(words), min(inside, len(words)), aside, main, head))
+                within.append(named)
             text.clear()
             linked.clear()
 
@@ -128,7 +152,7 @@ def blocks(page: str) -> list[Block]:
                     break
                 if tag in _INLINE and stack[k][0] in _LIMITS:  # a stray end tag
                     break
-            aside, main = stack[-1][1:] if stack else (False, False)
+            aside, main, named = stack[-1][1:] if stack else (False, False, ())
             continue
         if tag in _RAW:
             end = re.compile(rf"</{tag}\b[^>]*(?:>|\Z)", re.I).search(page, at)
@@ -136,6 +160,12 @@ def blocks(page: str) -> list[Block]:
             continue
         if tag in _VOID or attributes.endswith("/"):
             continue
+        if tag == "body":  # the end tag of a head may be left out
+            for k in range(len(stack)):
+                if stack[k][0] == "head":
+                    del stack[k:]
+                    links = sum(t[0] == "a" for t in stack)
+                    break
         for k in range(len(stack) - 1, -1, -1):
             if stack[k][0] in _CLOSES.get(tag, ()):
                 links -= sum(t[0] == "a" for t in stack[k:])
@@ -143,12 +173,18 @@ def blocks(page: str) -> list[Block]:
                 break
             if stack[k][0] in _LIMITS:
                 break
-        over = stack[-1] if stack else ("", False, False)
+        over = stack[-1] if stack else ("", False, False, ())
         own = _mark(tag, attributes)
-        stack.append((tag, over[1] or own[0], over[2] or own[1]))
-        aside, main = stack[-1][1:]
+        number += 1
+        if tag == "main":
+            holds.update(over[3])
+        stack.append((tag, over[1] or own[0], over[2] or own[1], (*over[3], number) if own[2] else over[3]))
+        aside, main, named = stack[-1][1:]
         links += tag == "a"
     close()
+    wrappers = _wrappers(out, within, holds)
+    for b, names in zip(out, within):
+        b.aside = b.aside or not wrappers.issuperset(names)
     return out
 
 

@@ -166,6 +166,15 @@ def test_extract_by_hand(spark):
     assert got == {1: (text, len(text)), 2: ("", 0), 3: ("", 0)}
 
 
+@pytest.mark.parametrize("before", [
+    '<body class="single has-sidebar">', '<body><div class="content no-sidebar">', '<body class="header-fixed">', '<body><div id="search-page"><main>',
+    '<body><article class="post comment-open">', "<head><title>no</title><body>"])
+def test_names_of_wrappers_do_not_drop_the_page(before):
+    text = "The river rose in the night and by morning the lower meadow was under water, so the farmers moved the herd to the hill. " * 3
+    page = f"<html>{before}<nav><a href=x>Menu</a></nav><p>{text}</p><p>{text}</p><div class='ad'>Buy boots now.</div><footer>end</footer>"
+    assert html_text.main_text(page, html_text.trained()).split("\n") == [text.strip()] * 2
+
+
 # conversations
 
 EVENTS = [(1, "m1", 1, None, "user", "hel"), (1, "m1", 2, "delta", "user", "lo"), (1, "m2", 3, "delta", "assistant", "first"),
