@@ -10,11 +10,12 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from railtap.llm import (
-    ann, chat_format, html_text, mixing, near_dedup, negatives, packing, quality, token_counts, url_filter, warc)
+    alignment, ann, chat_format, html_text, mixing, near_dedup, negatives, packing, quality, token_counts, url_filter, warc)
 from railtap.llm.common import read, small_batches
 from railtap.session import configure
 
 BYTE_BPE = tokenizer_path("byte_bpe_50k.json")
+PIECES = tokenizer_path("piece_bpe_32k.model")
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -153,6 +154,12 @@ SELECT anchor_id, positive_id, CAST(place AS INT) AS rank, negative_id, positive
 """
 
 
+@query
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups and links of two vocabularies' tokens of every document."""
+    return alignment.compare(read(spark, sf_dir, "documents", "doc_id", "text"), BYTE_BPE, PIECES)
+
+
 @query
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents through quality rules, near-dedup, mixing and packing."""
