@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from railtap.llm import (
-    alignment, ann, chat_format, html_text, mixing, near_dedup, negatives, packing, quality, token_counts, url_filter, warc)
+    alignment, ann, chat_format, html_text, mixing, near_dedup, negatives, packing, quality, token_counts, toxicity,
+    url_filter, warc)
 from railtap.llm.common import read, small_batches
 from railtap.session import configure
 
@@ -125,6 +126,13 @@ def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(read(spark, sf_dir, "embeddings", "vec_id", "embedding"), "vec_id % 20 = 0")
 
 
+@query
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document."""
+    return toxicity.judge(read(spark, sf_dir, "documents", "doc_id", "text"),
+                          read(spark, sf_dir, "labels", "doc_id", "toxic")).select("doc_id", "held_out", "score", "predicted")
+
+
 @query
 def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of other labels just below the positives of each row whose id is divisible by 50."""
