@@ -30,6 +30,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from array import array
 from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
@@ -44,17 +45,16 @@ from railtap.llm.byte_bpe import _KNOWN, PATTERN, _spec, is_byte_level
 from railtap.llm.common import need, stored
 
 HOT = 1 << 17
-MEMO = 150_000
+MEMO = 300_000
 
 _LONG_UNIT = 200
+_TOGETHER = 50_000
 _BITS = 32
+_COUNT = 40
+_ONES = (1 << _COUNT) - 1
 _BLANKS = re.compile("(?<=[^ ]) (?=[^ ])")
 
 
-class Mismatch(Exception):
-    """The tokens do not join to the bytes of the text."""
-
-
 def cut_safe(pieces: list[str]) -> bool:
     """Whether no piece goes on past a blank that follows another character."""
     return not any(re.search("[^▁]▁", p) for p in pieces)
@@ -72,99 +72,149 @@ class Vocabularies:
         self._library = Tokenizer.from_file(bytes_path)
         self._library.encode_special_tokens = True
         self._token = {i: raw for raw, i in ranks.items()}
+        self.bytes_length = {i: len(raw) for raw, i in ranks.items()}
         self._model = sentencepiece.SentencePieceProcessor(model_file=pieces_path)
         pieces = [self._model.id_to_piece(i) for i in range(self._model.get_piece_size())]
         self.cuts = cut_safe(pieces) and is_byte_level(bytes_path)
         self._piece = [bytes([int(p[3:5], 16)]) if self._model.is_byte(i) else p.replace("▁", " ").encode()
                        for i, p in enumerate(pieces)]
-
-    def encode(self, text: str) -> tuple[list[int], list[bytes], list[int], list[bytes]]:
-        """Ids and bytes of the tokens of A and of B of a blank and ``text``."""
-        full = " " + text
-        a = self._merge(full) if _KNOWN(full) else self._library.encode(full, add_special_tokens=False).ids
-        b = self._model.encode(text)
-        of_a, of_b = [self._token[i] for i in a], [self._piece[i] for i in b]
-        raw = full.encode()
-        if b"".join(of_a) != raw or b"".join(of_b) != raw:
-            raise Mismatch
-        return a, of_a, b, of_b
-
-
-def groups(a: list[int], b: list[int]) -> Iterator[tuple[int, int, int, int]]:
+        self.piece_length = [len(p) for p in self._piece]
+
+    def bytes_ids(self, units: list[str]) -> list[list[int]]:
+        """Ids of A of a blank and each unit; units of known letters go to the merger as one text, cut up again by length."""
+        out: list = [None] * len(units)
+        known = [i for i, u in enumerate(units) if _KNOWN(u)] if self.cuts else []
+        ids = self._merge("".join([" " + units[i] for i in known]))
+        at = end = total = 0
+        for i in known:
+            total += len(units[i].encode()) + 1
+            first = at
+            while end < total:
+                end += self.bytes_length[ids[at]]
+                at += 1
+            out[i] = ids[first:at]
+            if end != total:  # a token went on past the unit: take the unit alone
+                out[i], end = None, total
+                break
+        for i, got in enumerate(out):
+            if got is None:
+                out[i] = (self._merge if _KNOWN(units[i]) else self._encode)(" " + units[i])
+        return out
+
+    def _encode(self, text: str) -> list[int]:
+        return self._library.encode(text, add_special_tokens=False).ids
+
+    def encode(self, units: list[str]) -> Iterator[tuple[list[int], list[int]] | None]:
+        """Ids of A and of B of a blank and each unit; None where they do not join to its bytes."""
+        for unit, a, b in zip(units, self.bytes_ids(units), self._model.encode(units, num_threads=1)):
+            raw = b" " + unit.encode()
+            if b"".join([self._token[i] for i in a]) == raw and b"".join([self._piece[i] for i in b]) == raw:
+                yield a, b
+            else:
+                yield None
+
+
+def groups(a: list[int], b: list[int]) -> list[tuple[int, int, int, int]]:
     """Leaf groups of two rising lists of token ends with the same last: first and end position in ``a``, then in ``b``."""
-    todo = [(0, len(a), 0, len(b))]
+    out, todo = [], [(0, len(a), 0, len(b))]
     while todo:
         a0, a1, b0, b1 = todo.pop()
-        cut = _middle_cut(a, a0, a1, b, b0, b1)
+        cut = None
+        if a1 - a0 > 1 and b1 - b0 > 1:  # walk along the shorter list, bisect the longer
+            if a1 - a0 <= b1 - b0:
+                cut = _middle_cut(a, a0, a1 - 1, b, b0, b1 - 1)
+            elif turned := _middle_cut(b, b0, b1 - 1, a, a0, a1 - 1):
+                cut = turned[1], turned[0]
         if cut is None:
-            yield a0, a1, b0, b1
+            out.append((a0, a1, b0, b1))
         else:
             i, j = cut
-            todo += [(i + 1, a1, j + 1, b1), (a0, i + 1, b0, j + 1)]
+            todo.append((i + 1, a1, j + 1, b1))
+            todo.append((a0, i + 1, b0, j + 1))
+    return out
 
 
-def _middle_cut(a: list[int], a0: int, a1: int, b: list[int], b0: int, b1: int) -> tuple[int, int] | None:
+def _middle_cut(a: list[int], a0: int, last: int, b: list[int], b0: int, b1: int) -> tuple[int, int] | None:
     """Positions of the shared end nearest the middle of the interval, its own end left out."""
-    if a1 - a0 < 2 or b1 - b0 < 2:
-        return None
-    if a1 - a0 > b1 - b0:  # walk along the shorter list, bisect the longer
-        other = _middle_cut(b, b0, b1, a, a0, a1)
-        return other and other[::-1]
-    last = a1 - 1
-    middle = bisect_left(a, ((a[a0] + a[last]) >> 1), a0, last)
-    for away in range(last - a0 + 1):
-        for i in ((middle + away, middle - away - 1)):
-            if a0 <= i < last:
-                j = bisect_left(b, a[i], b0, b1 - 1)
-                if j < b1 - 1 and b[j] == a[i]:
-                    return i, j
+    up = bisect_left(a, (a[a0] + a[last]) >> 1, a0, last)
+    down = up - 1
+    while up < last or down >= a0:
+        if up < last:
+            j = bisect_left(b, a[up], b0, b1)
+            if j < b1 and b[j] == a[up]:
+                return up, j
+            up += 1
+        if down >= a0:
+            j = bisect_left(b, a[down], b0, b1)
+            if j < b1 and b[j] == a[down]:
+                return down, j
+            down -= 1
     return None
 
 
-def links(a: list[int], b: list[int], a0: int, a1: int, b0: int, b1: int) -> Iterator[tuple[int, int]]:
+def links(a: list[int], b: list[int], a0: int, a1: int, b0: int, b1: int) -> list[tuple[int, int]]:
     """Positions of the tokens of a group whose byte ranges overlap."""
-    i, j = a0, b0
+    out, i, j = [], a0, b0
     while i < a1 and j < b1:
-        yield i, j
-        ends = a[i], b[j]
-        i += ends[0] <= ends[1]
-        j += ends[1] <= ends[0]
+        out.append((i, j))
+        x, y = a[i], b[j]
+        i += x <= y
+        j += y <= x
+    return out
 
 
-def align(a: list[int], of_a: list[bytes], b: list[int], of_b: list[bytes]) -> tuple[int, int, int, bytes, bytes]:
-    """Tokens of A and B, groups, their ids as text, and the links as 64-bit pairs of ids."""
-    ends_a, ends_b = (list(accumulate(map(len, t))) for t in (of_a, of_b))
-    found, pairs = [], []
+def align(a: list[int], ends_a: list[int], b: list[int], ends_b: list[int]) -> tuple[int, bytes, bytes]:
+    """Numbers of tokens of A, of B and of groups in one number, the groups' ids as text, the links as 64-bit pairs of ids."""
+    found, pairs = [], array("q")
     for a0, a1, b0, b1 in groups(ends_a, ends_b):
-        found.append(f"{','.join(map(str, a[a0:a1]))}|{','.join(map(str, b[b0:b1]))}")
-        pairs += [a[i] << _BITS | b[j] for i, j in links(ends_a, ends_b, a0, a1, b0, b1)]
-    return len(a), len(b), len(found), ";".join(found).encode(), np.array(pairs, np.int64).tobytes()
+        if a1 - a0 == 1 and b1 - b0 == 1:
+            found.append(f"{a[a0]}|{b[b0]}")
+            pairs.append(a[a0] << _BITS | b[b0])
+        else:
+            found.append(f"{','.join(map(str, a[a0:a1]))}|{','.join(map(str, b[b0:b1]))}")
+            pairs.extend([a[i] << _BITS | b[j] for i, j in links(ends_a, ends_b, a0, a1, b0, b1)])
+    return len(a) << 2 * _COUNT | len(b) << _COUNT | len(found), ";".join(found).encode(), pairs.tobytes()
 
 
-class Units(dict):
-    """Alignments by unit; None for a unit whose bytes do not come back."""
+class Units:
+    """Alignments of the units of texts; those of the first ``MEMO`` units are kept."""
 
     def __init__(self, vocabularies: Vocabularies):
-        super().__init__()
         self._of = vocabularies
+        self._memo: dict = {}
 
-    def __missing__(self, unit: str):
-        try:
-            value = align(*self._of.encode(unit))
-        except Mismatch:
-            value = None
-        if len(unit) <= _LONG_UNIT and len(self) < MEMO:
-            self[unit] = value
-        return value
-
-    def text(self, text: str | None) -> list | None:
-        """The alignments of the units of a text; None where it has no tokens."""
+    def _cut(self, text: str | None) -> list[str]:
         if not text:
-            return None
+            return []
         units = _BLANKS.split(" " + text) if self._of.cuts else [" " + text]
         units[0] = units[0][1:]
-        values = list(map(self.__getitem__, units))
-        return None if None in values else values
+        return units
+
+    def _aligned(self, units: list[str]) -> Iterator[tuple | None]:
+        of_a, of_b = self._of.bytes_length, self._of.piece_length
+        for ids in self._of.encode(units):
+            if ids is None:
+                yield None
+            else:
+                a, b = ids
+                yield align(a, list(accumulate([of_a[i] for i in a])), b, list(accumulate([of_b[i] for i in b])))
+
+    def texts(self, texts: list[str | None]) -> Iterator[list | None]:
+        """The alignments of the units of each text; None where it has no tokens.  Unknown units are encoded together."""
+        memo, cut = self._memo, [self._cut(t) for t in texts]
+        todo = sorted(set().union(*cut).difference(memo))
+        new = {}
+        for at in range(0, len(todo), _TOGETHER):
+            some = todo[at:at + _TOGETHER]
+            new.update(zip(some, self._aligned(some)))
+        for units in cut:
+            values = [memo[u] if u in memo else new[u] for u in units]
+            yield None if not values or None in values else values
+        for unit, value in new.items():
+            if len(memo) >= MEMO:
+                break
+            if len(unit) <= _LONG_UNIT:
+                memo[unit] = value
 
 
 @lru_cache(maxsize=1)
@@ -181,15 +231,16 @@ def tokens(docs: DataFrame, bytes_path: str, pieces_path: str) -> DataFrame:
         for batch in batches:
             counts: list[list] = [[], [], [], []]
             digests, keys, times = [], [], []
-            for text in batch.column("text").to_pylist():
-                values = units.text(text)
+            for values in units.texts(batch.column("text").to_pylist()):
                 if values is None:
                     row, digest, got, n = (0, 0, 0, 0), "", np.zeros(0, np.int64), np.zeros(0, np.int64)
                 else:
-                    a, b, g, spelled, linked = zip(*values)
+                    numbers, spelled, linked = zip(*values)
                     all_links = np.frombuffer(b"".join(linked), np.int64)
                     got, n = np.unique(all_links, return_counts=True)
-                    row, digest = (sum(a), sum(b), sum(g), len(all_links)), hashlib.sha256(b";".join(spelled)).hexdigest()
+                    total = sum(numbers)
+                    row = total >> 2 * _COUNT, total >> _COUNT & _ONES, total & _ONES, len(all_links)
+                    digest = hashlib.sha256(b";".join(spelled)).hexdigest()
                 for column, value in zip(counts, row):
                     column.append(value)
                 digests.append(digest)
