@@ -32,6 +32,7 @@ import unicodedata
 from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -54,9 +55,11 @@ LOOKALIKES = {
 LOOKALIKE, GAP, REPEAT = 2.5, 1.5, 2.0
 
 _MEMO = 250_000
+_DULL = 700_000
 _LONG = 64
 _LETTERS = 0x250
 _OTHER = 27
+_EDGE = 28
 _STARTS = (4, 5, 6)
 _PARTS = 1 + len(_STARTS)
 
@@ -70,18 +73,20 @@ def code(letter: str) -> int:
 
 
 def _table() -> np.ndarray:
-    return np.array([code(chr(i)) for i in range(0x3000)], np.int64)
+    return np.array([_EDGE, *[code(chr(i)) for i in range(1, 0x3000)]], np.int64)
 
 
 # the language model
 
-def _runs(text: str, table: np.ndarray) -> np.ndarray:
-    """Numbers of the runs of four codes of a text, gaps taken as one."""
-    points = np.frombuffer(f" {text.lower()} ".encode("utf-32-le", "replace"), np.uint32)
+def _runs(texts: list[str], table: np.ndarray) -> np.ndarray:
+    """Numbers of the runs of four codes inside each text, gaps taken as one."""
+    joined = "\0".join(f" {t} ".replace("\0", " ") for t in texts).lower()
+    points = np.frombuffer(joined.encode("utf-32-le", "replace"), np.uint32)
     codes = np.where(points < len(table), table[np.minimum(points, len(table) - 1)], _OTHER)
-    codes = codes[~((codes == 0) & (np.concatenate([[0], codes[:-1]]) == 0))]
-    c = np.concatenate([[0, 0, 0], codes])
-    return c[:-3] << 15 | c[1:-2] << 10 | c[2:-1] << 5 | c[3:]
+    codes = codes[~((codes == 0) & (np.concatenate([[_EDGE], codes[:-1]]) == 0))]
+    edge = codes == _EDGE
+    inside = ~(edge[:-3] | edge[1:-2] | edge[2:-1] | edge[3:])
+    return (codes[:-3] << 15 | codes[1:-2] << 10 | codes[2:-1] << 5 | codes[3:])[inside]
 
 
 def character_counts(docs: DataFrame) -> DataFrame:
@@ -90,15 +95,15 @@ def character_counts(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, n = _table(), np.zeros(1 << 20, np.int64)
         for batch in batches:
-            texts, size = [], 0
-            for text in [*batch.column("text").to_pylist(), None]:
-                if text is None or size > 1 << 20:  # a few MB at a time
-                    if texts:
-                        n += np.bincount(_runs("\n".join(texts), table), minlength=1 << 20)
-                    texts, size = [], 0
-                if text:
-                    texts.append(text)
-                    size += len(text)
+            some, size = [], 0
+            for text in filter(None, batch.column("text").to_pylist()):
+                some.append(text)
+                size += len(text)
+                if size > 1 << 20:  # a few MB at a time
+                    n += np.bincount(_runs(some, table), minlength=1 << 20)
+                    some, size = [], 0
+            if some:
+                n += np.bincount(_runs(some, table), minlength=1 << 20)
         some = np.flatnonzero(n)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(n[some])], ["run", "n"])
 
@@ -130,7 +135,7 @@ class Decoder:
         self._costs = array("f", costs.tobytes())
         self._codes = _CodeOf()
 
-    def _options(self, c: str, before: str) -> list[tuple[str, int | None, float]]:
+    def _options(self, c: str, again: bool) -> list[tuple[str, int | None, float]]:
         of = self._codes[c]
         if of:
             found: list = [(c, of, 0.0)]
@@ -140,17 +145,23 @@ class Decoder:
                 found += [(x, self._codes[x], LOOKALIKE) for x in LOOKALIKES[c]]
             else:
                 found.append(("", None, GAP))
-        if c == before and not c.isspace():
+        if again and not c.isspace():
             found.append(("", None, REPEAT))
         return found
 
     def read(self, span: str) -> str:
         """The restored span; words stand between blanks."""
-        costs = self._costs
+        costs, codes = self._costs, self._codes
         states: dict[int, tuple[float, tuple]] = {0: (0.0, ())}
         before = ""
         for c in span:
-            options, reached = self._options(c, before), {}
+            if len(states) == 1 and c != before and (of := codes[c]):  # one path, one way on
+                (context, (cost, path)), = states.items()
+                run = context << 5 | of
+                states = {run & 0x7FFF: (cost + costs[run], (path, c))}
+                before = c
+                continue
+            options, reached = self._options(c, c == before), {}
             before = c
             for context, (cost, path) in states.items():
                 for text, of, more in options:
@@ -177,7 +188,7 @@ class Decoder:
 
     def spaced(self, text: str, tokens: list[str]) -> list[str]:
         """The words of the runs of single characters of a text."""
-        if sum(len(t) == 1 for t in tokens) < 3:
+        if sum(map(tokens.count, {t for t in tokens if len(t) == 1})) < 3:
             return []
         return [w for m in _SPACED.finditer(text) if _HAS_LETTER(m[0]) for w in _WORDS(self.read(m[0]))]
 
@@ -201,36 +212,92 @@ def cells(word: str, size: int = CELLS) -> list[int]:
     return out
 
 
-class Memo(dict):
-    """What ``of`` makes of a token; bounded."""
-
-    def __init__(self, of):
-        super().__init__()
-        self._of = of
-
-    def __missing__(self, token: str):
-        value = self._of(token)
-        if len(token) <= _LONG and len(self) < _MEMO:
-            self[token] = value
-        return value
-
-
 class Marks:
-    """The distinct words of texts as rows of cells."""
+    """The distinct restored words of texts; words and cells of the first ``_MEMO`` tokens and words are kept."""
 
     def __init__(self, costs: np.ndarray):
         self._decoder = Decoder(costs)
-        self._memo = Memo(lambda token: self._cells(self._decoder.words(token)))
+        self._words: dict[str, list[str]] = {}
+        self._cells: dict[str, bytes] = {}
 
-    def _cells(self, words: list[str]) -> bytes:
-        return array("i", [c for w in words if len(w) > 1 for c in cells(w)]).tobytes()
-
-    def of(self, text: str | None) -> np.ndarray:
-        """Words x parts x 2 cells; words that share all cells come once."""
+    def words(self, text: str | None) -> set[str]:
         lower = (text or "").lower()
         tokens = lower.split()
-        raw = b"".join(map(self._memo.__getitem__, set(tokens))) + self._cells(self._decoder.spaced(lower, tokens))
-        return np.unique(np.frombuffer(raw, np.int32).reshape(-1, 2 * _PARTS), axis=0).reshape(-1, _PARTS, 2)
+        found = set(self._decoder.spaced(lower, tokens))
+        for token in set(tokens):
+            words = self._words.get(token)
+            if words is None:
+                words = self._decoder.words(token)
+                if len(token) <= _LONG and len(self._words) < _MEMO:
+                    self._words[token] = words
+            found.update(words)
+        return {w for w in found if len(w) > 1}
+
+    def of(self, text: str | None) -> np.ndarray:
+        """Words x parts x 2 cells."""
+        raw = []
+        for word in self.words(text):
+            at = self._cells.get(word)
+            if at is None:
+                at = array("i", cells(word)).tobytes()
+                if len(word) <= _LONG and len(self._cells) < _MEMO:
+                    self._cells[word] = at
+            raw.append(at)
+        return np.frombuffer(b"".join(raw), np.int32).reshape(-1, _PARTS, 2)
+
+
+class Finder:
+    """The words of texts that say something, with their weights.
+
+    Most tokens say nothing and are kept as such; what the tokens of a batch
+    that are new say is looked up together.
+    """
+
+    def __init__(self, costs: np.ndarray, weights: np.ndarray):
+        self._decoder, self._weights = Decoder(costs), weights
+        self._dull: set[str] = set()
+        self._marked: dict[str, tuple] = {}
+
+    def _weigh(self, words: list[str]) -> dict[str, float]:
+        at = np.array([c for w in words for c in cells(w)], np.int32).reshape(-1, _PARTS, 2)
+        found = self._weights[at].min(axis=2).max(axis=1)
+        return {words[i]: float(found[i]) for i in np.flatnonzero(found > 1.0)}
+
+    def of(self, texts: list[str | None]) -> Iterator[dict[str, float]]:
+        lower = [(t or "").lower() for t in texts]
+        tokens = [t.split() for t in lower]
+        own = [set(t) for t in tokens]
+        new = list(set().union(*own).difference(self._dull, self._marked))
+        words = {t: self._decoder.words(t) for t in new}
+        spaced = [self._decoder.spaced(*x) for x in zip(lower, tokens)]
+        every = {w for ws in (*words.values(), *spaced) for w in ws if len(w) > 1}
+        weighed, every = {}, list(every)
+        for i in range(0, len(every), 1 << 16):
+            weighed.update(self._weigh(every[i:i + (1 << 16)]))
+        marked = {t: got for t, ws in words.items() if (got := tuple((w, weighed[w]) for w in ws if w in weighed))}
+        for mine, runs in zip(own, spaced):
+            found = {w: weighed[w] for w in runs if w in weighed}
+            for t in mine.difference(self._dull):
+                found.update(marked.get(t) or self._marked.get(t) or ())
+            yield found
+        for t in new:
+            if len(t) <= _LONG:
+                if t in marked:
+                    if len(self._marked) < _MEMO:
+                        self._marked[t] = marked[t]
+                elif len(self._dull) < _DULL:
+                    self._dull.add(t)
+
+
+@lru_cache(maxsize=1)
+def _marks(costs: bytes) -> Marks:
+    """Kept by a worker from task to task."""
+    return Marks(np.frombuffer(costs, np.float32))
+
+
+@lru_cache(maxsize=1)
+def _finder(costs: bytes, weights: bytes) -> Finder:
+    return Finder(np.frombuffer(costs, np.float32), np.frombuffer(weights, np.float32))
 
 
 def evidence(toxic: np.ndarray, other: np.ndarray, share: float, lean: float = 4.0) -> np.ndarray:
@@ -292,12 +359,13 @@ def labelled(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFr
 
 def _cell_counts(rows: DataFrame, costs: np.ndarray) -> DataFrame:
     """cell, toxic, other: texts with a word or start in the cell, where at least two toxic ones have."""
+    known = costs.tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        marks, n = Marks(costs), np.zeros((2, 2 * CELLS), np.int32)
+        marks, n = _marks(known), np.zeros((2, 2 * CELLS), np.int32)
         for batch in batches:
             for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist()):
-                n[0 if toxic else 1, np.unique(marks.of(text))] += 1
+                n[0 if toxic else 1, marks.of(text).ravel()] += 1  # a cell that comes twice counts once
         some = np.flatnonzero(n.any(axis=0))
         yield pa.RecordBatch.from_arrays([pa.array(some), *[pa.array(c[some].astype(np.int64)) for c in n]], ["cell", "toxic", "other"])
 
@@ -307,9 +375,10 @@ def _cell_counts(rows: DataFrame, costs: np.ndarray) -> DataFrame:
 
 def _summaries(rows: DataFrame, costs: np.ndarray, n: np.ndarray, share: float) -> DataFrame:
     """toxic, seen: of the labelled texts, each scored without its own counts."""
+    known = costs.tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        marks = Marks(costs)
+        marks = _marks(known)
         for batch in batches:
             labels, seen = batch.column("toxic").to_pylist(), []
             for text, toxic in zip(batch.column("text").to_pylist(), labels):
@@ -351,32 +420,14 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, held_out, score, predicted of every row of ``docs``."""
     kind = dict(docs.dtypes)["doc_id"]
+    costs, weights = model.costs.tobytes(), model.weights.tobytes() if model.weights is not None else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        decoder, weights = Decoder(model.costs), model.weights
-
-        def strongest(words: list[str]) -> tuple[tuple[str, float], ...]:
-            """The words that say something, with their weights."""
-            out = []
-            for w in words:
-                if len(w) > 1:
-                    found = weights[cells(w)].reshape(-1, 2).min(axis=1).max()
-                    if found > 1.0:
-                        out.append((w, float(found)))
-            return tuple(out)
-
-        memo = Memo(lambda token: strongest(decoder.words(token)))
+        finder = _finder(costs, weights) if weights else None
         for batch in batches:
-            scores = []
-            for text in batch.column("text").to_pylist():
-                found: dict[str, float] = {}
-                if weights is not None and text:
-                    lower = text.lower()
-                    tokens = lower.split()
-                    for marked in filter(None, map(memo.__getitem__, set(tokens))):
-                        found.update(marked)
-                    found.update(strongest(decoder.spaced(lower, tokens)))
-                scores.append(model.score(summary(np.array([*found.values()]))))
+            texts = batch.column("text").to_pylist()
+            found = finder.of(texts) if finder else ({} for _ in texts)
+            scores = [model.score(summary(np.array([*f.values()]))) for f in found]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(scores, pa.float64())], ["doc_id", "score"])
 
     scored = need(docs, "doc_id", "text").mapInArrow(run, f"doc_id {kind}, score double")

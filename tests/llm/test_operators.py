@@ -14,10 +14,12 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from railtap.llm import (
-    ann, byte_bpe, chat_format, components, html_labels, html_text, mixing, near_dedup, packing, quality, token_counts, url_filter, warc)
+    alignment, ann, byte_bpe, chat_format, components, html_labels, html_text, mixing, near_dedup, negatives, packing, quality,
+    token_counts, toxicity, url_filter, warc)
 from railtap.llm.common import swap_or_not
 
 BPE = tokenizer_path("byte_bpe_50k.json")
+PIECES = tokenizer_path("piece_bpe_32k.model")
 WS = b" \t\n\x0b\x0c\r"
 
 
@@ -397,3 +399,201 @@ def test_ties_and_unusable_vectors(spark):
     mine = sorted((r["rank"], r["vec_id"], r["score"]) for r in got if r["query_id"] == 20)
     assert mine[0][1:] == (None, 12.0)
     assert [m[1] for m in mine[1:]] == [i for i in range(60) if i != 20][:19]
+
+
+# toxicity
+
+@pytest.fixture(scope="module")
+def toxic_model(docs, spark):
+    """Fitted on clean texts and the same kind of texts with a few marked words among theirs."""
+    rng = random.Random(2)
+    words = "the river rose in night and by morning lower meadow was under water so farmers moved their herd up to old barn near mill where".split()
+    marked = ["idiot", "moron", "worthless", "pathetic", "stupid", "scum"]
+    rows, labels = [], []
+    for i in range(900):
+        text = [rng.choice(words) for _ in range(60)]
+        if i % 3 == 0:
+            for w in rng.sample(marked, 2):
+                text.insert(rng.randrange(60), w)
+        rows.append((i, " ".join(text)))
+        labels.append((i, int(i % 3 == 0)))
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    return rows, labels, toxicity.fit(d.unionByName(docs.select("doc_id", "text").withColumn("doc_id", F.lit(-1).cast("long"))),
+                                      spark.createDataFrame(labels, "doc_id long, toxic int"))
+
+
+def test_toxicity_holds_out(spark, toxic_model):
+    rows, labels, model = toxic_model
+    truth = dict(labels)
+    got = toxicity.score(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()
+    assert {r["doc_id"] for r in got if r["held_out"]} == {i for i in truth if zlib.crc32(str(i).encode()) % 5 == 0}
+    out = [r for r in got if r["held_out"]]
+    assert sum(r["predicted"] == truth[r["doc_id"]] for r in out) >= 0.98 * len(out)
+
+
+@pytest.mark.parametrize("disguise", [
+    lambda w: w.replace("o", "0").replace("i", "1").replace("s", "$"), " ".join, ".".join, "-".join,
+    lambda w: w[:2] + w[1] * 3 + w[2:], str.upper, lambda w: f'"{w}!!"'])
+def test_disguised_words_are_found(spark, toxic_model, disguise):
+    rows, labels, model = toxic_model
+    clean = [t for (i, t), (_, y) in zip(rows, labels) if not y][:100]
+    hidden = [f"{t} {disguise('moron')} {t[:50]} {disguise('stupid')} {disguise('scum')}" for t in clean]
+    got = toxicity.score(spark.createDataFrame(list(enumerate(hidden)), "doc_id long, text string"), model).collect()
+    assert sum(r["predicted"] for r in got) >= 95
+
+
+def test_labels_of_the_held_out_part_are_never_read(docs, spark):
+    labels = spark.createDataFrame([(i, i % 2) for i in range(200)], "doc_id long, toxic int")
+    turned = labels.withColumn("toxic", F.when(toxicity.held_out(F.col("doc_id")), 1 - F.col("toxic")).otherwise(F.col("toxic")))
+    one, other = ({(r["doc_id"], r["score"]) for r in toxicity.judge(docs, x).collect()} for x in (labels, turned))
+    assert one == other
+
+
+def plain_reading(costs, span):
+    """Cheapest reading of a span by trying every path."""
+    best = []
+
+    def walk(i, context, cost, out, before):
+        if i == len(span):
+            best.append((cost + (costs[context << 5] if context & 31 else 0.0), out))
+            return
+        c = span[i]
+        of = toxicity.code(c)
+        options = [(c, of, 0.0)] if of else [(" ", 0, 0.0)] + (
+            [(x, toxicity.code(x), toxicity.LOOKALIKE) for x in toxicity.LOOKALIKES[c]] if c in toxicity.LOOKALIKES else [("", None, toxicity.GAP)])
+        if c == before and not c.isspace():
+            options.append(("", None, toxicity.REPEAT))
+        for text, code, more in options:
+            if code or code == 0 and context & 31:
+                run = context << 5 | code
+                walk(i + 1, run & 0x7FFF, cost + more + costs[run], out + text, c)
+            else:
+                walk(i + 1, context, cost + more, out, c)
+
+    walk(0, 0, 0.0, "", "")
+    return min(b[0] for b in best), best
+
+
+def test_viterbi_path_is_the_cheapest(toxic_model):
+    costs = toxic_model[2].costs
+    decoder, rng = toxicity.Decoder(costs), random.Random(6)
+    for _ in range(150):
+        span = "".join(rng.choice("idt1o0t s.$a!") for _ in range(rng.randint(1, 8)))
+        cheapest, every = plain_reading(costs, span)
+        assert decoder.read(span) in {out for cost, out in every if cost <= cheapest + 1e-4}
+
+
+def test_character_counts_cover_all_texts(spark):
+    texts = ["Ab, ab", "é1z", None, "", "ab\nAB"]
+    got = {r["run"]: r["n"] for r in toxicity.character_counts(spark.createDataFrame([(t,) for t in texts], "text string").repartition(3)).collect()}
+    want = Counter()
+    for t in [t for t in texts if t]:
+        codes = [0]
+        for c in t.lower() + " ":
+            k = toxicity.code(c)
+            if k or codes[-1]:
+                codes.append(k)
+        want.update(codes[i] << 15 | codes[i + 1] << 10 | codes[i + 2] << 5 | codes[i + 3] for i in range(len(codes) - 3))
+    assert got == want
+
+
+# hard negatives
+
+def test_negatives_against_brute_force(spark):
+    rng = np.random.default_rng(3)
+    x = np.floor(256 * rng.normal(size=(600, 12)))
+    x[100:160] = x[100]   # many equal rows
+    label = rng.integers(0, 4, 600)
+    rows = [(i, int(label[i]), [float(v) for v in x[i]]) for i in range(600)]
+    df = spark.createDataFrame(rows, "vec_id long, label long, x array<double>").repartition(5)
+    got = sorted(tuple(r) for r in negatives.mine(df, "vec_id % 20 = 0").collect())
+    want = []
+    for a in range(0, 600, 20):
+        s = (x @ x[a]).astype(int)
+        order = sorted((i for i in range(600) if i != a), key=lambda i: (-s[i], i))
+        for p in [i for i in order if label[i] == label[a]][:5]:
+            hits = [i for i in order if label[i] != label[a] and 50 * s[p] <= 100 * s[i] <= 95 * s[p]][:3]
+            want += [(a, p, r, n, int(s[p]), int(s[n])) for r, n in enumerate(hits, start=1)]
+    assert got == sorted(want) and len(want) > 200
+
+
+def test_shards_lose_nothing(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    rows = [(i, int(rng.integers(0, 3)), [float(v) for v in np.floor(50 * rng.normal(size=6))]) for i in range(400)]
+    df = spark.createDataFrame(rows, "vec_id long, label long, x array<double>")
+    whole = sorted(tuple(r) for r in negatives.mine(df, "vec_id % 10 = 0").collect())
+    monkeypatch.setattr(negatives, "SHARD_ROWS", 23)
+    assert sorted(tuple(r) for r in negatives.mine(df, "vec_id % 10 = 0").collect()) == whole
+
+
+def test_large_components_stay_exact(spark):
+    big = float(1 << 60)
+    df = spark.createDataFrame([(50, 1, [big, 3.0]), (1, 1, [8.0, 1.0]), (2, 2, [4.0, 2.0]), (3, 2, [4.0, 1.0]), (4, 1, [big, 0.0])],
+                               "vec_id long, label long, x array<double>")
+    got = sorted(tuple(r) for r in negatives.mine(df, "vec_id = 50").collect())
+    most = (1 << 63) - 1   # 2^120 and 2^63 are set to the largest number
+    assert (50, 1, 1, 2, most, (1 << 62) + 6) in got and (50, 1, 2, 3, most, (1 << 62) + 3) in got
+
+
+def test_packed_keys_sort_as_their_parts(spark):
+    rng = random.Random(9)
+    parts = [(rng.randrange(3), rng.choice([-(1 << 63), -5, 0, 7, (1 << 63) - 1]), rng.randrange(2), rng.choice([None, -9, 0, 4]), rng.randrange(5)) for _ in range(300)]
+    by_key = sorted(parts, key=lambda p: negatives.pack(*p))
+    assert by_key == sorted(parts, key=lambda p: (p[0], -p[1], p[2], p[3] is None, p[3] or 0, p[4]))
+    assert all(negatives.unpack(negatives.pack(*p)) == (*p[:3], p[3]) for p in parts)
+
+
+# token alignment
+
+def plain_alignment(texts):
+    """Tokens of both libraries over whole texts, cut at every shared end."""
+    import sentencepiece
+    a_lib = Tokenizer.from_file(BPE)
+    a_lib.encode_special_tokens = True
+    b_lib = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    letters = byte_bpe._byte_letters()
+    of_a = {i: bytes(letters[c] for c in t) for t, i in a_lib.get_vocab().items() if all(c in letters for c in t)}
+    piece = lambda i: bytes([int(b_lib.id_to_piece(i)[3:5], 16)]) if b_lib.is_byte(i) else b_lib.id_to_piece(i).replace("▁", " ").encode()
+    rows = []
+    for text in texts:
+        raw = b" " + (text or "").encode()
+        a = a_lib.encode(" " + text, add_special_tokens=False).ids if text else []
+        b = b_lib.encode(text) if text else []
+        if not text or b"".join(of_a[i] for i in a) != raw or b"".join(map(piece, b)) != raw:
+            rows.append(None)
+            continue
+        ends = [np.cumsum([len(t) for t in ts]) for ts in ([of_a[i] for i in a], list(map(piece, b)))]
+        cuts = np.intersect1d(*ends)
+        place = [np.searchsorted(cuts, e) for e in ends]
+        spelled = ";".join("|".join(",".join(str(i) for i, p in zip(ids, at) if p == g) for ids, at in ((a, place[0]), (b, place[1]))) for g in range(len(cuts)))
+        pairs, starts = [], [np.concatenate([[0], e[:-1]]) for e in ends]
+        for i in range(len(a)):
+            for j in np.flatnonzero((starts[1] < ends[0][i]) & (ends[1] > starts[0][i])):
+                pairs.append((a[i], b[j]))
+        rows.append((len(a), len(b), len(cuts), pairs, hashlib.sha256(spelled.encode()).hexdigest()))
+    count = Counter(p for r in rows if r for p in r[3])
+    best = {}
+    for (_, b), n in count.items():
+        best[b] = max(best.get(b, 0), n)
+    return [(0,) * 6 + ("",) if r is None else (*r[:3], len(r[3]), sum(count[p] == best[p[1]] for p in r[3]), sum(count[p] for p in r[3]), r[4]) for r in rows]
+
+
+@pytest.mark.parametrize("hot", [0, 40, 1 << 17])
+def test_alignment_against_whole_texts(spark, texts, hot):
+    rng = random.Random(4)
+    odd = ["a", "b", " ", " ", "\n", "é", "日本", "x", "the", "ing", " ", "<|endoftext|>", "</s>", "1", "23", "'s", "\t", "ﬁ", "😀", "​", ".", "!!", "  "]
+    some = [None, "", "  ", " ", "a  b", "▁", "x ▁y", *texts.values()]
+    some += ["".join(rng.choice(odd) for _ in range(rng.randint(1, 25))) for _ in range(800)]
+    df = spark.createDataFrame(list(enumerate(some)), "doc_id long, text string").repartition(4)
+    got = {r["doc_id"]: tuple(r)[1:] for r in alignment.compare(df, BPE, PIECES, hot).collect()}
+    assert [got[i] for i in range(len(some))] == plain_alignment(some)
+
+
+def test_groups_are_cut_at_every_shared_end():
+    rng = random.Random(1)
+    for _ in range(500):
+        last = rng.randint(1, 60)
+        a, b = (sorted({*(rng.randint(1, last) for _ in range(rng.randint(0, 25))), last}) for _ in range(2))
+        found = alignment.groups(a, b)
+        assert [a[a1 - 1] for _, a1, _, _ in found] == [b[b1 - 1] for *_, b1 in found] == sorted(set(a) & set(b))
+        assert [x for g in found for x in range(g[0], g[1])] == list(range(len(a)))

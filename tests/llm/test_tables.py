@@ -5,9 +5,11 @@ import pytest
 from pyspark.sql import functions as F
 from public_tokenizers import path as tokenizer_path
 
-from railtap.llm import ann, chat_format, html_text, mixing, near_dedup, packing, quality, token_counts, url_filter, warc
+from railtap.llm import (
+    alignment, ann, chat_format, html_text, mixing, near_dedup, negatives, packing, quality, token_counts, toxicity, url_filter, warc)
 
 BPE = tokenizer_path("byte_bpe_50k.json")
+PIECES = tokenizer_path("piece_bpe_32k.model")
 LONG = " ".join(f"word{i % 997} of line{i % 13}" for i in range(30_000))
 PROSE = "the river rose in the night and by morning the lower meadow was under water so the farmers moved the herd"
 
@@ -73,6 +75,41 @@ def test_token_counts(docs):
     assert rows[5]["over_limit"] and not rows[0]["over_limit"]
 
 
+def test_toxicity(docs, labels):
+    rows = toxicity.judge(docs, labels).collect()
+    assert len(rows) == len(DOCS) and all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.5) for r in rows)
+    assert [r["held_out"] for r in rows if r["doc_id"] is None] == [True, True]
+    none = toxicity.judge(docs, labels.limit(0)).collect()
+    assert {(r["score"], r["predicted"]) for r in none} == {(0.0, 0)}
+
+
+def test_alignment(docs):
+    rows = alignment.compare(docs, BPE, PIECES).collect()
+    assert len(rows) == len(DOCS)
+    empty = [r for r in rows if r["doc_id"] in (2, 3)]
+    assert [tuple(r)[1:] for r in empty] == [(0, 0, 0, 0, 0, 0, "")] * 2
+    long = {r["doc_id"]: r for r in rows if r["doc_id"] in (5, 6)}
+    assert long[6]["n_a"] > long[5]["n_a"] > 60_000 and long[5]["n_links"] >= long[5]["n_groups"] > 30_000
+    assert len([r for r in rows if r["doc_id"] == 6]) == 2 and len({r["groups_sha256"] for r in rows if r["doc_id"] == 6}) == 1
+
+
+def test_negatives(spark):
+    nan, inf = float("nan"), float("inf")
+    rows = [(50, 1, [1.0, 0.0]), (1, 1, [1.0, 0.0]), (1, 1, [1.0, 0.0]), (2, 2, [0.9, 0.0]), (3, 2, [0.5, 0.0]), (None, 2, [0.7, 0.0]), (4, 2, [0.4, 0.0]),
+            (100, 3, [0.0, 1.0]), (5, 3, [0.0, 0.0]), (6, 1, [0.3, 0.0]), (7, None, [1.0, 0.0]), (8, 2, None), (9, 2, [nan, 0.0]), (10, 2, [inf, 0.0]),
+            (11, 2, [None, 0.0]), (12, 2, [0.6]), (13, 2, []), (150, 4, [1.0, 1.0]), (50, 1, [1.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, label int, embedding array<float>").withColumn("rid", F.lit("clash")).withColumn("key", F.lit("clash"))
+    got = negatives.mine(negatives.scaled(df), "vec_id % 50 = 0").collect()
+    mine = sorted((r["positive_id"], r["rank"], r["negative_id"] if r["negative_id"] is not None else -1, r["positive_score"], r["negative_score"])
+                  for r in got if r["anchor_id"] == 50)
+    # floor(256 * x): 1.0 -> 256, 0.9 -> 230, 0.7 -> 179, 0.5 -> 128; both rows 50 are anchors, each with the other one and both rows 1 as positives
+    one = [(r, n, 65536, s) for r, n, s in ((1, 2, 58880), (2, -1, 45824), (3, 3, 32768))]
+    assert mine == sorted([(1, *x) for x in one] * 4 + [(50, *x) for x in one] * 2)
+    # an anchor whose positive scores 0 takes scores of 0; one without positives gives none
+    zero = sorted((r["rank"], r["negative_id"]) for r in got if r["anchor_id"] == 100)
+    assert zero == [(1, 1), (2, 1), (3, 2)] and not [r for r in got if r["anchor_id"] == 150]
+
+
 def test_empty_tables(spark, docs, labels):
     none = docs.limit(0)
     assert mixing.taken(mixing.mix(mixing.sized(none))).count() == 0
@@ -84,6 +121,11 @@ def test_empty_tables(spark, docs, labels):
     assert html_text.extract(pages).count() == 0
     assert url_filter.judge(pages, [("block", "net/")]).count() == 0
     assert warc.read_back(spark, warc.write_pages(pages)).count() == 0
+    assert toxicity.judge(none, labels).count() == 0
+    assert toxicity.judge(none, labels.limit(0)).count() == 0
+    assert alignment.compare(none, BPE, PIECES).count() == 0
+    vectors = spark.createDataFrame([], "vec_id long, label int, embedding array<float>")
+    assert negatives.mine(negatives.scaled(vectors), "vec_id % 50 = 0").count() == 0
     chats = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
     assert chat_format.digests(chat_format.parse(chat_format.format_turns(chats))).count() == 0
     assert ann.search(spark.createDataFrame([], "vec_id long, embedding array<float>"), "true").count() == 0
