@@ -8,7 +8,8 @@ table of :func:`labelled_urls`.
 Everything is Column expressions and spark.ml.  Edge cases: a null URL and one
 without ``://`` have an empty host and path, which no rule fits, and pass as
 ``allow``: there is nothing to judge.  URLs of any length are used whole.  Rows
-are independent, so repeated rows and empty tables pass through.
+are independent, so repeated rows and empty tables pass through.  Columns called
+``host``, ``path``, ``rule`` or ``verdict`` are replaced, others kept as they are.
 """
 
 from __future__ import annotations
@@ -21,40 +22,65 @@ from pyspark.ml.feature import HashingTF
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-BUCKETS = 1 << 14
+BUCKETS = 1 << 18
+SPLICED = 1_600
+#: The probability from which a URL is unwanted: an ordinary page lost weighs more than an unwanted one kept.
+LEAST = 0.7
 SIZES = (3, 4, 5)
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
-# The labelled table: words of unwanted and of ordinary hosts, and the shapes that they come in.
-BLOCKED_WORDS = ("casino poker betting slots jackpot pills cheap-pills pharmacy viagra cialis meds porn xxx sex escort adult-cams "
-                 "dating-girls payday-loan fast-credit forex-profit double-crypto replica-watches cheap-bags free-money get-rich "
-                 "spam spam-farm link-farm buy-links seo-boost crack keygen warez free-download malware phishing clickbait "
-                 "miracle-diet weight-loss lottery winner-prize casino-win free-bets ads-track click-ads").split()
-ALLOWED_WORDS = ("news library university museum science garden recipes weather history docs wiki forum journal school sports "
-                 "music travel photo city support research archive community books gallery nature parents kitchen bakery "
-                 "observatory").split()
-# Ordinary made-up names: a beginning and a syllable.
-_NAMES = [a + b for a, b in product("thth ther tion enth anin rele".split(),
-                                    "a and at ble e ea ed en er es ha he in ing is it ly nd nt of on or ou re sh st th the ti tion to was wh".split())]
-_HOSTS = ("{}.example.com", "www.{}.example.com", "blog.{}.example.com", "{}-online.example.org", "m.{}.example.org", "best-{}.example.net")
-_PATHS = ("/en/825?page=2", "/de/25", "/fr/474.html", "/es/533/", "/", "")
+# The labelled table: plain words of unwanted and of ordinary sites in several languages, and the shapes that they come in.
+UNWANTED = (
+    "casino poker betting bet bets slots jackpot roulette blackjack gambling gamble bingo lotto lottery sweepstakes wetten wettanbieter "
+    "apuestas tragamonedas scommesse kasino pills pill viagra cialis levitra tramadol xanax steroids pharma tablets potency porn porno "
+    "pornos xxx sex sexo sexy escort escorts hentai nude nudes milf fetish erotic erotik hookup camgirl camgirls adult adults naked payday "
+    "loan loans forex crypto bitcoin profit profits cash earn riches millionaire replica replicas rolex counterfeit fake spam spammer "
+    "spambot backlinks linkfarm linkbuilding clicks clickbait popunder popups adserver adclick ads adtrack trackers tracking malware "
+    "phishing trojan spyware ransom hacked crack cracked cracks keygen warez nulled torrent torrents pirated miracle slimming "
+    "weightloss fatburner detox winner winners prize prizes giveaway freebies scam").split()
+ORDINARY = (
+    "news zeitung journal gazette herald times library bibliothek bibliotheque biblioteca university universitaet universite "
+    "universidad school schule ecole escuela museum musee museo science wissenschaft research forschung garden garten jardin recipes "
+    "rezepte recettes recetas kitchen kueche cuisine bakery weather wetter meteo history geschichte histoire historia travel reisen "
+    "voyage viajes railway airport city stadt ville ciudad council rathaus mairie government ministry parliament hospital klinik clinic "
+    "doctor health gesundheit sante salud music musik musique theatre theater opera cinema photo gallery kunst books buch livre libro "
+    "verlag publisher forum wiki docs manual support software developer linux math physics chemistry biology astronomy geology nature "
+    "forest wald mountain river lake ocean animals birds dogs football tennis cycling running chess church kirche eglise charity "
+    "community verein association family parents children kinder bank insurance energy water market shop store fashion furniture "
+    "auto bike engineering architecture design consulting lawyer notary blog diary poetry magazine radio podcast archive map atlas "
+    "dictionary translation jobs career accounts contact about help people person nation region station season reason mission session "
+    "the and hand land other mother whether thread reader under often entry inner interest street order center").split()
+# Words that stand beside either kind.
+BESIDE = "online best my top world club web site portal free real new first big house group team place daily central".split()
+_ENDS = "com net org de fr es it nl co.uk io info eu example.com example.org example.net pl".split()
+_HOSTS = ("{0}.{2}", "www.{0}.{2}", "{1}-{0}.{2}", "{0}{1}.{2}", "blog.{0}-{1}.{2}", "m.{1}{0}.{2}", "{0}.{1}.{2}")
+_PATHS = ("/", "", "/en/825?page=2", "/de/25", "/fr/474.html", "/es/533/", "/index.php?id=7", "/2021/04/a-day.html", "/p/{1}")
 
 
 def labelled_urls() -> list[tuple[str, float]]:
-    """(url, 1.0 for unwanted): every word in every host shape, the paths in turn."""
+    """(url, 1.0 for unwanted): every word in every host shape, the other parts in turn; ordinary hosts with an unwanted path."""
     table = []
-    for label, words in ((1.0, BLOCKED_WORDS), (0.0, ALLOWED_WORDS)):
+    for label, words in ((1.0, UNWANTED), (0.0, ORDINARY)):
         for k, (word, host) in enumerate(product(words, _HOSTS)):
-            table.append((f"https://{host.format(word)}{_PATHS[k % len(_PATHS)]}", label))
-    for k, name in enumerate(_NAMES):
-        table += [(f"https://{_HOSTS[(k + j) % 3].format(name)}{_PATHS[(k + j) % len(_PATHS)]}", 0.0) for j in range(2)]
-    for k, word in enumerate(BLOCKED_WORDS):  # ordinary hosts whose path gives them away
-        table.append((f"http://www.{ALLOWED_WORDS[k % len(ALLOWED_WORDS)]}.example.com/{word}/{k}", 1.0))
-        table.append((f"http://www.{ALLOWED_WORDS[k % len(ALLOWED_WORDS)]}.example.com/{ALLOWED_WORDS[(k + 7) % len(ALLOWED_WORDS)]}/{k}", 0.0))
+            parts = word, BESIDE[(5 * k + k // 11) % len(BESIDE)], _ENDS[(3 * k + k // 7) % len(_ENDS)]
+            table.append((f"http{'s' * (k % 3 > 0)}://{host.format(*parts)}{_PATHS[(k + k // 5) % len(_PATHS)].format(*parts)}", label))
+    for k in range(2 * len(UNWANTED)):
+        host = f"www.{ORDINARY[7 * k % len(ORDINARY)]}.{_ENDS[k % len(_ENDS)]}"
+        table.append((f"http://{host}/{UNWANTED[k % len(UNWANTED)]}/{k}", 1.0))
+        table.append((f"http://{host}/{ORDINARY[(11 * k + 5) % len(ORDINARY)]}/{k}", 0.0))
+    for k in range(SPLICED):  # names that no list holds are ordinary: a beginning and an end of ordinary words
+        parts = _splice(k), BESIDE[(5 * k + k // 11) % len(BESIDE)], _ENDS[(3 * k + k // 7) % len(_ENDS)]
+        host, path = _HOSTS[k % len(_HOSTS)].format(*parts), _PATHS[(k + k // 5) % len(_PATHS)].format("", _splice(k + 3))
+        table.append((f"https://{host}{path}", 0.0))
     return table
 
 
+def _splice(k: int) -> str:
+    a, b = ORDINARY[(13 * k + 1) % len(ORDINARY)], ORDINARY[(29 * k + k // len(ORDINARY) + 7) % len(ORDINARY)]
+    return a[:(len(a) + 1) // 2] + b[len(b) // 2:]
+
+
 def host_and_path(url: Column) -> tuple[Column, Column]:
     """Host (A-Z lower-cased) and path, both empty without ``://``."""
     url = F.coalesce(url, F.lit(""))
@@ -87,12 +113,12 @@ def with_grams(df: DataFrame) -> DataFrame:
 
 
 def train(spark: SparkSession, buckets: int = BUCKETS) -> PipelineModel:
-    """The model over ``grams``; its table has a few hundred rows and its weights one number per bucket."""
+    """The model over ``grams``; its table has some four thousand rows and its weights one number per bucket."""
     rows = F.array(*[F.struct(F.lit(u).alias("url"), F.lit(y).alias("label")) for u, y in labelled_urls()])
     table = with_grams(_split(spark.range(1).select(F.inline(rows)), "url"))
     return Pipeline(stages=[
         HashingTF(inputCol="grams", outputCol="_features", numFeatures=buckets, binary=True),
-        LogisticRegression(featuresCol="_features", labelCol="label", regParam=0.01, maxIter=50, predictionCol="_blocked",
+        LogisticRegression(featuresCol="_features", labelCol="label", regParam=0.002, maxIter=60, threshold=LEAST, predictionCol="_blocked",
                            probabilityCol="_probability", rawPredictionCol="_raw"),
     ]).fit(table.select("grams", "label"))
 
@@ -110,7 +136,10 @@ def judge(urls: DataFrame, rules: list[tuple[str, str]], url: str = "url") -> Da
     for said, text in reversed(longest):
         rule = F.when(fits(text), F.lit(text)).otherwise(rule)
         verdict = F.when(fits(text), F.lit(said)).otherwise(verdict)
-    scored = train(urls.sparkSession).transform(with_grams(df))
+    # the model works beside the columns, so that any of its own names may be among them
+    own = [F.col(f"`{c}`") for c in df.columns]
+    packed = with_grams(df.select(F.struct(*own).alias("_row"), "host", "path", rule.alias("_rule"), verdict.alias("_said")))
+    scored = train(urls.sparkSession).transform(packed)
     model = F.when((F.col("_blocked") > 0) & (F.col("host") != ""), "block").otherwise("allow")
-    return (scored.withColumn("rule", rule).withColumn("verdict", F.coalesce(verdict, model))
-            .drop("grams", "_features", "_raw", "_probability", "_blocked"))
+    kept = [F.col("_row")[c].alias(c) for c in df.columns if c not in ("rule", "verdict")]
+    return scored.select(*kept, F.col("_rule").alias("rule"), F.coalesce("_said", model).alias("verdict"))
