@@ -1,12 +1,14 @@
 """Main text of HTML pages by a decision tree over flat text blocks.
 
 A page is cut into text blocks at block-level tags.  A block has its number of
-words and its link density, those of its neighbours, and whether it stands in
-something named as boilerplate, or in an article.  A class or id says nothing on
-html, body and main, nor on a wrapper that holds the page.  A decision tree, trained on
-the small labelled table of :mod:`railtap.llm.html_labels`, keeps or drops each
-block.  The kept blocks, character references decoded and white space turned
-into single blanks, are joined by line breaks in page order.
+words and its link density, those of its neighbours, and what it stands in: an
+article, a heading, navigation, an element beside the article, something whose
+class or id has a word for such parts or for comments.  These words are features
+among others.  An element that holds the page itself says nothing by its name
+(:func:`_says_nothing`), nor does a class of html or body.  A decision tree,
+trained on the small labelled table of :mod:`railtap.llm.html_labels`, keeps or
+drops each block.  The kept blocks, character references decoded and white space
+turned into single blanks, are joined by line breaks in page order.
 
 Edge cases: a null or empty page, and one without kept blocks, gives an empty
 text.  Pages and blocks of any length are used whole.  Tags that are never
@@ -29,7 +31,7 @@ from pyspark.sql import DataFrame
 from railtap.llm.common import need
 
 _TAG = re.compile(
-    r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)"
+    r"<!\[CDATA\[(.*?)(?:\]\]>|\Z)|<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)"
     r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*|[^>]*)(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"([a-zA-Z-]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.S)
 _NAME = re.compile(r"[a-z]+")
@@ -43,14 +45,19 @@ _CLOSES = {"p": ("p",), "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "
            "th": ("td", "th"), "option": ("option",)}
 _LIMITS = frozenset("ul ol dl table section article main div nav aside header footer form body blockquote select".split())
 _UNSEEN = frozenset("head title noscript template svg iframe object canvas audio video textarea select option button datalist".split())
-_ASIDE = frozenset("nav header footer aside form menu dialog fieldset label".split())
+_NAV = frozenset("nav menu".split())
+_SIDE = frozenset("header footer aside form dialog fieldset label".split())
 _ASIDE_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog form menu menubar".split())
 _ASIDE_WORDS = frozenset(
     "nav navbar navigation menu header masthead banner footer sidebar aside ad ads adv advert adverts advertisement advertising "
     "sponsor sponsored promo promotion cookie cookies consent gdpr notice notices alert alerts popup modal overlay newsletter "
     "subscribe subscription signup login share sharing social breadcrumb breadcrumbs pagination pager related recommended "
-    "recommendations comment comments reply replies disqus respond widget toolbar copyright form search teaser".split())
+    "recommendations widget toolbar copyright form search teaser".split())
+_ASIDE_PARTS = re.compile(r"^(?:(?:left|right|side)(?:bar|col|column|rail)|ads?(?:box|slot|unit|sense|bar)|(?:top|sub|main|foot)(?:nav|menu))$").search
+_COMMENT_PARTS = re.compile(r"^(?:comment|discuss|repl(?:y|ies)$|disqus|respond$|guestbook)").search
+_COMMENTS = frozenset("comment comments reply replies".split())
 _MAIN_WORDS = frozenset("article entry post story main content".split())
+_LEGAL = re.compile(r"©|\(c\)|\ball rights reserved\b|\bcopyright\b", re.I).search
 
 
 @dataclass
@@ -58,67 +65,86 @@ class Block:
     text: str
     words: int
     linked: int
-    aside: bool
+    unseen: bool
     main: bool
     heading: bool
+    inside: tuple[tuple[int, str], ...]
+    kinds: frozenset[str] = frozenset()
 
 
-def _mark(tag: str, attributes: str) -> tuple[bool, bool, bool]:
-    """Whether the element is boilerplate, an article, and named as boilerplate by its class or id alone."""
-    aside, main = tag in _ASIDE or tag in _UNSEEN, tag in ("article", "main")
-    named = False
+def _kinds(tag: str, attributes: str, in_article: bool) -> tuple[bool, bool, set[str]]:
+    """Whether the element is unseen, whether an article, and what else it says of its text: nav, side, named, comment."""
+    unseen, main, kinds = tag in _UNSEEN, tag in ("article", "main"), set()
+    if tag in _NAV:
+        kinds.add("nav")
+    elif tag in _SIDE and not (tag == "header" and in_article):  # an article's own header has its title
+        kinds.add("side")
     if attributes and not attributes.isspace():
         for name, a, b, c in _ATTRIBUTE.findall(attributes):
             name, value = name.lower(), (a or b or c).lower()
-            if name in ("class", "id"):
-                words = set(_NAME.findall(value))
+            if name in ("class", "id") and tag not in ("html", "body", "main"):
                 # of an article only whole names count: "comment", but not "comment-open"
-                named = named or not (set(value.split()) if tag == "article" else words).isdisjoint(_ASIDE_WORDS)
-                main = main or not words.isdisjoint(_MAIN_WORDS)
+                words = set(value.split()) if tag == "article" else set(_NAME.findall(value))
+                if not words.isdisjoint(_COMMENTS) if tag == "article" else any(map(_COMMENT_PARTS, words)):
+                    kinds.add("comment")
+                if not words.isdisjoint(_ASIDE_WORDS) or any(map(_ASIDE_PARTS, words)):
+                    kinds.add("named")
+                main = main or not set(_NAME.findall(value)).isdisjoint(_MAIN_WORDS)
             elif name == "role":
-                aside, main = aside or value in _ASIDE_ROLES, main or value in ("main", "article")
+                main = main or value in ("main", "article")
+                if value in _ASIDE_ROLES:
+                    kinds.add("nav" if value in ("navigation", "menu", "menubar") else "side")
             elif name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none", value):
-                aside = True
-    return aside, main, named and tag not in ("html", "body", "main")
+                unseen = True
+    return unseen, main, kinds
 
 
-def _wrappers(out: list[Block], within: list[tuple[int, ...]], holds: set[int]) -> set[int]:
-    """The elements named as boilerplate that hold the page: its main element (``holds``) or two thirds of its words.
+@dataclass
+class _Element:
+    tag: str
+    kind: str
+    article: bool = False
+    title: bool = False
+    words: int = 0
+
+
+def _says_nothing(e: _Element, total: int, outside: bool) -> bool:
+    """Whether an element holds the page itself, as its article, its title or most of its words show.
 
-    Words that are boilerplate anyway do not count, and what an article elsewhere leaves over is no page.
+    ``outside`` tells that an article stands elsewhere.  Comments may hold articles and most of the words, so only the
+    page's title tells that they are the page.
     """
-    inside: dict[int, int] = {}
-    total = elsewhere = 0
-    for b, names in zip(out, within):
-        if not b.aside:
-            total += b.words
-            elsewhere += b.main and not names
-            for k in names:
-                inside[k] = inside.get(k, 0) + b.words
-    return set() if elsewhere else {k for k, n in inside.items() if k in holds or 3 * n >= 2 * total}
+    share = e.words / total if total else 0.0
+    if e.kind == "comment":
+        return e.title and share >= 0.5
+    if e.tag in ("footer", "aside"):
+        return share >= 0.9
+    if e.article:
+        return True
+    if e.kind == "nav" or e.tag == "form":
+        return not outside and share >= 0.6
+    return not outside and (share >= 0.9 or e.title and share >= 0.6)
 
 
 def blocks(page: str) -> list[Block]:
     """The text blocks of a page, in page order."""
     out: list[Block] = []
-    within: list[tuple[int, ...]] = []
-    stack: list[tuple[str, bool, bool, tuple[int, ...]]] = []
-    named: tuple[int, ...] = ()
-    holds: set[int] = set()
-    number = 0
+    stack: list[tuple] = []   # tag, unseen, main, telling elements around and itself
+    told: list[_Element] = []
+    outside = False           # an article that no telling element holds
     text: list[str] = []
     linked: list[str] = []
-    aside = main = False
+    unseen = main = False
+    inside: tuple[tuple[int, str], ...] = ()
     links = 0
 
     def close() -> None:
         if text:
             words = html.unescape("".join(text)).split()
             if words:
-                inside = len(html.unescape(" ".join(linked)).split()) if linked else 0
+                n = len(html.unescape(" ".join(linked)).split()) if linked else 0
                 head = any(t[0] in ("h1", "h2", "h3", "h4", "h5", "h6") for t in stack)
-                out.append(Block(" ".join(words), len(words), min(inside, len(words)), aside, main, head))
-                within.append(named)
+                out.append(Block(" ".join(words), len(words), min(n, len(words)), unseen, main, head, inside))
             text.clear()
             linked.clear()
 
@@ -136,7 +162,10 @@ def blocks(page: str) -> list[Block]:
             break
         say(page[at:found.start()])
         at = found.end()
-        ending, tag, attributes = found.groups()
+        plain, ending, tag, attributes = found.groups()
+        if plain is not None:
+            say(html.escape(plain))
+            continue
         if tag is None:
             continue
         tag = tag.lower()
@@ -152,7 +181,7 @@ def blocks(page: str) -> list[Block]:
                     break
                 if tag in _INLINE and stack[k][0] in _LIMITS:  # a stray end tag
                     break
-            aside, main, named = stack[-1][1:] if stack else (False, False, ())
+            unseen, main, inside = stack[-1][1:] if stack else (False, False, ())
             continue
         if tag in _RAW:
             end = re.compile(rf"</{tag}\b[^>]*(?:>|\Z)", re.I).search(page, at)
@@ -174,25 +203,38 @@ def blocks(page: str) -> list[Block]:
             if stack[k][0] in _LIMITS:
                 break
         over = stack[-1] if stack else ("", False, False, ())
-        own = _mark(tag, attributes)
-        number += 1
-        if tag == "main":
-            holds.update(over[3])
-        stack.append((tag, over[1] or own[0], over[2] or own[1], (*over[3], number) if own[2] else over[3]))
-        aside, main, named = stack[-1][1:]
+        hidden, article, kinds = _kinds(tag, attributes, over[2])
+        around = over[3]
+        for k, _ in around:
+            told[k].title = told[k].title or tag == "h1"
+            told[k].article = told[k].article or tag in ("main", "article")
+        outside = outside or tag in ("main", "article") and not around
+        for kind in sorted(kinds):
+            around = (*around, (len(told), kind))
+            told.append(_Element(tag, kind))
+        stack.append((tag, over[1] or hidden, over[2] or article, around))
+        unseen, main, inside = stack[-1][1:]
         links += tag == "a"
     close()
-    wrappers = _wrappers(out, within, holds)
-    for b, names in zip(out, within):
-        b.aside = b.aside or not wrappers.issuperset(names)
-    return out
+    total = 0
+    for b in out:
+        if not b.unseen:
+            total += b.words
+            for k, _ in b.inside:
+                told[k].words += b.words
+    nothing = {k for k, e in enumerate(told) if _says_nothing(e, total, outside)}
+    for b in out:
+        b.kinds = frozenset(kind for k, kind in b.inside if k not in nothing)
+    return [b for b in out if not b.unseen]
 
 
 def features(found: list[Block]) -> list[tuple[float, ...]]:
-    """Aside, main, heading, then words and link density of the block, the one before and the one after."""
+    """What a block stands in, whether an article is elsewhere, a legal line outside one, then words and link density of it and its neighbours."""
     size = [(float(b.words), b.linked / b.words) for b in found]
     edge = (0.0, 0.0)
-    return [(float(b.aside), float(b.main), float(b.heading), *size[i], *(size[i - 1] if i else edge),
+    somewhere = any(b.main and "comment" not in b.kinds for b in found)
+    return [(*[float(k in b.kinds) for k in ("nav", "side", "named", "comment")], float(b.main), float(somewhere and not b.main),
+             float(b.heading), float(not b.main and b.words < 30 and bool(_LEGAL(b.text))), *size[i], *(size[i - 1] if i else edge),
              *(size[i + 1] if i + 1 < len(size) else edge)) for i, b in enumerate(found)]
 
 
