@@ -306,6 +306,54 @@ def test_components_of_a_long_path(spark):
     assert got == {i: 0 for i in range(1, 200)} | {i: 300 for i in range(301, 320)}
 
 
+# Pages whose parts are not named as the labelled table names them, or that are wrapped or broken.
+_P = "The river rose in the night and by morning the lower meadow was under water, so the farmers moved the herd to the hill."
+_Q = "We walked along the coast for two days and saw nobody but a man with a dog who asked us for the time of the ferry."
+ODD_PAGES = {
+    "comments larger than the article": (f'<body><div><p>{_P}</p><p>{_P}</p></div><div class="comments">{f"<p>{_Q}</p>" * 5}</div>', f"{_P}\n{_P}"),
+    "comment list": (f'<h1>T</h1><p>{_P}</p><ol class="commentlist"><li>{_Q}</li><li>{_Q}</li></ol>', f"T\n{_P}"),
+    "discussion": (f'<p>{_P}</p><div id="discussion"><p>{_Q}</p></div>', _P),
+    "comments in the article": (f'<article><h1>T</h1><p>{_P}</p><div class="comments"><p>{_Q}</p><p>{_Q}</p></div></article>', f"T\n{_P}"),
+    "form around the page": (f'<body><form id="aspnet"><div><h1>Tall water</h1><p>{_P}</p><p>{_P}</p></div></form></body>', f"Tall water\n{_P}\n{_P}"),
+    "nav never closed": (f'<body><nav><ul><li><a href=1>Home</a></li><li><a href=2>News</a></li></ul><h1>Tall water</h1><p>{_P}</p><p>{_P}</p>', f"Tall water\n{_P}\n{_P}"),
+    "nav never closed before an article": (f"<nav><ul><li><a href=1>Home</a></li></ul><article><h1>Tall water</h1><p>{_P}</p></article>", f"Tall water\n{_P}"),
+    "short paragraphs": (f"<h1>T one</h1><p>{_P}</p><p>Nobody answered.</p><p>{_P}</p>", f"T one\n{_P}\nNobody answered.\n{_P}"),
+    "title in the article's header": (f"<article><header><h1>Tall water</h1></header><p>{_P}</p></article>", f"Tall water\n{_P}"),
+    "links inside an article": ("<article><h1>Tall water</h1><p>" + _P + "</p><ul>" + "".join(f'<li><a href="/{i}">Item {i}</a></li>' for i in range(30))
+                                + f'</ul><p>{_P}</p><p><a href="/">Home</a> / <a href="/n">News</a></p></article>', f"Tall water\n{_P}\n{_P}"),
+    "other names of adverts and sidebars": (f'<article><p>{_P}</p><div class="adbox">Buy boots now.</div></article><div class="rightcol"><p>{_Q}</p></div>', _P),
+    "character data": (f"<article><p><![CDATA[x < y & {_P}]]></p></article>", f"x < y & {_P}"),
+    "classes of wrappers": (f'<body class="single has-sidebar comments-open"><div class="content no-sidebar"><p>{_P}</p><p>{_P}</p></div></body>', f"{_P}\n{_P}"),
+    "a site's header": (f'<div class="header"><h1>The Post</h1><p>All the news</p></div><div><p>{_P}</p><p>{_P}</p></div><div class="footer">About us</div>', f"{_P}\n{_P}"),
+    "copyright line in an article": (f"<article><p>{_P}</p><p>Copyright 2019 by the author</p></article>", f"{_P}\nCopyright 2019 by the author"),
+    "very long": (f"<article>{f'<p>{_P}</p>' * 5_000}</article>", "\n".join([_P] * 5_000)),
+}
+
+
+@pytest.mark.parametrize("name", ODD_PAGES)
+def test_odd_pages(name):
+    page, want = ODD_PAGES[name]
+    assert html_text.main_text(page, html_text.trained()) == want
+
+
+def test_link_density_decides_in_the_tree():
+    used, todo = set(), [html_text.trained()]
+    while todo:
+        node = todo.pop()
+        if node.left is not None:
+            used.add(node.feature)
+            todo += [node.left, node.right]
+    assert 9 in used   # the block's own link density
+    linked = '<article><p>{}</p><p>{}</p></article>'.format(_P, "".join(f'<a href="/{w}">{w}</a> ' for w in _Q.split()))
+    assert html_text.main_text(linked, html_text.trained()) == _P
+
+
+def test_page_columns_of_any_name(spark):
+    rows = [(1, "u", f"<article><p>{_P}</p></article>", "c"), (1, "u", f"<article><p>{_P}</p></article>", "c"), (None, None, None, None), (2, "", "", "")]
+    got = html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string, text string")).collect()
+    assert sorted((r["page_id"] or 0, r["text"], r["n_chars"]) for r in got) == [(0, "", 0), (1, _P, len(_P)), (1, _P, len(_P)), (2, "", 0)]
+
+
 # URLs
 
 URLS = ["HTTP://A.Example.NET/en/x?q#f", "https://example.com/de/1", "https://www.cheap-pills.example.com/fr/1", "http://x.org/fr/", "x.org/fr/",
@@ -330,12 +378,56 @@ def test_rules_and_parts(spark):
     assert got[URLS[2]] == got[URLS[12]] == "block" and got[URLS[11]] == got[None] == got["x.org/fr/"] == "allow"
 
 
+# Sites of words that the labelled table does not hold.
+ORDINARY_URLS = """https://www.lemonde.fr/politique/ https://www.gov.uk/browse/benefits https://stackoverflow.com/questions/1
+https://www.zeit.de/kultur/index https://en.wikipedia.org/wiki/Otter https://www.elpais.com/ http://www.corriere.it/cronache
+https://www.bbc.co.uk/sport https://www.mit.edu/ https://arxiv.org/abs/1706.03762 https://www.spiegel.de/ausland https://github.com/apache/spark
+https://www.nasa.gov/missions https://www.deutschlandfunk.de/ https://www.louvre.fr/en https://www.debian.org/distrib/ https://www.who.int/teams
+https://www.vogelschutz-sachsen.de/termine https://www.fahrradwerkstatt-nord.de/ https://www.violinmaker-hansen.dk/ http://www.pottery-lessons.ie/
+https://www.tierheim-ulm.de/katzen https://www.boulangerie-martin.fr/horaires https://www.ferreteria-lopez.es/ https://www.quaker.org/meeting
+https://pediatrics-riverside.com/appointments https://www.knitting-patterns.net/scarf https://www.sternwarte-bonn.de/ https://www.allotment.org.uk/soil
+https://www.beekeepers.ca/honey https://www.lighthouse-trust.org/visit https://www.bookbinding.com/tools https://www.hiking-alps.at/huts
+https://www.plumber-leeds.co.uk/ https://www.orchestra-lyon.fr/concerts https://www.vineyard-rioja.es/bodega""".split()
+UNWANTED_URLS = """http://onlinecasinos24.com/ http://www.pokerstarz.net/play http://sportbetting-king.com/ http://megaslotmachine.xyz/spin
+http://jackpotcity-bonus.top/ http://www.gamblers-den.biz/ http://bingohall.club/ http://lottoland-win.info/ http://sportwetten-bonus.de/
+http://casinogratis.es/ http://roulettewheel.ru/ http://pokies-gamblingsite.com/ http://www.buyviagraonline.com/ http://pillstore-rx.net/
+http://genericcialis.info/ http://xanaxbars.pw/ http://steroidshop.biz/ http://www.freepornvideos.tv/ http://xxxmovies.to/ http://sexchatroom.com/
+http://escortgirls-berlin.de/ http://hentaiworld.net/ http://nudecams.live/ http://hotmilfs.com/ http://fetishclips.net/ http://hookupsite.dating/
+http://quickpaydayloans.com/ http://forextradersignals.biz/ http://cryptoprofiteer.io/ http://bitcoindoubler.top/ http://replicawatches.cn/
+http://fakerolexes.ru/ http://spammers-list.com/ http://warezcentral.to/ http://keygenerator-crackz.net/ http://torrentz.cc/""".split()
+
+
 def test_model_holds_out(spark):
-    bad = ["http://www.online-casino-games.example.com/en/1", "https://free-pills.example.org/", "http://spam-links.example.com/de/9"]
-    good = ["http://blog.thener.example.com/en/1", "https://www.thernt.example.com/fr/3", "http://city-library.example.com/en/4"]
-    table = spark.createDataFrame([(u,) for u in bad + good], "url string")
-    got = {r["url"]: r["verdict"] for r in url_filter.judge(table, []).collect()}
-    assert [got[u] for u in bad + good] == ["block"] * 3 + ["allow"] * 3
+    """Held-out accuracy of 0.85 or more on sites that share no word with the labelled table."""
+    import re
+    words = lambda urls: {w for u in urls for w in re.findall("[a-z]{4,}", u.lower())} - {"https", "http", "info", "site", "world"}
+    table = [u for u, _ in url_filter.labelled_urls()]
+    named = words([u.split("://")[1].split("/")[0] for u in ORDINARY_URLS + UNWANTED_URLS])
+    known = set(url_filter.UNWANTED + url_filter.ORDINARY)
+    shared = named & known
+    assert not shared, shared
+    rows = spark.createDataFrame([(u,) for u in ORDINARY_URLS + UNWANTED_URLS], "url string")
+    got = {r["url"]: r["verdict"] for r in url_filter.judge(rows, []).collect()}
+    right = sum(got[u] == "allow" for u in ORDINARY_URLS) + sum(got[u] == "block" for u in UNWANTED_URLS)
+    assert right >= 0.85 * (len(ORDINARY_URLS) + len(UNWANTED_URLS)), (
+        [u for u in ORDINARY_URLS if got[u] != "allow"], [u for u in UNWANTED_URLS if got[u] != "block"])
+
+
+def test_label_table_does_not_hold_the_sites_of_the_pages(spark):
+    urls = spark.read.parquet(f"{SF}/pages.parquet").select(*url_filter.host_and_path(F.col("url"))).toDF("host", "path")
+    sites = {x for r in urls.distinct().collect() for x in r["host"].split(".") if len(x) > 4 and x not in ("example", "online")}
+    labelled = {x for u, _ in url_filter.labelled_urls() for x in u.split("://")[1].split("/")[0].split(".")}
+    assert sites and not sites & labelled
+
+
+def test_url_columns_of_any_name(spark):
+    rows = [(1, "http://a.net/x", "c"), (1, "http://a.net/x", "c"), (2, "http://" + "long" * 20_000 + ".org/" + "p" * 50_000, "c"), (3, None, "c"), (4, "", "c")]
+    df = spark.createDataFrame(rows, "page_id long, url string, _features string")
+    for c in ("_raw", "_probability", "_blocked", "grams", "rule", "host", "_row"):
+        df = df.withColumn(c, F.lit("clash"))
+    got = url_filter.judge(df, [("block", "net/")])
+    assert got.count() == 5 and {"_features", "grams", "_row", "_blocked"} <= set(got.columns)
+    assert {(r["page_id"], r["rule"], r["verdict"]) for r in got.collect()} >= {(1, "net/", "block"), (3, None, "allow"), (4, None, "allow")}
 
 
 # archives
