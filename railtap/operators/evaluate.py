@@ -125,13 +125,17 @@ def score_distribution(df: DataFrame, by, score: str, levels=PERCENT_LEVELS) ->
 
 # --- curves ----------------------------------------------------------------
 
-def score_steps(df: DataFrame, by, y_true: str, score: str) -> tuple[DataFrame, Track]:
-    """Distinct scores, highest first, with positives and negatives at and down to each of them."""
-    by = _by(by)
-    at = df.groupBy(*by, F.col(score).cast("double").alias("score")).agg(
+def step_counts(df: DataFrame, by, y_true: str, score: str) -> DataFrame:
+    """Positives and negatives at each distinct score; written, as all that follows reads it several times."""
+    at = df.groupBy(*_by(by), F.col(score).cast("double").alias("score")).agg(
         F.count_if(F.col(y_true) == 1).alias("pos_at"), F.count_if(F.col(y_true) != 1).alias("neg_at"))
+    return checkpoint(df.sparkSession, at, "scores")
+
+
+def score_steps(at: DataFrame, by) -> tuple[DataFrame, Track]:
+    """The steps of :func:`step_counts`, highest first, with positives and negatives down to each of them."""
+    by = _by(by)
     at = at.withColumn("_g", F.lit(0)).withColumn("_down", -F.col("score"))
-    at = checkpoint(df.sparkSession, at, "scores")   # read three times below
     t = Track(("_g", *by), ("_down",), F.col("_b"))
     cum = with_running_sum(numeric_blocks(at, "_down", "_b"), t,
                            {"pos": F.col("pos_at"), "neg": F.col("neg_at")})
@@ -145,7 +149,7 @@ def roc_points(df: DataFrame, by, y_true: str, score: str, drop_intermediate: bo
     one class only have no curve.
     """
     by = _by(by)
-    cum, t = score_steps(df, by, y_true, score)
+    cum, t = score_steps(step_counts(df, by, y_true, score), by)
     cum = cum.where((F.col("pos_total") > 0) & (F.col("neg_total") > 0))
     if drop_intermediate:
         nxt = with_neighbour(cum, t, F.struct("pos_at", "neg_at"), "_next", ahead=True)
@@ -163,8 +167,11 @@ def roc_points(df: DataFrame, by, y_true: str, score: str, drop_intermediate: bo
 
 def curve_areas(df: DataFrame, by, y_true: str, score: str) -> DataFrame:
     """ROC AUC (ties share a step) and step-wise average precision per group; null with one class only."""
-    by = _by(by)
-    cum, _ = score_steps(df, by, y_true, score)
+    return _areas(step_counts(df, by, y_true, score), _by(by))
+
+
+def _areas(steps: DataFrame, by) -> DataFrame:
+    cum, _ = score_steps(steps, by)
     p, n = F.col("pos_total"), F.col("neg_total")
     both = (p > 0) & (n > 0)
     area = F.col("neg_at") / n * (F.col("pos") - F.col("pos_at") / 2.0) / p
@@ -182,9 +189,12 @@ def one_vs_rest(df: DataFrame, label: str, probs: str, ident: str) -> DataFrame:
 
 def multiclass_auc(df: DataFrame, label: str, probs: str, ident: str, top_n: int) -> DataFrame:
     """AUC rows: ``micro`` (all classes pooled), ``macro`` and the ``top_n`` classes by support."""
-    rows = one_vs_rest(df, label, probs, ident)
-    both = rows.withColumn("cls", F.explode(F.array(F.col("cls"), F.lit(-1))))   # -1: all classes pooled
-    areas = curve_areas(both, "cls", "hit", "prob")
+    # scored once and written: exploding an expression would evaluate it per class, and again in a filter Spark adds
+    df = checkpoint(df.sparkSession, df.select(ident, label, probs), "probabilities")
+    steps = step_counts(one_vs_rest(df, label, probs, ident), "cls", "hit", "prob")
+    # -1: all classes pooled, whose steps are the classes' steps merged
+    pooled = steps.groupBy("score").agg(F.lit(-1).alias("cls"), F.sum("pos_at").alias("pos_at"), F.sum("neg_at").alias("neg_at"))
+    areas = _areas(steps.unionByName(pooled), ("cls",))
     # one entry per class from here on; a single pass over it gives all three kinds of rows
     entry = F.struct((-F.col("positives")).alias("order"), "cls", "roc_auc", F.col("positives").alias("support"))
     g = areas.agg(F.array_sort(F.collect_list(entry)).alias("a"))

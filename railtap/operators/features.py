@@ -2,8 +2,8 @@
 
 Every feature is a Column expression that applies to its own protocol and is -1
 for the others, so featurising is one projection.  Only host and variable ids
-need joins; the fitted ranges are a fixed, small set of numbers and enter the
-plan as literals.
+need a join, and all of them the same one; the fitted ranges are a fixed, small
+set of numbers and enter the plan as literals.
 """
 
 from __future__ import annotations
@@ -13,10 +13,12 @@ from pyspark.sql import functions as F
 
 from railtap.functions import coerce as C
 from railtap.functions import scalars as S
-from railtap.operators.fit import (Fitted, entry, host_token, number_by_first_use, number_by_text, number_slots, ranges,
+from railtap.operators.fit import (Fitted, entry, host_token, number_by_first_use, number_by_kind, number_slots, ranges,
                                    slot_entries, token_table)
+from railtap.operators.order import hot_keys
 from railtap.schema import (ARP_FEATURES, BASE_FEATURES, COMMON_FEATURES, DNS_FEATURES, MISSING, MODBUS_FEATURES,
-                            OUT_OF_RANGE, S7COMM_FEATURES, XGT_FEATURES)
+                            S7COMM_FEATURES, XGT_FEATURES)
+from railtap.session import block_count, checkpoint
 
 SLOT_PREFIX = {"modbus": "modbus", "xgt_fen": "xgt"}
 SLOT_FIT_COLUMNS = {"modbus": ("modbus_translated_addr", "modbus_regs_val"),
@@ -40,6 +42,15 @@ def with_parsed(df: DataFrame) -> DataFrame:
             .withColumn("_bytes", _of("xgt_fen", S.payload_bytes(c("xgt_fen_data")))))
 
 
+def _sketched(df: DataFrame, part: str, stats: dict[str, Column]) -> dict[str, Column]:
+    """The same figures from the group sketch of a merged packet, where it has one (see ``merge.group_sketch``)."""
+    if "sketch" not in df.columns:
+        return stats
+    known = df.schema["sketch"].dataType[part].dataType.names
+    s = F.col("sketch")[part]
+    return {k: F.when(s.isNotNull(), s[k]).otherwise(e) if k in known else e for k, e in stats.items()}
+
+
 def raw_values(df: DataFrame) -> dict[str, Column]:
     """Unscaled value of every range-scaled serving feature, null outside its protocol."""
     c = lambda n: _col(df, n)
@@ -49,14 +60,15 @@ def raw_values(df: DataFrame) -> dict[str, Column]:
         out[f] = _of("s7comm", i(n))
     for f in ("addr", "fc", "qty", "bc"):
         out[f"modbus_{f}_norm"] = _of("modbus", i(f"modbus_{f}"))
-    a, v = S.range_stats(F.col("_addrs")), S.moment_stats(F.col("_vals"))
+    a = _sketched(df, "addrs", S.range_stats(F.col("_addrs")))
+    v = _sketched(df, "vals", S.moment_stats(F.col("_vals")))
     out["modbus_regs_count"] = _of("modbus", a["count"])
     for k in ("min", "max", "range"):
         out[f"modbus_regs_addr_{k}"] = _of("modbus", a[k])
     for k in ("min", "max", "mean", "std"):
         out[f"modbus_regs_val_{k}"] = _of("modbus", v[k])
     pos = C.safe_int(c("xgt_fen_fenetpos"))
-    data = S.payload_stats(c("xgt_fen_data"), F.col("_bytes"))
+    data = _sketched(df, "data", S.payload_stats(c("xgt_fen_data"), F.col("_bytes")))
     xgt = {"var_cnt": F.when(F.coalesce(c("xgt_fen_vars"), F.lit("")) != "", 1.0).otherwise(0.0),
            "source": i("xgt_fen_source"), "fenet_base": S.high_nibble(pos).cast("double"),
            "fenet_slot": S.low_nibble(pos).cast("double"), "cmd": i("xgt_fen_cmd"), "dtype": i("xgt_fen_dtype"),
@@ -107,8 +119,9 @@ def fit(df: DataFrame, order: str = "seq", missing_as_zero: bool = True,
     of = lambda kind, name: t.where(F.col("kind") == kind).select(F.col("token").alias(name), "at")
     slot_rows = t.where(F.col("kind").startswith("slot:")).select(
         F.substring("kind", 6, 64).alias("proto"), F.col("token").alias("addr"), "vmin", "vmax")
-    return Fitted(host_vocab=number_by_text(of("host", "token"), "token"),
-                  arp_vocab=number_by_text(of("arp", "token"), "token"),
+    by_text = number_by_kind(t.where(F.col("kind").isin("host", "arp")), "kind", "token")
+    numbered = lambda kind: by_text.where(F.col("kind") == kind).select("token", "id")
+    return Fitted(host_vocab=numbered("host"), arp_vocab=numbered("arp"),
                   var_vocab=number_by_first_use(of("var", "name"), "name"),
                   norm_params=ranges(p, values, missing_as_zero), slot_params=number_slots(slot_rows))
 
@@ -129,30 +142,59 @@ class _Default(dict):
         return self._default
 
 
-def slot_list(slot_params: DataFrame, proto: str) -> list:
-    """Slots of a protocol in slot order; each becomes a column, so for wide address spaces ``slot_values`` is the better form."""
-    return slot_params.where(F.col("proto") == proto).orderBy("slot").collect()
+def id_table(fitted: Fitted) -> DataFrame:
+    """Every fitted token in one table: ``kind, token, id`` and, for address slots, feature name and range."""
+    def part(df: DataFrame, kind: Column, token: str, ident: str, *more: Column) -> DataFrame:
+        none = [F.lit(None).cast("string").alias("feature"), *[F.lit(None).cast("double").alias(c) for c in ("vmin", "vmax")]]
+        return df.select(kind.alias("kind"), F.col(token).alias("token"), F.col(ident).cast("double").alias("id"), *(more or none))
 
+    prefix = F.create_map(*[F.lit(x) for kv in SLOT_PREFIX.items() for x in kv])
+    table = part(fitted.host_vocab, F.lit("host"), "token", "id")
+    table = table.unionByName(part(fitted.arp_vocab, F.lit("arp"), "token", "id"))
+    table = table.unionByName(part(fitted.var_vocab, F.lit("var"), "name", "id"))
+    if fitted.slot_params is not None:
+        name = F.concat(F.try_element_at(prefix, F.col("proto")), S.slot_column_expr(F.col("addr"), ""))
+        table = table.unionByName(part(fitted.slot_params, F.concat(F.lit("slot:"), F.col("proto")), "addr", "slot",
+                                       name.alias("feature"), F.col("vmin"), F.col("vmax")))
+    return table
 
-def lookup_ids(df: DataFrame, vocab: DataFrame, tokens: dict[str, Column], key: str = "token",
-               unknown: int = 0) -> DataFrame:
-    """Add vocabulary ids for several token columns.
-
-    Left joins without a hint: Spark broadcasts a vocabulary its statistics
-    prove small and shuffles a large one.  Rows without a token get distinct
-    keys that match nothing, so they do not pile up in one partition.
-    """
-    spread = F.concat(F.lit("\0"), F.pmod(F.xxhash64(*df.columns[:8]), F.lit(1 << 16)).cast("string"))
-    out = df
-    for name, token in tokens.items():
-        v = vocab.select(F.col(key).alias(f"_t_{name}"), F.col("id").cast("double").alias(f"_id_{name}"))
-        out = out.withColumn(f"_t_{name}", F.coalesce(token, spread)).join(v, f"_t_{name}", "left")
-        out = out.withColumn(name, F.coalesce(F.col(f"_id_{name}"), F.lit(float(unknown)))) \
-                 .drop(f"_t_{name}", f"_id_{name}")
-    return out
 
+def encode(rows: DataFrame, fitted: Fitted, ids: dict[str, tuple[str, Column, float]], slots: Column | None = None) -> DataFrame:
+    """Add the ids of several token columns and, sparsely, the scaled slot values of every row.
 
-def _slot_map(df: DataFrame, proto: str) -> Column:
+    ``ids`` maps a name to (vocabulary, token, id of an unknown token); ``slots``
+    is an array of ``struct<kind,token,v>``.  All tokens of a row travel as a long
+    narrow table, meet one vocabulary table in one join and are folded back by
+    row, so the wide rows move once.  Tokens that hold a large share of the rows
+    are salted; any choice of them gives the same result.
+    """
+    spark = rows.sparkSession
+    none = F.lit(None).cast("double")
+    entries = F.array(*[F.struct(F.lit(kind).alias("kind"), F.lit(name).alias("name"), token.alias("token"), none.alias("v"))
+                        for name, (kind, token, _) in ids.items()])
+    if slots is not None:
+        entries = F.concat(entries, F.transform(F.coalesce(slots, F.array().cast("array<struct<kind:string,token:string,v:double>>")), lambda x: F.struct(
+            x["kind"].alias("kind"), F.lit("").alias("name"), x["token"].alias("token"), x["v"].alias("v"))))
+    wide = rows.withColumns({"_rid": F.monotonically_increasing_id(), "_tokens": F.filter(entries, lambda e: e["token"].isNotNull())})
+    wide = checkpoint(spark, wide, "features")   # row ids stay as they are, and what follows reads tokens alone
+    long = wide.select("_rid", F.inline("_tokens"))
+    hot, salts = hot_keys(long, ["kind", "token"]), 4 * block_count(spark)
+    is_hot = F.xxhash64("kind", "token").isin(hot) if hot else F.lit(False)
+    salted = id_table(fitted).withColumn("_salt", F.explode(F.when(is_hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))))
+    found = long.withColumn("_salt", F.when(is_hot, F.pmod(F.xxhash64("_rid"), F.lit(salts)).cast("int")).otherwise(F.lit(0))) \
+        .join(salted, ["kind", "token", "_salt"])
+    aggs = [F.max(F.when(F.col("name") == n, F.col("id"))).alias(n) for n in ids]
+    if slots is not None:
+        value = F.struct(F.col("feature").alias("name"), S.minmax_sentinel(F.col("v"), F.col("vmin"), F.col("vmax")).alias("value"))
+        aggs.append(F.array_sort(F.collect_list(F.when(F.col("feature").isNotNull() & F.col("v").isNotNull(), value))).alias("slots"))
+    out = wide.drop("_tokens").join(found.groupBy("_rid").agg(*aggs), "_rid", "left").drop("_rid")
+    filled = {n: F.coalesce(F.col(n), F.lit(float(unknown))) for n, (_, _, unknown) in ids.items()}
+    if slots is not None:
+        filled["slots"] = F.coalesce("slots", F.array().cast("array<struct<name:string,value:double>>"))
+    return out.withColumns(filled)
+
+
+def slot_map(df: DataFrame, proto: str) -> Column:
     """Address to value of a packet, first value of an address wins."""
     c = lambda n: _col(df, n)
     if proto == "modbus":
@@ -161,26 +203,31 @@ def _slot_map(df: DataFrame, proto: str) -> Column:
         keys, vals = F.when(F.size(a1) > 0, a1).otherwise(a2), F.when(F.size(v1) > 0, v1).otherwise(v2)
     else:
         keys, vals = C.str_list(c("xgt_fen_translated_addr")), C.float_list(c("xgt_fen_word_value"))
-    return _of(proto, S.pair_map(S.zip_shortest(keys, vals)))
-
-
-def slot_columns(df: DataFrame, fitted: Fitted) -> tuple[DataFrame, list[str]]:
-    """Add one scaled column per fitted slot, read from the packet's own lists without a join or pivot."""
-    names, out = [], df
-    for proto, prefix in SLOT_PREFIX.items():
-        slots = slot_list(fitted.slot_params, proto)
-        if not slots:
-            continue
-        m = f"_map_{prefix}"
-        out = out.withColumn(m, _slot_map(df, proto))
-        cols = {}
-        for s in slots:
-            v = F.try_element_at(F.col(m), F.lit(s["addr"]))
-            cols[S.slot_column_name(s["addr"], prefix)] = F.when(v.isNull(), F.lit(MISSING)).otherwise(
-                S.minmax_sentinel(v, F.lit(s["vmin"]), F.lit(s["vmax"])))
-        out = out.withColumns(cols).drop(m)
-        names += list(cols)
-    return out, names
+    own = _of(proto, S.pair_map(S.zip_shortest(keys, vals)))
+    return F.when(F.col("raw_count") > 1, F.col("sketch.slots")).otherwise(own) if "sketch" in df.columns else own
+
+
+def slot_entries_of(df: DataFrame) -> Column:
+    """A packet's addresses and values as ``array<struct<kind,token,v>>``, the first value of an address only."""
+    out = F.lit(None).cast("array<struct<kind:string,token:string,v:double>>")
+    for proto in SLOT_PREFIX:
+        own = F.transform(F.map_entries(slot_map(df, proto)), lambda e: F.struct(
+            F.lit(f"slot:{proto}").alias("kind"), e["key"].alias("token"), e["value"].alias("v")))
+        out = F.coalesce(own, out)
+    return out
+
+
+def slot_features(df: DataFrame, slot_params: DataFrame, keep: list[str]) -> DataFrame:
+    """Kept columns and the sparse ``slots`` of every packet, without the other features."""
+    empty = df.sparkSession.createDataFrame([], "token string, name string, id bigint")
+    fitted = Fitted(empty, empty, empty, None, slot_params)
+    return encode(df.select(*keep, slot_entries_of(df).alias("_in")), fitted, {}, F.col("_in")).drop("_in")
+
+
+def slot_columns(slots: Column, names: list[str]) -> dict[str, Column]:
+    """Chosen slot features as columns, -1 where a row has no value for the address."""
+    m = F.map_from_entries(slots)
+    return {n: F.coalesce(F.try_element_at(m, F.lit(n)), F.lit(MISSING)) for n in names}
 
 
 def slot_values(df: DataFrame, fitted: Fitted, ident: str, last: bool = False, columns=None) -> DataFrame:
@@ -200,7 +247,12 @@ def slot_values(df: DataFrame, fitted: Fitted, ident: str, last: bool = False, c
 
 
 def featurise(df: DataFrame, fitted: Fitted, keep: list[str] | None = None, with_slots: bool = True) -> DataFrame:
-    """Serving feature rows: kept columns, ``protocol, delta_t, match``, base features, slot features."""
+    """Serving feature rows: kept columns, ``protocol, delta_t, match``, base features.
+
+    ``with_slots`` adds the slot features sparsely: ``slots``, sorted
+    ``array<struct<name,value>>`` of the fitted addresses a packet has, however
+    many there are; :func:`slot_columns` turns chosen ones into columns.
+    """
     keep = keep or []
     p = with_parsed(df)
     raw, lim = raw_values(p), range_literals(fitted.norm_params)
@@ -226,26 +278,19 @@ def featurise(df: DataFrame, fitted: Fitted, keep: list[str] | None = None, with
            "arp_src_host_id": _of("arp", host_token(F.col("sip"), F.col("smac"))),
            "arp_tgt_host_id": _of("arp", host_token(_col(df, "arp_tip"), _col(df, "arp_tmac"))),
            "xgt_var_id": _of("xgt_fen", blank(_col(df, "xgt_fen_vars")))}
-    slot_names: list[str] = []
-    if with_slots:
-        p, slot_names = slot_columns(p, fitted)
-        own = [(pre, n) for pre in ("modbus", "xgt") for n in slot_names if n.startswith(f"{pre}_slot_")]
-        p = p.withColumns({n: F.when(F.col("protocol") == ("modbus" if pre == "modbus" else "xgt_fen"), F.col(n))
-                           .otherwise(F.lit(MISSING)) for pre, n in own})
-    tokens = {f"_tok_{n}": e for n, e in ids.items()}
-    # all wide inputs are projected away before the joins: only features and tokens travel
+    # all wide inputs are projected away before the lookup: only features and tokens travel
     rows = p.select(*[F.col(k).alias(f"_keep_{k}") for k in keep],
                     S.protocol_code(F.col("protocol")).cast("double").alias("protocol"), F.col("protocol").alias("_proto"),
                     C.safe_float(_col(df, "delta_t")).alias("delta_t"), C.match_code(_col(df, "match")).alias("match"),
-                    *[scaled[f].alias(f) for f in BASE_FEATURES if f in scaled], *slot_names,
-                    *[e.alias(n) for n, e in tokens.items()])
-    rows = lookup_ids(rows, fitted.host_vocab, {n: F.col(f"_tok_{n}") for n in ("src_host_id", "dst_host_id")})
-    rows = lookup_ids(rows, fitted.arp_vocab, {n: F.col(f"_tok_{n}") for n in ("arp_src_host_id", "arp_tgt_host_id")})
-    rows = lookup_ids(rows, fitted.var_vocab, {"xgt_var_id": F.col("_tok_xgt_var_id")}, key="name")
+                    *[scaled[f].alias(f) for f in BASE_FEATURES if f in scaled], *[e.alias(f"_tok_{n}") for n, e in ids.items()],
+                    *([slot_entries_of(p).alias("_tok_slots")] if with_slots else []))
+    kinds = {"src_host_id": "host", "dst_host_id": "host", "arp_src_host_id": "arp", "arp_tgt_host_id": "arp", "xgt_var_id": "var"}
+    rows = encode(rows, fitted, {n: (k, F.col(f"_tok_{n}"), 0.0) for n, k in kinds.items()},
+                  F.col("_tok_slots") if with_slots else None)
     mine = {"arp_src_host_id": "arp", "arp_tgt_host_id": "arp", "xgt_var_id": "xgt_fen"}
-    rows = rows.withColumns({n: F.when(F.col("_proto") == q, F.col(n)).otherwise(F.lit(MISSING)) for n, q in mine.items()})
+    final = {n: F.when(F.col("_proto") == q, F.col(n)).otherwise(F.lit(MISSING)).alias(n) for n, q in mine.items()}
     return rows.select(*[F.col(f"_keep_{k}").alias(k) for k in keep], "protocol", "delta_t", "match",
-                       *BASE_FEATURES, *slot_names)
+                       *[final.get(f, F.col(f)) for f in BASE_FEATURES], *(["slots"] if with_slots else []))
 
 
 def featurise_fit(df: DataFrame, fitted: Fitted, keep: list[str] | None = None) -> DataFrame:
@@ -282,8 +327,7 @@ def featurise_fit(df: DataFrame, fitted: Fitted, keep: list[str] | None = None)
               "arp_tgt_host_id": _of("arp", host_token(c("arp_tip"), c("arp_tmac"))), "xgt_var_id": first_name}
     rows = df.select(*[F.col(k).alias(f"_keep_{k}") for k in keep], *[e.alias(n) for n, e in cols.items()],
                      *[e.alias(f"_tok_{n}") for n, e in tokens.items()])
-    for vocab, names, key, unknown in ((fitted.host_vocab, ("src_host_id", "dst_host_id"), "token", -1),
-                                       (fitted.arp_vocab, ("arp_src_host_id", "arp_tgt_host_id"), "token", -1),
-                                       (fitted.var_vocab, ("xgt_var_id",), "name", 0)):
-        rows = lookup_ids(rows, vocab, {n: F.col(f"_tok_{n}") for n in names}, key, unknown)
+    kinds = {"src_host_id": ("host", -1.0), "dst_host_id": ("host", -1.0), "arp_src_host_id": ("arp", -1.0),
+             "arp_tgt_host_id": ("arp", -1.0), "xgt_var_id": ("var", 0.0)}
+    rows = encode(rows, fitted, {n: (kind, F.col(f"_tok_{n}"), unknown) for n, (kind, unknown) in kinds.items()})
     return rows.select(*[F.col(f"_keep_{k}").alias(k) for k in keep], *cols, *tokens)

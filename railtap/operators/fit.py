@@ -16,7 +16,7 @@ from railtap.functions import coerce as C
 from railtap.functions import scalars as S
 from railtap.operators.order import Track, numeric_blocks, text_blocks, with_ordinal
 from railtap.schema import MISSING
-from railtap.session import checkpoint
+from railtap.session import block_count, checkpoint
 
 
 @dataclass
@@ -72,6 +72,14 @@ def number_by_text(words: DataFrame, name: str, start: int = 1) -> DataFrame:
     return _numbered(words.select(name), [name], start, text_blocks).select(name, "id")
 
 
+def number_by_kind(words: DataFrame, kind: str, name: str, start: int = 1) -> DataFrame:
+    """Several vocabularies in one job: distinct tokens numbered in text order within their kind."""
+    n = block_count(words.sparkSession)
+    cut = words.select(kind, name).repartitionByRange(n, kind, name).withColumn("_b", F.spark_partition_id())
+    cut = checkpoint(words.sparkSession, cut, "words")   # another run of the range partitioning may cut elsewhere
+    return with_ordinal(cut, Track((kind,), (name,), F.col("_b")), "id", start).select(kind, name, "id")
+
+
 def number_by_first_use(words: DataFrame, name: str, at: str = "at") -> DataFrame:
     """Distinct tokens numbered from 1 by where they first occur."""
     return _numbered(words.select(name, at), [at, name], 1, numeric_blocks).select(name, "id")

@@ -106,11 +106,6 @@ def offline_match(score: Column, threshold: float, higher_is_anomalous: bool = T
     return F.when(score.isNull(), None).when(anomalous, 0).otherwise(1)
 
 
-def disabled_model() -> dict[str, Column]:
-    """What a packet gets when no model is loaded."""
-    return {"score": F.lit(0.0), "match": F.lit("U")}
-
-
 def verdict_tally(df: DataFrame, match: str, window: str) -> DataFrame:
     """Windows, rows and verdict counts."""
     m = F.col(match)

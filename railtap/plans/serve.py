@@ -13,8 +13,8 @@ from railtap.operators import verdict as V
 from railtap.operators.attack import attack_flag
 from railtap.operators.features import featurise
 from railtap.operators.fit import Fitted
-from railtap.operators.merge import groups, merge_online, online_key
-from railtap.operators.order import DEFAULT_BLOCK_ROWS, Track, with_ordinal
+from railtap.operators.merge import CHUNK_ROWS, group_sketch, groups, merge_online, online_key
+from railtap.operators.order import Track, with_ordinal
 from railtap.operators.windows import compact, dense_cells, sliding
 from railtap.schema import MERGE_PROTOCOLS, MISSING, OUT_OF_RANGE
 from railtap.session import checkpoint
@@ -23,19 +23,20 @@ _CONTEXT = ["protocol", "timestamp", "sip", "dip", "src_asset", "dst_asset"]
 
 
 def merged_packets(packets: DataFrame, t: Track, order: str, protocols=MERGE_PROTOCOLS,
-                   key: Column | None = None) -> DataFrame:
-    """Packets after the merge, with their dense position ``i`` in the capture.
+                   key: Column | None = None, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+    """Packets after the merge, one per group of any length, with their dense position ``i`` in the capture.
 
-    A run longer than a chunk is as many packets of the flow as it has chunks,
-    so all its values reach the features.  The envelope's time, where packets
-    have one (``meta.packet_ts_ms``), is the time of the merge key.
+    ``sketch`` holds what the features need of a group's lists; the list fields
+    themselves are those of the group's first chunk.  The envelope's time, where
+    packets have one (``meta.packet_ts_ms``), is the time of the merge key.
     """
     if key is None:
         envelope = "meta" in packets.columns
         key = online_key(packets, protocols, ts_ms="meta.packet_ts_ms" if envelope else None)
-    merged = merge_online(groups(packets, t, key), t.by, order, protocols)
-    at = Track(t.by, ("merge_event_id", "chunk"), F.floor(F.col("merge_event_id") / DEFAULT_BLOCK_ROWS))
-    return with_ordinal(merged, at, "i").drop("chunk")
+    grouped = checkpoint(packets.sparkSession, groups(packets, t, key), "grouped")
+    merged = merge_online(grouped, t.by, order, protocols, chunk_rows, written=True).where("chunk = 0").drop("chunk")
+    merged = merged.join(group_sketch(grouped, t.by, protocols, chunk_rows), [*t.by, "merge_event_id"], "left")
+    return merged.withColumn("i", F.col("merge_event_id") - 1)   # groups are numbered without gaps
 
 
 def feature_windows(rows: DataFrame, capture: str, fitted: Fitted, features: list[str], size: int, step: int,

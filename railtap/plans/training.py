@@ -1,19 +1,23 @@
-"""Training jobs on spark.ml: window reconstructors, pattern classifier, model folders.
+"""Training jobs: window reconstructors, pattern classifier, model folders.
 
-A reconstructor's parameters have the size of a window (steps x features), never
-of the data; they are all the driver holds.
+A reconstructor's parameters have the size of a window (steps x features) times
+its components, never of the data and never window squared: its principal axes
+come from a randomised range finder, whose passes add up the products of the
+windows with a thin matrix.  That is all the driver and a task hold.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
-from pyspark.ml.feature import PCA, PCAModel, StringIndexer
+from pyspark.ml.feature import StringIndexer
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -25,51 +29,51 @@ from railtap.operators.score import calibrate, error_train, squared_errors
 from railtap.schema import MISSING
 from railtap.session import checkpoint
 
+# P(N <= n) of a Poisson variable with mean 1, in millionths.
+_POISSON = [367879, 735759, 919699, 981012, 996340, 999406, 999917, 999990, 999999]
+
 
 @dataclass
 class Reconstructor:
-    """Linear reconstruction of a flattened window: x̂ = mean + P Pᵀ (x - mean) under √weight scaling."""
-    model: PCAModel
-    mean: list[float]
-    root: list[float]
+    """Linear reconstruction of a flattened window: x̂ = mean + P Pᵀ (x - mean) under √weight scaling.
+
+    Several members, fitted on other draws of the same windows, reconstruct to
+    the mean of what each gives.
+    """
+    basis: list[np.ndarray]    # cells x components, per member
+    mean: list[np.ndarray]
+    root: np.ndarray
     steps: int
     width: int
 
-    def _centred(self, flat: Column) -> Column:
-        mean, root = (F.array(*[F.lit(v) for v in a]) for a in (self.mean, self.root))
-        scaled = F.zip_with(F.zip_with(flat, mean, lambda x, m: F.when(x == MISSING, 0.0).otherwise(x - m)), root,
-                            lambda d, r: d * r)
-        return array_to_vector(scaled)
-
     def apply(self, df: DataFrame, x: str = "x", out: str = "xh") -> DataFrame:
-        """Add the reconstruction of the window array ``x``; the matrix product runs on Arrow batches."""
-        basis, mean, root = self.model.pc.toArray(), np.array(self.mean), np.array(self.root)
-        steps, width = self.steps, self.width
+        """Add the reconstruction of the window array ``x``; the matrix products run on Arrow batches."""
+        members, root, shape = list(zip(self.basis, self.mean)), self.root, (self.steps, self.width)
 
         @F.pandas_udf("array<array<double>>")
-        def expand(z: pd.Series) -> pd.Series:
-            if len(z) == 0:
+        def reconstruct(flat: pd.Series) -> pd.Series:
+            if len(flat) == 0:
                 return pd.Series([], dtype=object)
-            full = np.stack(z.to_numpy()) @ basis.T / root + mean
-            return pd.Series(list(full.reshape(len(z), steps, width).tolist()))
-
-        low = self.model.setInputCol("_in").setOutputCol("_z").transform(
-            df.withColumn("_in", self._centred(F.flatten(F.col(x)))))
-        return low.withColumn(out, expand(vector_to_array("_z"))).drop("_in", "_z")
+            cells = np.stack(flat.to_numpy()).astype(np.float64)
+            total = sum(_centred(cells, mean, root) @ basis @ basis.T / root + mean for basis, mean in members)
+            return pd.Series(list((total / len(members)).reshape(-1, *shape).tolist()))
 
+        return df.withColumn(out, reconstruct(F.flatten(F.col(x))))
 
     def save(self, path: str) -> None:
-        """The basis as a spark.ml model, means and weights with one row per position."""
-        self.model.write().overwrite().save(f"{path}/basis")
-        rows = [(i, m, self.root[i], self.steps, self.width) for i, m in enumerate(self.mean)]
-        SparkSession.active().createDataFrame(rows, "pos int, mean double, root double, steps int, width int") \
-            .write.mode("overwrite").parquet(f"{path}/scaling")
+        """One row per member and cell: mean, weight and the cell's components."""
+        rows = [(m, i, float(mean[i]), float(self.root[i]), self.steps, self.width, [float(v) for v in basis[i]])
+                for m, (basis, mean) in enumerate(zip(self.basis, self.mean)) for i in range(len(mean))]
+        SparkSession.active().createDataFrame(
+            rows, "member int, pos int, mean double, root double, steps int, width int, basis array<double>") \
+            .write.mode("overwrite").parquet(path)
 
     @classmethod
     def load(cls, path: str) -> "Reconstructor":
-        rows = SparkSession.active().read.parquet(f"{path}/scaling").orderBy("pos").collect()
-        return cls(PCAModel.load(f"{path}/basis"), [r["mean"] for r in rows], [r["root"] for r in rows],
-                   rows[0]["steps"], rows[0]["width"])
+        rows = SparkSession.active().read.parquet(path).orderBy("member", "pos").collect()
+        of = [[r for r in rows if r["member"] == m] for m in range(rows[-1]["member"] + 1)]
+        return cls([np.array([r["basis"] for r in one]) for one in of], [np.array([r["mean"] for r in one]) for one in of],
+                   np.array([r["root"] for r in of[0]]), rows[0]["steps"], rows[0]["width"])
 
 
 def _split(df: DataFrame, ident: str, share: float, seed: int) -> tuple[DataFrame, DataFrame]:
@@ -78,15 +82,74 @@ def _split(df: DataFrame, ident: str, share: float, seed: int) -> tuple[DataFram
     return df.where(u >= share), df.where(u < share)
 
 
-def _fit(df: DataFrame, x: str, steps: int, width: int, k: int, weights: list[float]) -> Reconstructor:
-    cells = df.select(F.posexplode(F.flatten(F.col(x))).alias("pos", "v"))
-    means = cells.groupBy("pos").agg(F.avg(F.when(F.col("v") != MISSING, F.col("v"))).alias("m")).collect()
-    by_pos = {r["pos"]: r["m"] or 0.0 for r in means}
-    mean = [float(by_pos.get(i, 0.0)) for i in range(steps * width)]
-    root = [float(w) ** 0.5 if w > 0 else 1e-6 for w in weights] * steps
-    blank = Reconstructor(None, mean, root, steps, width)
-    model = PCA(k=k, inputCol="_in", outputCol="_z").fit(df.select(blank._centred(F.flatten(F.col(x))).alias("_in")))
-    return Reconstructor(model, mean, root, steps, width)
+def bootstrap_weight(ident: Column, member: Column, seed: int = 42) -> Column:
+    """How often a member's bootstrap sample holds a row: Poisson with mean 1, from a hash of id and member."""
+    u = stable_hash(F.concat_ws("|", F.lit(seed), member.cast("string"), ident.cast("string")), 1_000_000)
+    n = F.lit(0)
+    for upto in _POISSON:
+        n = n + (u >= upto).cast("int")
+    return n
+
+
+def _centred(cells: np.ndarray, mean: np.ndarray, root: np.ndarray) -> np.ndarray:
+    return np.where(cells == MISSING, 0.0, cells - mean) * root
+
+
+def _summed(rows: DataFrame, members: int, size: int, width: int, part: Callable) -> np.ndarray:
+    """Sum over all windows of ``part(cells, weights of a member, member)``, members x size x width, in one scan."""
+    names = [f"c{i}" for i in range(width)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for batch in batches:
+            cells = batch.column("flat").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, -1)
+            w = batch.column("w").flatten().to_numpy().reshape(batch.num_rows, members).astype(np.float64)
+            for at in range(0, len(cells), 512):   # a thin slice of wide windows at a time
+                got = np.stack([part(cells[at:at + 512], w[at:at + 512, m], m) for m in range(members)])
+                total = got if total is None else total + got
+        if total is not None:
+            flat = total.reshape(-1, width)
+            at = np.arange(len(flat), dtype=np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(at), *[pa.array(np.ascontiguousarray(c)) for c in flat.T]], ["at", *names])
+
+    ddl = ", ".join(["at int", *[f"{c} double" for c in names]])
+    got = rows.mapInArrow(run, ddl).groupBy("at").agg(*[F.sum(c).alias(c) for c in names]).toArrow()   # of the model's size
+    out = np.zeros((members * size, width))
+    out[got["at"].to_numpy()] = np.column_stack([got[c].to_numpy() for c in names]) if got.num_rows else out[:0]
+    return out.reshape(members, size, width)
+
+
+def _fit(df: DataFrame, x: str, steps: int, width: int, k: int, weights: list[float], member_weights: Column | None = None,
+         members: int = 1, rounds: int = 4, seed: int = 7) -> Reconstructor:
+    """Principal axes of every member's weighted windows, each pass over the windows serving all members.
+
+    The axes' span is found by multiplying the covariance with a thin random
+    matrix, and its own span again, ``rounds`` times in all.
+    """
+    n = steps * width
+    k = min(k, n)
+    thin = min(n, max(4 * k, k + 32))
+    w = member_weights if member_weights is not None else F.array(F.lit(1))
+    rows = df.select(F.flatten(F.col(x)).alias("flat"), w.alias("w"))
+    root = np.tile([v ** 0.5 if v > 0 else 1e-6 for v in weights], steps)
+
+    def moments(cells: np.ndarray, one: np.ndarray, m: int) -> np.ndarray:
+        seen = cells != MISSING
+        return np.column_stack([one @ np.where(seen, cells, 0.0), one @ seen])
+
+    sums = _summed(rows, members, n, 2, moments)
+    mean = sums[:, :, 0] / np.maximum(sums[:, :, 1], 1e-300)
+    span = [np.linalg.qr(np.random.default_rng(seed + m).normal(size=(n, thin)))[0] for m in range(members)]
+    for _ in range(rounds):
+        def product(cells: np.ndarray, one: np.ndarray, m: int, span=span) -> np.ndarray:
+            c = _centred(cells, mean[m], root)
+            return c.T @ (one[:, None] * (c @ span[m]))
+
+        image = _summed(rows, members, n, thin, product)
+        inner = [q.T @ y for q, y in zip(span, image)]   # the covariance inside the span, before it moves on
+        axes = [q @ np.linalg.eigh((t + t.T) / 2)[1][:, ::-1][:, :k] for q, t in zip(span, inner)]
+        span = [np.linalg.qr(y)[0] for y in image]
+    return Reconstructor(axes, list(mean), root, steps, width)
 
 
 def train_reconstructor(df: DataFrame, ident: str, x: str, steps: int, width: int, k: int = 8,
@@ -106,23 +169,12 @@ def train_reconstructor(df: DataFrame, ident: str, x: str, steps: int, width: in
     return rec, errors, calibrate(errors.where("part = 'train'"), "mse")
 
 
-def bagged_reconstruction(df: DataFrame, ident: str, x: str, steps: int, width: int, k: int = 8, members: int = 4,
-                          seed: int = 42) -> DataFrame:
-    """Mean reconstruction of several models, each fitted on a bootstrap sample."""
-    df = checkpoint(df.sparkSession, df, "training")   # every member reads it, and samples the same files
-    out, names = df, []
-    for m in range(members):
-        sample = df.sample(withReplacement=True, fraction=1.0, seed=seed + m)
-        out = _fit(sample, x, steps, width, k, [1.0] * width).apply(out, x, f"_x{m}")
-        names.append(f"_x{m}")
-
-    def mean_of(cells: list[Column]) -> Column:
-        total = cells[0]
-        for c in cells[1:]:
-            total = F.zip_with(total, c, lambda a, b: F.zip_with(a, b, lambda p, q: p + q))
-        return F.transform(total, lambda r: F.transform(r, lambda v: v / len(cells)))
-
-    return out.withColumn("xh", mean_of([F.col(n) for n in names])).drop(*names)
+def bagged_reconstructor(df: DataFrame, ident: str, x: str, steps: int, width: int, k: int = 8, members: int = 4,
+                         seed: int = 42) -> Reconstructor:
+    """Several members, each on its own bootstrap draw of the windows; all draws are counted in the same passes."""
+    df = checkpoint(df.sparkSession, df.select(ident, x), "training")
+    draws = F.array(*[bootstrap_weight(F.col(ident), F.lit(m), seed) for m in range(members)])
+    return _fit(df, x, steps, width, k, [1.0] * width, draws, members)
 
 
 # --- pattern classifier --------------------------------------------------------
@@ -187,6 +239,21 @@ def cv_summary(fold_rows: DataFrame, param: str, metrics: list[str]) -> DataFram
     return fold_rows.groupBy(param).agg(*[F.avg(m).alias(m) for m in metrics], F.count(F.lit(1)).alias("folds"))
 
 
+def classify_with(bundle: "Bundle", width: int) -> Callable[[DataFrame], DataFrame]:
+    """The ``classify`` step of serving from a stored pattern model: adds ``probs`` to windows holding ``seq``."""
+    def classify(df: DataFrame) -> DataFrame:
+        rows = df.withColumn("_v", array_to_vector(pooled(F.col("seq"), width)))
+        out = bundle.model.transform(rows).withColumn("probs", vector_to_array("probability"))
+        return out.select(*df.columns, "probs")
+
+    return classify
+
+
+def class_names(bundle: "Bundle") -> list[str]:
+    """Labels of a stored pattern model in the order of its probabilities."""
+    return list(bundle.model.stages[0].labels)
+
+
 # --- model folders ---------------------------------------------------------------
 
 @dataclass

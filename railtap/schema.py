@@ -27,6 +27,7 @@ PROTOCOL_CODES_FIT = {
 
 MERGE_PROTOCOLS = ("modbus", "xgt_fen")
 
+# Packet fields by protocol, as capture files name them.
 PACKET_FIELDS = {
     "": ["timestamp", "protocol", "smac", "dmac", "sip", "dip", "sp", "dp", "len", "dir",
          "sq", "ak", "fl", "delta_t", "match", "src_asset", "dst_asset",

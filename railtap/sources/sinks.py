@@ -70,3 +70,29 @@ def incoming_record(df: DataFrame, ingest_id: str, meta: str = "meta") -> DataFr
 def raw_entry(df: DataFrame, drop=("ml", "ml_anomaly_prob")) -> DataFrame:
     """Packet as stored with its window: model fields out, nulls and non-finite numbers pruned."""
     return prune(df.drop(*drop))
+
+
+def save_matrices(rows: DataFrame, protocol: str, columns: dict[str, list[str]], path: str, order: str) -> None:
+    """Fit matrices: per protocol the rows of its own columns as one typed array each, and the columns' names.
+
+    A matrix is the folder ``matrices/proto=<name>`` in row order of ``order``
+    within its files; names and widths are in ``names``.
+    """
+    def cells(names: list[str]) -> Column:
+        return F.array(*[F.col(f"`{n}`").cast("float") for n in names])
+
+    spark = rows.sparkSession
+    chosen = F.lit(None).cast("array<float>")
+    for name, names in columns.items():
+        chosen = F.when(F.col(protocol) == name, cells(names)).otherwise(chosen)
+    named = rows.select(F.col(protocol).alias("proto"), F.col(order).alias("row"), chosen.alias("cells")).where(F.col("cells").isNotNull())
+    named.sortWithinPartitions("proto", "row").write.mode("overwrite").partitionBy("proto").parquet(f"{path}/matrices")
+    catalog = [(p, i, n) for p, names in columns.items() for i, n in enumerate(names)]
+    spark.createDataFrame(catalog, "proto string, pos int, name string").write.mode("overwrite").parquet(f"{path}/names")
+
+
+def load_matrix(spark: SparkSession, path: str, protocol: str) -> tuple[DataFrame, list[str]]:
+    """A protocol's matrix as ``(row, cells)``, only its own files read, and its column names."""
+    names = spark.read.parquet(f"{path}/names").where(F.col("proto") == protocol).orderBy("pos").select("name").collect()
+    m = spark.read.schema("row bigint, cells array<float>, proto string").parquet(f"{path}/matrices").where(F.col("proto") == protocol)
+    return m.select("row", "cells"), [r["name"] for r in names]

@@ -1,4 +1,4 @@
-"""Stream sources, triggers and progress."""
+"""Stream sources and triggers."""
 
 from __future__ import annotations
 
@@ -52,23 +52,3 @@ def start(writer: DataStreamWriter, checkpoint: str, drain: bool = True, interva
     writer = writer.option("checkpointLocation", checkpoint)
     trigger = {"availableNow": True} if drain else {"processingTime": interval}
     return writer.trigger(**trigger).start()
-
-
-def counted(stream: DataFrame, path: str, then=None) -> DataStreamWriter:
-    """A writer that stores one counter row per batch below ``path`` and hands the batch on to ``then``.
-
-    A replayed batch overwrites its own row, so the table is whole however long the stream runs.
-    """
-    def each(batch: DataFrame, batch_id: int) -> None:
-        batch.groupBy().agg(F.count(F.lit(1)).alias("input_rows")).write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
-        if then is not None:
-            then(batch, batch_id)
-
-    return stream.writeStream.foreachBatch(each)
-
-
-def progress_table(spark: SparkSession, query: StreamingQuery) -> DataFrame:
-    """Recent progress as rows ``(batch_id, stage, seconds, input_rows)`` for the stage summary."""
-    rows = [(int(p["batchId"]), stage, ms / 1000.0, int(p["numInputRows"]))
-            for p in query.recentProgress for stage, ms in dict(p["durationMs"]).items()]
-    return spark.createDataFrame(rows, "batch_id bigint, stage string, seconds double, input_rows bigint")

@@ -1,83 +1,86 @@
 """Count windows across micro-batches.
 
-State is keyed by capture and block, a stretch of window starts, not by capture
-alone: a capture that delivers most of the rows is spread over its blocks.  A
-row is sent to its own block and, when windows of the block before reach into
-it, to that one too.  Rows may arrive in any order; a block holds at most
-``block_rows + size`` rows and is cleared once its last window is out.
+Each micro-batch runs the batch windows over its rows and the rows that the next
+window of each capture reaches back to.  Only that tail, fewer rows than a window
+has, and one counter row per capture pass from batch to batch; panes, blocks and
+frames are those of :func:`railtap.operators.windows.sliding`, so a busy capture
+is spread over its blocks and no Python runs.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from dataclasses import dataclass
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from railtap.operators.order import Track, numeric_blocks, with_ordinal
+from railtap.operators.windows import sliding
+from railtap.streaming.state import Versions
 
-class _WindowBlock(StatefulProcessor):
-    def __init__(self, size: int, step: int, block_rows: int, cols: list[str], row_ddl: str):
-        self._size, self._step, self._block, self._cols, self._ddl = size, step, block_rows, cols, row_ddl
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self._rows = handle.getListState("rows", self._ddl)
-        self._next = handle.getValueState("next", "start bigint")
+def number_arrivals(batch: DataFrame, capture: str, order: tuple[str, ...], seen: DataFrame | None, name: str) -> DataFrame:
+    """Number a batch's rows oldest first within their capture, after those of earlier batches.
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        capture, block = key
-        first, end = int(block) * self._block, (int(block) + 1) * self._block
-        start = self._next.get()[0] if self._next.exists() else first
-        held = {r[0]: tuple(r) for r in self._rows.get()} if self._rows.exists() else {}
-        for pdf in rows:
-            for r in pdf[["row_no", *self._cols]].itertuples(index=False, name=None):
-                held.setdefault(int(r[0]), (int(r[0]), *r[1:]))
-        out = {"capture": [], "window_id": [], "start": [], "end": [], **{c: [] for c in self._cols}}
-        while start < end and all((start + j) in held for j in (0, self._size - 1)):
-            span = [held.get(start + j) for j in range(self._size)]
-            if any(r is None for r in span):
-                break
-            out["capture"].append(capture)
-            out["window_id"].append(start // self._step)
-            out["start"].append(start)
-            out["end"].append(start + self._size - 1)
-            for n, c in enumerate(self._cols, start=1):
-                out[c].append([r[n] for r in span])
-            start += self._step
-        if start >= end:
-            self._rows.clear()
-            self._next.update((start,))
-        else:
-            self._rows.put([held[i] for i in sorted(held) if i >= start])
-            self._next.update((start,))
-        if out["window_id"]:
-            yield pd.DataFrame(out)
-
-    def close(self) -> None:
-        pass
+    Rows of an earlier time that arrive later are simply appended; ``seen`` has
+    the rows counted so far by capture.
+    """
+    rows = numeric_blocks(batch, order[0], "_part")
+    rows = with_ordinal(rows, Track((capture,), order, F.col("_part")), name).drop("_part")
+    if seen is None:
+        return rows
+    rows = rows.join(seen.select(capture, F.col("seen").alias("_seen")), capture, "left")
+    return rows.withColumn(name, F.col(name) + F.coalesce("_seen", F.lit(0))).drop("_seen")
 
 
-def stream_windows(df: DataFrame, capture: str, ordinal: str, columns: list[str], size: int, step: int,
-                   block_rows: int = 1 << 12) -> DataFrame:
-    """Full windows of a stream: ``capture, window_id, start, end`` and each column as the window's array.
+@dataclass
+class WindowStream:
+    """Full windows fed by ``foreachBatch``; they go to ``<root>/windows/batch_id=N``.
 
-    ``ordinal`` is the row's dense position in its capture, as the source
-    delivers it.
+    ``aggs`` is as in ``sliding``, over ``columns`` of the rows.  ``ordinal`` names
+    the rows' dense position in the capture where they have one; without it the
+    stream numbers them in arrival order, oldest first within a batch.
     """
-    block_rows = max(block_rows, size)
-    block_rows += -block_rows % step
-    i = F.col("row_no")
-    home = F.floor(i / block_rows)
-    reach = (i - home * block_rows < size - step) & (home > 0)
-    types = {f.name: f.dataType for f in df.schema.fields}
-    spread = (df.select(F.col(capture).alias("capture"), F.col(ordinal).cast("bigint").alias("row_no"), *columns)
-              .withColumn("block_no", F.explode(F.when(reach, F.array(home - 1, home)).otherwise(F.array(home)))))
-    row_ddl = ", ".join(["row_no bigint", *[f"`{c}` {types[c].simpleString()}" for c in columns]])
-    out = T.StructType([T.StructField("capture", types[capture]), T.StructField("window_id", T.LongType()),
-                        T.StructField("start", T.LongType()), T.StructField("end", T.LongType()),
-                        *[T.StructField(c, T.ArrayType(types[c])) for c in columns]])
-    return spread.groupBy("capture", "block_no").transformWithStateInPandas(
-        statefulProcessor=_WindowBlock(size, step, block_rows, columns, row_ddl), outputStructType=out,
-        outputMode="Append", timeMode="None")
+    spark: SparkSession
+    root: str
+    size: int
+    step: int
+    aggs: dict[str, tuple[str, Column]]
+    columns: tuple[str, ...]
+    capture: str = "capture"
+    order: tuple[str, ...] = ("ts_ms", "id_seq")
+    ordinal: str | None = None
+
+    def __post_init__(self) -> None:
+        self.tables = Versions(self.spark, self.root)
+
+    def _next_start(self) -> Column:
+        """The first window start that the rows seen so far do not fill."""
+        full = F.floor((F.col("seen") - self.size) / self.step) + 1
+        return F.when(F.col("seen") < self.size, F.lit(0)).otherwise(full * self.step).cast("bigint")
+
+    def __call__(self, batch: DataFrame, batch_id: int) -> int:
+        """Write the windows that this batch completes; returns how many."""
+        cap, t = self.capture, self.tables
+        before, tail = t.read("counters", batch_id - 1), t.read("tail", batch_id - 1)
+        if self.ordinal:
+            rows = batch.withColumn("_row", F.col(self.ordinal).cast("bigint"))
+        else:
+            rows = number_arrivals(batch, cap, self.order, before, "_row")
+        rows = rows.select(cap, "_row", *self.columns)
+        if tail is not None:
+            rows = tail.unionByName(rows)
+        rows = t.write(rows, "rows", batch_id)
+        counters = rows.groupBy(cap).agg((F.max("_row") + 1).alias("seen"))
+        if before is not None:  # a capture without rows, in the batch and in the tail, keeps its counter
+            counters = counters.unionByName(before).groupBy(cap).agg(F.max("seen").alias("seen"))
+        counters = t.write(counters, "counters", batch_id)
+        _, made = t.write_counted(sliding(rows, cap, "_row", self.size, self.step, self.aggs), "windows", batch_id)
+        left = rows.join(counters.select(cap, self._next_start().alias("_next")), cap).where(F.col("_row") >= F.col("_next"))
+        t.write(left.drop("_next"), "tail", batch_id)
+        for kind in ("rows", "counters", "tail"):
+            t.forget(kind, batch_id - 1)
+        return made
+
+    def windows(self) -> DataFrame:
+        return self.spark.read.parquet(f"{self.root}/windows").drop("batch_id")

@@ -247,8 +247,25 @@ def slot_pivot(spark, sf):
     p = packets(spark, sf, "seq", "protocol", "modbus_translated_addr", "modbus_regs_addr", "modbus_regs_val",
                 "xgt_fen_translated_addr", "xgt_fen_word_value", "k")
     slots = FT.number_slots(FT.slot_ranges(p, X.SLOT_FIT_COLUMNS))
-    out, names = X.slot_columns(p, FT.Fitted(None, None, None, None, slots))
-    return round_doubles(out.select("seq", *names))
+    values = X.slot_features(p, slots, ["seq"])
+    names = [f"{X.SLOT_PREFIX[q]}_slot_{a}_norm" for q, names in _SLOT_NAMES.items() for a in names]
+    return round_doubles(values.select("seq", *[e.alias(n) for n, e in X.slot_columns(F.col("slots"), names).items()]))
+
+
+@query("feature_rows_slots", f"""WITH {pkt_sql('seq', 'protocol', 'sip', 'smac', 'modbus_translated_addr', 'modbus_regs_addr', 'modbus_regs_val', 'xgt_fen_translated_addr', 'xgt_fen_word_value', 'k')}, {_SLOTS},
+entry_list AS (SELECT seq, protocol, CASE protocol WHEN 'modbus' THEN CAST(coalesce(modbus_translated_addr, modbus_regs_addr) AS JSON)::VARCHAR[] WHEN 'xgt_fen' THEN CAST(xgt_fen_translated_addr AS JSON)::VARCHAR[] END AS a,
+ CASE protocol WHEN 'modbus' THEN CAST(modbus_regs_val AS JSON)::DOUBLE[] WHEN 'xgt_fen' THEN CAST(xgt_fen_word_value AS JSON)::DOUBLE[] END AS v FROM pkt),
+each AS (SELECT seq, protocol, unnest(a) AS addr, generate_subscripts(a, 1) AS place FROM entry_list),
+won AS (SELECT e.seq, e.protocol, e.addr, arg_min(l.v[e.place], e.place) AS v FROM each e JOIN entry_list l USING (seq) WHERE e.place <= len(l.v) GROUP BY ALL),
+own AS (SELECT seq, CASE proto WHEN 'modbus' THEN 'modbus' ELSE 'xgt' END || '_slot_' || won.addr || '_norm' AS name,
+ {sql_r6('CASE WHEN v < vmin OR v > vmax THEN -2.0 WHEN vmin = vmax THEN 0.0 ELSE (v - vmin) / (vmax - vmin + 1e-9) END')} AS value FROM won JOIN slots ON proto = protocol AND slots.addr = won.addr)
+SELECT seq, CAST(count(*) OVER (PARTITION BY seq) - CASE WHEN name IS NULL THEN 1 ELSE 0 END AS INT) AS n_slots, name, value FROM pkt LEFT JOIN own USING (seq)""")
+def feature_rows_slots(spark, sf):
+    """All slot features of every feature row, sparse, whatever their number."""
+    p, fitted = _fitted(spark, sf)
+    rows = X.featurise(p, fitted, ["seq"])
+    flat = rows.select("seq", F.size("slots").alias("n_slots"), F.explode_outer("slots").alias("s"))
+    return round_doubles(flat.select("seq", "n_slots", F.col("s.name").alias("name"), F.col("s.value").alias("value")))
 
 
 @query("slot_names", """SELECT DISTINCT '%' || l_shipdate::DATE || ' ' || (l_partkey % 20) AS addr,

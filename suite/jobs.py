@@ -5,18 +5,21 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from railtap.operators import evaluate as EV
+from railtap.operators import features as X
 from railtap.operators import order as O
 from railtap.operators.score import anomaly_prediction, error_train, squared_errors
+from railtap.operators.windows import compact
 from railtap.plans import offline as OFF
 from railtap.plans import serve as SV
 from railtap.plans import training as TR
+from railtap.schema import ARP_FEATURES, DNS_FEATURES, MODBUS_FEATURES, S7COMM_FEATURES
 from railtap.session import fresh_path
 from railtap.sources import jsonl as J
 from railtap.sources import params as P
 from railtap.sources import sinks as K
 from suite.base import event_track, packets, pkt_sql, query, r6, round_doubles, sql_r6, table
-from suite.fitting import _ARPS, _FEATURE_FROM, _HOSTS, _PARSED, _SERVE_SQL, _VARS
-from suite.scoring import D, T, reconstructed, vectors
+from suite.fitting import (_ARPS, _FEATURE_FROM, _FIRST_VAR, _FIT_FEATURES, _HOSTS, _PARSED, _SERVE_SQL, _VARS, _fitted)
+from suite.scoring import _CELLS, D, T, reconstructed, vectors
 
 # Capture lines as files hold them: bare packets, nested protocol objects, envelopes, blank and broken lines.
 _LINE = r"""CASE seq % 5
@@ -229,10 +232,29 @@ def bagged_reconstructor(spark, sf):
     """Windows reconstructed by the mean of several bootstrap-fitted models."""
     from railtap.operators.score import error_eval, squared_errors
     w = reconstructed(spark, sf).select("vec_id", "x")
-    out = TR.bagged_reconstruction(w, "vec_id", "x", T, D, k=8, members=3)
+    out = TR.bagged_reconstructor(w, "vec_id", "x", T, D, k=8, members=3).apply(w)
     return round_doubles(out.select("vec_id", error_eval(F.col("x"), squared_errors(F.col("x"), F.col("xh"))).alias("mse")))
 
 
+_DRAWN = " + ".join(f"CASE WHEN u >= {n} THEN 1 ELSE 0 END" for n in TR._POISSON)
+
+
+@query("bagging_draws", f"""WITH {_CELLS}, h AS (SELECT vec_id, member, CAST('0x' || substr(md5('42|' || CAST(member AS VARCHAR) || '|' || CAST(vec_id AS VARCHAR)), 1, 8) AS BIGINT) % 1000000 AS u
+ FROM (SELECT DISTINCT vec_id FROM m) JOIN (SELECT unnest(range(0, 3)) AS member) ON true),
+d AS (SELECT vec_id, member, {_DRAWN} AS n FROM h)
+SELECT CAST(member AS INT) AS member, CAST(pos AS INT) AS pos, {sql_r6('sum(x * n) FILTER (x <> -1.0) / sum(n) FILTER (x <> -1.0)')} AS mean, (SELECT CAST(sum(n) AS BIGINT) FROM d t WHERE t.member = d.member) AS drawn
+FROM m JOIN d USING (vec_id) GROUP BY member, pos""")
+def bagging_draws(spark, sf):
+    """Bootstrap draws of the windows and the cell means that the members are fitted around."""
+    w = reconstructed(spark, sf).select("vec_id", "x")
+    rec = TR.bagged_reconstructor(w, "vec_id", "x", T, D, k=8, members=3)
+    member = F.explode(F.array(*[F.lit(m) for m in range(3)])).alias("member")
+    drawn = w.select("vec_id", member).groupBy("member").agg(
+        F.sum(TR.bootstrap_weight(F.col("vec_id"), F.col("member")).cast("bigint")).alias("drawn"))
+    means = spark.createDataFrame([(m, i, float(v)) for m, mean in enumerate(rec.mean) for i, v in enumerate(mean)], "member int, pos int, mean double")
+    return means.join(drawn, "member").select("member", "pos", r6("mean").alias("mean"), "drawn")
+
+
 @query("train_classifier")
 def train_classifier(spark, sf):
     """Pattern classifier, cross-validated; hold-out metrics per candidate table."""
@@ -295,6 +317,49 @@ def serving_run(spark, sf):
                     F.size(s["feature_error"]).alias("n_features"), "alert")
 
 
+@query("serving_patterns")
+def serving_patterns(spark, sf):
+    """Pattern classes of the anomalous windows only, from a classifier stored in a folder and loaded again."""
+    p, fitted = _serving_inputs(spark, sf)
+    t, width = event_track(p), len(_SERVE_FEATURES)
+    labelled = SV.labelled_windows(p, t, fitted, _SERVE_FEATURES, F.lit("modbus_fc6"), 16, 16)
+    rows = labelled.select(F.concat_ws("-", "capture", "window_id").alias("id"), "pattern", TR.pooled(compact(F.col("x"), 16), width).alias("v"), "x")
+    pipe, _, _ = TR.train_classifier(rows, "id", "pattern", "v")
+    rec, _, cal = TR.train_reconstructor(rows.where(F.size("x") == 16), "id", "x", 16, width, k=6)
+    path = fresh_path(spark, "bundle")
+    TR.Bundle(pipe, P.catalog(spark, _SERVE_FEATURES), cal, {"steps": "16"}).save(path)
+    b = TR.Bundle.load(spark, path)
+    v = SV.serve(p, t, "seq", fitted, _SERVE_FEATURES, lambda d: rec.apply(d), TR.classify_with(b, width), TR.class_names(b), size=16, step=4,
+                 threshold=b.threshold.first()["threshold_p99"], always_classify=False)
+    s = F.col("summary")
+    return v.select("capture", "seq_id", "pattern", r6(s["anomaly_score"]).alias("anomaly_score"), s["anomaly_type"].alias("anomaly_type"),
+                    r6(s["similarity"]).alias("similarity"), "alert")
+
+
+_OWN = {"modbus": MODBUS_FEATURES, "dns": DNS_FEATURES, "arp": ARP_FEATURES, "s7comm": S7COMM_FEATURES}
+_MATRIX = {q: [f for f in features if f in _FIT_FEATURES] for q, features in _OWN.items()}
+
+
+@query("fit_matrices", f"""WITH {_PARSED}, {_HOSTS}, {_ARPS}, {_VARS},
+lists AS (SELECT seq AS lseq, list_transform(CAST(xgt_fen_translated_addr AS JSON)::VARCHAR[], lambda s: CAST(regexp_extract(s, '([0-9]+)', 1) AS DOUBLE)) AS xa,
+ CAST(xgt_fen_word_value AS JSON)::DOUBLE[] AS xw FROM pkt),
+rows AS (SELECT protocol AS owner, {', '.join(f'CAST({_FIT_FEATURES[f]} AS FLOAT) AS {f}' for fs in _MATRIX.values() for f in fs)}
+{_FEATURE_FROM} LEFT JOIN vars vv ON vv.name = {_FIRST_VAR} JOIN lists ON lseq = seq)
+{' UNION ALL '.join(f"SELECT '{q}' AS proto, {i} AS pos, '{f}' AS name, count(*) AS n, {sql_r6(f'sum(CAST({f} AS DOUBLE))')} AS total FROM rows WHERE owner = '{q}'" for q, fs in _MATRIX.items() for i, f in enumerate(fs))}""")
+def fit_matrices(spark, sf):
+    """Typed matrices per protocol of the fit-time rows, stored, and read back one protocol at a time."""
+    p, fitted = _fitted(spark, sf)
+    rows = X.featurise_fit(p.withColumn("owner", F.col("protocol")), fitted, ["seq", "owner"])
+    path, out = fresh_path(spark, "matrices"), None
+    K.save_matrices(rows, "owner", _MATRIX, path, "seq")
+    for q in _MATRIX:
+        m, names = K.load_matrix(spark, path, q)
+        cells = m.select(F.posexplode("cells").alias("pos", "v")).groupBy("pos").agg(F.count(F.lit(1)).alias("n"), r6(F.sum(F.col("v").cast("double"))).alias("total"))
+        named = cells.withColumn("name", F.element_at(F.array(*[F.lit(n) for n in names]), F.col("pos") + 1)).withColumn("proto", F.lit(q))
+        out = named if out is None else out.unionByName(named)
+    return out
+
+
 @query("labelled_capture", f"""WITH {pkt_sql('seq', 'capture', 'protocol', 'modbus_fc', 'xgt_fen_cmd', 'k')},
 o AS (SELECT *, (protocol = 'xgt_fen' AND CAST(xgt_fen_cmd AS BIGINT) IN (88, 89)) OR (protocol = 'modbus' AND CAST(modbus_fc AS BIGINT) = 6) AS flag,
  row_number() OVER (PARTITION BY capture ORDER BY seq) - 1 AS i FROM pkt), w AS (SELECT *, unnest(range(CAST(greatest(0, ceil((i - 7) / 4.0)) AS BIGINT), i // 4 + 1)) AS window_id FROM o)

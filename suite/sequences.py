@@ -6,9 +6,11 @@ from pyspark.sql import functions as F
 
 from railtap.operators import attack as A
 from railtap.operators import evaluate as EV
+from railtap.operators import features as X
 from railtap.operators import merge as G
 from railtap.operators import order as O
 from railtap.operators import windows as WIN
+from railtap.plans import serve as SV
 from railtap.plans import verdicts as V
 from suite.base import event_track, packets, pkt_sql, query, r6, round_doubles, sql_r6, table
 
@@ -175,6 +177,43 @@ def merge_long_run(spark, sf):
     return G.merge_online(g, "capture", "seq", chunk_rows=_LONG_CHUNK).select("chunk", "raw_count", "seq", "sip", "modbus_fc", "modbus_regs_val")
 
 
+_LONG = f"""{pkt_sql('seq', 'k', 'modbus_translated_addr', 'modbus_regs_addr', 'modbus_regs_val', 'xgt_fen_data', 'xgt_fen_translated_addr', 'xgt_fen_word_value', 'value')},
+two AS (SELECT *, CASE WHEN k % 2 = 0 THEN 'modbus' ELSE 'xgt_fen' END AS capture FROM pkt),
+key_list AS (SELECT capture, seq, CAST(CAST(CASE WHEN k % 2 = 0 THEN modbus_translated_addr ELSE xgt_fen_translated_addr END AS JSON) AS VARCHAR[]) AS l FROM two),
+val_list AS (SELECT capture, seq, CAST(CAST(CASE WHEN k % 2 = 0 THEN modbus_regs_val ELSE xgt_fen_word_value END AS JSON) AS DOUBLE[]) AS l FROM two),
+keys AS (SELECT capture, a, row_number() OVER (PARTITION BY capture ORDER BY seq, pos) AS place FROM (SELECT capture, seq, unnest(l) AS a, generate_subscripts(l, 1) AS pos FROM key_list)),
+vals AS (SELECT capture, v, row_number() OVER (PARTITION BY capture ORDER BY seq, pos) AS place FROM (SELECT capture, seq, unnest(l) AS v, generate_subscripts(l, 1) AS pos FROM val_list)),
+slots AS (SELECT capture, a, arg_min(v, place) AS v FROM keys JOIN vals USING (capture, place) GROUP BY capture, a),
+slot_sums AS (SELECT capture, count(*) AS slots, sum(v) AS slot_sum FROM slots GROUP BY capture),
+addr_sums AS (SELECT capture, count(*) AS n, min(CAST(a AS INT)) AS lo, max(CAST(a AS INT)) AS hi FROM keys WHERE capture = 'modbus' GROUP BY capture),
+val_sums AS (SELECT capture, min(v) AS lo, max(v) AS hi, avg(v) AS mean, stddev_pop(v) AS sd FROM vals WHERE capture = 'modbus' GROUP BY capture),
+data_sums AS (SELECT capture, sum(length(xgt_fen_data) + 2) + count(xgt_fen_data) + 1 AS chars, sum(length(xgt_fen_data) - length(replace(xgt_fen_data, ' ', ''))) AS blanks
+ FROM two WHERE capture = 'xgt_fen' GROUP BY capture)
+SELECT capture, count(*) AS raw_count, CAST(any_value(a.n) AS DOUBLE) AS regs_count, CAST(any_value(a.lo) AS DOUBLE) AS addr_min, CAST(any_value(a.hi) AS DOUBLE) AS addr_max,
+ CAST(any_value(a.hi - a.lo) AS DOUBLE) AS addr_range, any_value(v.lo) AS val_min, any_value(v.hi) AS val_max, {sql_r6('any_value(v.mean)')} AS val_mean, {sql_r6('any_value(v.sd)')} AS val_std,
+ CAST(any_value(d.chars) AS DOUBLE) AS data_chars, CAST(any_value(d.blanks) AS DOUBLE) AS data_blanks, CAST(any_value(s.slots) AS INT) AS slots, any_value(s.slot_sum) AS slot_sum
+FROM two LEFT JOIN addr_sums a USING (capture) LEFT JOIN val_sums v USING (capture) LEFT JOIN data_sums d USING (capture) LEFT JOIN slot_sums s USING (capture) GROUP BY capture"""
+
+
+@query("merge_long_features", f"WITH {_LONG}")
+def merge_long_features(spark, sf):
+    """Two runs far longer than a chunk: each is one packet, its features those of the whole run."""
+    p = packets(spark, sf, "seq", "k", "modbus_translated_addr", "modbus_regs_addr", "modbus_regs_val", "xgt_fen_data",
+                "xgt_fen_translated_addr", "xgt_fen_word_value")
+    p = p.withColumn("protocol", F.when(F.col("k") % 2 == 0, "modbus").otherwise("xgt_fen"))
+    p = p.withColumns({"capture": F.col("protocol"), "timestamp": F.lit("t"), "sq": F.lit("1")})
+    m = X.with_parsed(SV.merged_packets(p, event_track(p), "seq", chunk_rows=_LONG_CHUNK))
+    raw = X.raw_values(m)
+    names = {"regs_count": "modbus_regs_count", "addr_min": "modbus_regs_addr_min", "addr_max": "modbus_regs_addr_max",
+             "addr_range": "modbus_regs_addr_range", "val_min": "modbus_regs_val_min", "val_max": "modbus_regs_val_max",
+             "val_mean": "modbus_regs_val_mean", "val_std": "modbus_regs_val_std", "data_chars": "xgt_data_len_chars",
+             "data_blanks": "xgt_data_num_spaces"}
+    slots = F.coalesce(X.slot_map(m, "modbus"), X.slot_map(m, "xgt_fen"))
+    total = F.aggregate(F.map_values(slots), F.lit(0.0), lambda a, v: a + v)
+    return m.select("capture", "raw_count", *[(r6(raw[f]) if n in ("val_mean", "val_std") else raw[f]).alias(n) for n, f in names.items()],
+                    F.size(slots).alias("slots"), total.alias("slot_sum"))
+
+
 @query("consecutive_groups_online", f"""WITH {pkt_sql('seq', 'capture', 'protocol', 'sq', 'ts_us', 'k')},
 keyed AS (SELECT *, CASE WHEN protocol IN ('modbus', 'xgt_fen') THEN CASE WHEN k % 2 = 0 THEN protocol || '|s|' || CAST(k % 3 AS VARCHAR)
   ELSE protocol || '|' || CAST(ts_us // 1000 // 600000 AS VARCHAR) || '|bucket' END END AS key FROM pkt),

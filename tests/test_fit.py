@@ -31,8 +31,12 @@ def test_fit_and_featurise(spark):
     rows = {r["seq"]: r for r in X.featurise(p, f, ["seq"]).collect()}
     assert [rows[i]["src_host_id"] for i in range(4)] == [2.0, 1.0, 3.0, 0.0]
     assert rows[1]["dst_host_id"] == 0.0 and rows[0]["protocol"] == 4.0 and rows[0]["dir_code"] == 1.0
-    assert rows[0]["modbus_slot_10_norm"] == 0.0 and rows[1]["modbus_slot_10_norm"] == pytest.approx(1.0)
-    assert rows[0]["modbus_slot_9_norm"] == -1.0 and rows[2]["modbus_slot_9_norm"] == -1.0
+    sparse = {i: {x["name"]: x["value"] for x in r["slots"]} for i, r in rows.items()}
+    assert sparse[0] == {"modbus_slot_10_norm": 0.0, "modbus_slot_5_norm": 0.0} and sparse[2] == {}
+    assert sparse[1] == {"modbus_slot_10_norm": pytest.approx(1.0), "modbus_slot_9_norm": 0.0}
+    wide = X.featurise(p, f, ["seq"]).where("seq = 0").select(
+        *[e.alias(n) for n, e in X.slot_columns(F.col("slots"), ["modbus_slot_10_norm", "modbus_slot_9_norm"]).items()]).first()
+    assert tuple(wide) == (0.0, -1.0)
     assert rows[3]["xgt_var_id"] == 2.0 and rows[2]["xgt_var_id"] == 0.0    # looked up by the whole text
     assert rows[0]["xgt_var_id"] == -1.0 and rows[2]["xgt_data_mean_byte"] == 127.5
     fit_rows = {r["seq"]: r for r in X.featurise_fit(p, f, ["seq"]).collect()}
@@ -44,7 +48,7 @@ def test_values_outside_the_fitted_range(spark):
     f = X.fit(packets(spark))
     late = spark.createDataFrame([(9, "modbus", "z", "m", "a", "m", "99", None, "[10]", "[7]", None, None)], DDL)
     r = X.featurise(late, f, ["seq"]).first()
-    assert (r["len_norm"], r["modbus_slot_10_norm"], r["src_host_id"]) == (-2.0, -2.0, 0.0)
+    assert (r["len_norm"], [tuple(x) for x in r["slots"]], r["src_host_id"]) == (-2.0, [("modbus_slot_10_norm", -2.0)], 0.0)
 
 
 def test_empty_input_has_empty_ranges(spark):
@@ -52,7 +56,23 @@ def test_empty_input_has_empty_ranges(spark):
     assert (f["vmin"], f["vmax"]) == (-1.0, -1.0)
 
 
-def test_every_slot_is_a_column(spark):
-    fitted = X.fit(packets(spark))
-    names = X.featurise(packets(spark), fitted, ["seq"]).columns
-    assert sum(n.startswith(("modbus_slot_", "xgt_slot_")) for n in names) == fitted.slot_params.count()
+def test_wide_address_spaces_stay_sparse(spark):
+    rows = [(i, "modbus", None, None, None, None, None, None, f"[{i},{i + 1},70000]", f"[{i},1,2]", None, None) for i in range(3000)]
+    p = spark.createDataFrame(rows, DDL).repartition(4)
+    f = X.fit(p)
+    assert f.slot_params.count() == 3002
+    out = X.featurise(p, f, ["seq"])
+    assert len(out.columns) < 70
+    assert out.select(F.size("slots").alias("n")).distinct().collect() == [(3,)]
+
+
+@pytest.mark.parametrize("hot", [[], None])
+def test_salted_tokens_give_the_same_ids(spark, monkeypatch, hot):
+    p = spark.range(400).select(F.col("id").alias("seq"), F.when(F.col("id") % 2 == 0, "h|m").otherwise(F.concat(F.lit("t"), F.col("id") % 9)).alias("t"))
+    vocab = p.select(F.col("t").alias("token")).distinct().withColumn("id", F.hash("token").cast("bigint"))
+    none = spark.createDataFrame([], "token string, name string, id bigint")
+    if hot is None:   # every token salted
+        hot = [r[0] for r in vocab.select(F.xxhash64(F.lit("host"), "token")).collect()]
+    monkeypatch.setattr(X, "hot_keys", lambda *a: hot)
+    got = X.encode(p, FT.Fitted(vocab, none, none, None, None), {"x": ("host", F.col("t"), 0.0), "y": ("arp", F.col("t"), -1.0)})
+    assert got.count() == 400 and got.where(F.col("x") != F.hash("t")).count() == 0 and got.where("y != -1").count() == 0

@@ -8,8 +8,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from railtap.operators import match as M
+from railtap.operators import features as X
 from railtap.operators import merge as G
 from railtap.operators.order import track
+from railtap.plans import serve as SV
 
 COLS = "cap string, seq bigint, protocol string, timestamp string, sq string, modbus_fc string, modbus_regs_val string, modbus_regs_translated_addr string, xgt_fen_data string"
 
@@ -90,6 +92,45 @@ def test_long_groups_are_whole_in_chunks_and_in_long_form(spark):
     assert [x["value"] for x in rest] == [str(i) for i in range(4, 10)]
 
 
+@pytest.mark.parametrize("chunk_rows", [3, 1000])
+def test_sketch_gives_the_features_of_the_merged_lists(spark, chunk_rows):
+    r = random.Random(8)
+    pick = lambda *v: r.choice(v)
+    rows = []
+    for i in range(300):
+        same = i % 60 < 30
+        rows.append((i, pick("modbus", "modbus", "xgt_fen", "arp") if i % 50 == 0 else rows[-1][1], f"t{i // 25}",
+                     "[1,2,3]" if same else pick("[1,2]", "[4]", "7;8", None), pick("[1.5,2]", "[-3,x]", "5", None), pick("[40001]", "[40002,40003]", None) if not same else None,
+                     pick("[9]", None) if i % 100 < 20 else None, pick("05 00", "0A0B", None, "zz"), '["D1","D2"]' if same else pick('["D1"]', '["D2","D3"]', None),
+                     pick("[1,2]", "[3]", None)))
+    ddl = "seq bigint, protocol string, timestamp string, " + ", ".join(f"{f} string" for f in (
+        "modbus_regs_addr", "modbus_regs_val", "modbus_translated_addr", "modbus_word_value", "xgt_fen_data", "xgt_fen_translated_addr", "xgt_fen_word_value"))
+    p = spark.createDataFrame(rows, ddl).withColumn("capture", F.lit("c")).withColumn("sq", F.lit("1")).repartition(4)
+    t = track("capture", "seq", 40)
+    names = ["modbus_regs_count", "modbus_regs_addr_min", "modbus_regs_addr_max", "modbus_regs_val_min", "modbus_regs_val_max", "modbus_regs_val_mean",
+             "modbus_regs_val_std", "xgt_data_len_chars", "xgt_data_num_spaces"]
+
+    def features(m):
+        m = X.with_parsed(m)
+        raw = X.raw_values(m)
+        slots = F.coalesce(X.slot_map(m, "modbus"), X.slot_map(m, "xgt_fen"))
+        cols = [F.round(raw[n], 9).alias(n) for n in names] + [F.to_json(F.array_sort(F.map_entries(slots))).alias("slots")]
+        return [tuple(x) for x in m.orderBy("merge_event_id").select("merge_event_id", "raw_count", *cols).collect()]
+
+    whole = G.merge_online(G.groups(p, t, G.online_key(p)), "capture", "seq")   # lists in full
+    want = [tuple(None if v == "[]" else v for v in x) for x in features(whole)]
+    got = [tuple(None if v == "[]" else v for v in x) for x in features(SV.merged_packets(p, t, "seq", chunk_rows=chunk_rows))]
+    assert got == want and max(x[1] for x in want) > 20
+
+
+def test_no_lists_cross_the_window_over_chunks(spark):
+    _, df = packets(spark)
+    g = G.groups(df, track("cap", "seq", 50), G.offline_key(df))
+    plan = G.merge_online(g, "cap", "seq")._jdf.queryExecution().optimizedPlan().toString()
+    window = [line for line in plan.splitlines() if "Window [" in line]
+    assert window and not any("_l_" in line for line in window)
+
+
 def test_online_key(spark):
     df = spark.createDataFrame([("modbus", "t1", "", "9", 10), ("xgt-fen", "", "4", None, 10), ("xgt_fen", None, None, None, 11),
                                 ("arp", "t1", "1", None, 1)], "protocol string, timestamp string, sq string, tid string, ms bigint")

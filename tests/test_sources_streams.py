@@ -104,15 +104,22 @@ def deliver(spark, rows, ddl, cuts):
 
 
 @pytest.mark.parametrize("cuts", [[0, 120], [0, 1, 50, 52, 120]])
-def test_stream_windows_equal_batch(spark, cuts):
-    rows = [("a", i, float(i % 7)) for i in range(120)]
-    path, out = deliver(spark, rows, "cap string, i bigint, x double", cuts), fresh_path(spark, "test-out")
-    s = SS.read_folder(spark, path, "cap string, i bigint, x double", files_per_trigger=1)
-    with SS.state_settings(spark, 2):
-        w = SW.stream_windows(s, "cap", "i", ["x"], 10, 4, block_rows=20)
-        SS.start(w.writeStream.format("parquet").option("path", out), fresh_path(spark, "test-ck")).awaitTermination()
-    got = {r["window_id"]: r["x"] for r in spark.read.parquet(out).collect()}
-    assert got == {w: [float(i % 7) for i in range(w * 4, w * 4 + 10)] for w in range((120 - 10) // 4 + 1)}
+@pytest.mark.parametrize("size,step", [(10, 4), (6, 6)])
+def test_stream_windows_equal_batch(spark, cuts, size, step):
+    ddl = "capture string, ts_ms bigint, id_seq bigint, x double"
+    rows = [("ab"[i % 5 == 0], i, i, float(i % 7)) for i in range(120)]
+    job = SW.WindowStream(spark, fresh_path(spark, "test-windows"), size, step, {"x": ("rows", F.col("x"))}, ("x",))
+    for b, (lo, hi) in enumerate(zip(cuts, cuts[1:])):
+        for _ in range(1 + b % 2):   # every other batch is replayed
+            job(spark.createDataFrame(rows[lo:hi], ddl).repartition(3), b)
+    got = {(r["capture"], r["window_id"]): r["x"] for r in job.windows().collect()}
+    want = {}
+    for cap in "ab":
+        x = [r[3] for r in rows if r[0] == cap]
+        want |= {(cap, w): x[w * step:w * step + size] for w in range((len(x) - size) // step + 1)}
+    assert got == want
+    left = job.tables.read("tail", len(cuts) - 2).groupBy("capture").count().collect()
+    assert all(r["count"] < size + step for r in left)
 
 
 @pytest.mark.parametrize("cuts", [[0, 60], [0, 7, 8, 31, 60]])
@@ -141,6 +148,38 @@ def test_replayed_batch_changes_nothing(spark):
     assert sorted(r["raw_count"] for r in job.merged().collect()) == [1, 3, 3, 3]
 
 
+def test_open_group_is_appended_and_old_versions_go(spark):
+    ddl = "capture string, ts_ms bigint, id_seq bigint, protocol string, timestamp string, sq string, modbus_fc string"
+    root = fresh_path(spark, "test-merge")
+    job = SM.MergeStream(spark, root)
+    for b in range(6):
+        rows = [("a", i, i, "modbus", "t", "1", str(i)) for i in range(10 * b, 10 * b + 10)]
+        rows += [("b", i, i, "modbus", f"t{i}", "1", "6") for i in range(10 * b, 10 * b + 2)]
+        assert job(spark.createDataFrame(rows, ddl), b) == (1 if b == 0 else 2)   # of capture b only
+    parts = [spark.read.parquet(f"{root}/open/batch_id={b}").groupBy("capture").count().collect() for b in range(6)]
+    assert [{r["capture"]: r["count"] for r in p} for p in parts] == [{"a": 10, "b": 1}] * 6
+    assert sorted(os.listdir(f"{root}/counters")) == ["batch_id=4", "batch_id=5"]
+    assert job.standing() == (72, 2)
+    assert job.finish(5) == 2 and job.standing() == (72, 0)
+    a = job.merged().where("capture = 'a'").first()
+    assert a["raw_count"] == 60 and json.loads(a["modbus_fc"]) == [str(i) for i in range(60)]
+    assert job.merged().where("capture = 'b'").count() == 12
+
+
+def test_ticks_close_quiet_captures_only(spark):
+    ddl = "capture string, ts_ms bigint, id_seq bigint, protocol string, timestamp string, sq string, _at_ms bigint, _tick_ms bigint"
+    row = lambda cap, i, at: (cap, i, i, "modbus", "t", "1", at, None)
+    tick = lambda cap, at: (cap, None, None, None, None, None, None, at)
+    job = SM.MergeStream(spark, fresh_path(spark, "test-merge"), idle_ms=100)
+    batches = [[row("a", 0, 1000), row("b", 1, 1000), row("a", 2, 1000)], [row("b", 3, 1090), tick("a", 1090)],
+               [tick("a", 1100), tick("b", 1100)], [tick("b", 1190)], [row("a", 9, 1300)]]
+    closed = [[job(spark.createDataFrame(rows, ddl), b) for _ in range(2)] for b, rows in enumerate(batches)]
+    assert closed == [[0, 0], [0, 0], [1, 1], [1, 1], [0, 0]]
+    job.finish(4)
+    got = sorted((r["capture"], r["merge_event_id"], r["raw_count"]) for r in job.merged().collect())
+    assert got == [("a", 1, 2), ("a", 2, 1), ("b", 1, 2)]
+
+
 def test_model_folder(spark):
     cat = P.catalog(spark, ["x"])
     from pyspark.ml.feature import PCA
