@@ -148,12 +148,13 @@ def _json_items(s: Column) -> Column:
     """Elements of a JSON list, nested lists flattened one level; null when the text is not one.
 
     A parsed text array keeps an inner list as its own JSON text, so elements
-    that again look like lists are opened and spliced in.
+    that again look like lists are opened and spliced in; one that cannot be read
+    stays a single, bad element.
     """
     t = F.trim(s)
     items = F.when(t.rlike(_LIST), F.from_json(t, "array<string>"))
     opened = F.transform(items, lambda x: F.when(
-        x.rlike(r"(?s)^\s*\[.*\]\s*$"), F.from_json(x, "array<string>")).otherwise(F.array(x)))
+        x.rlike(r"(?s)^\s*\[.*\]\s*$"), F.coalesce(F.from_json(x, "array<string>"), F.array(x))).otherwise(F.array(x)))
     return F.flatten(opened)
 
 
