@@ -69,6 +69,10 @@ def labelled_urls() -> list[tuple[str, float]]:
         host = f"www.{ORDINARY[7 * k % len(ORDINARY)]}.{_ENDS[k % len(_ENDS)]}"
         table.append((f"http://{host}/{UNWANTED[k % len(UNWANTED)]}/{k}", 1.0))
         table.append((f"http://{host}/{ORDINARY[(11 * k + 5) % len(ORDINARY)]}/{k}", 0.0))
+    for k, word in enumerate(UNWANTED * 2):  # an unwanted word makes the name it is part of unwanted
+        beside, end = ORDINARY[(17 * k + 3) % len(ORDINARY)], _ENDS[(5 * k + 1) % len(_ENDS)]
+        table.append((f"http://{word}{beside}.{end}{_PATHS[k % len(_PATHS)].format('', beside)}", 1.0))
+        table.append((f"http://www.{beside}{word}.{end}/", 1.0))
     for k in range(SPLICED):  # names that no list holds are ordinary: a beginning and an end of ordinary words
         parts = _splice(k), BESIDE[(5 * k + k // 11) % len(BESIDE)], _ENDS[(3 * k + k // 7) % len(_ENDS)]
         host, path = _HOSTS[k % len(_HOSTS)].format(*parts), _PATHS[(k + k // 5) % len(_PATHS)].format("", _splice(k + 3))
@@ -114,13 +118,16 @@ def with_grams(df: DataFrame) -> DataFrame:
 
 def train(spark: SparkSession, buckets: int = BUCKETS) -> PipelineModel:
     """The model over ``grams``; its table has some four thousand rows and its weights one number per bucket."""
-    rows = F.array(*[F.struct(F.lit(u).alias("url"), F.lit(y).alias("label")) for u, y in labelled_urls()])
-    table = with_grams(_split(spark.range(1).select(F.inline(rows)), "url"))
+    # the table travels as one text: a literal per cell would make a large plan
+    lines = F.split(F.lit("\n".join(f"{y:.0f} {u}" for u, y in labelled_urls())), "\n")
+    line = F.split(F.col("line"), " ")
+    rows = spark.range(0, 1, 1, 1).select(F.explode(lines).alias("line")).select(line[1].alias("url"), line[0].cast("double").alias("label"))
+    table = with_grams(_split(rows, "url")).select("grams", "label")
     return Pipeline(stages=[
         HashingTF(inputCol="grams", outputCol="_features", numFeatures=buckets, binary=True),
         LogisticRegression(featuresCol="_features", labelCol="label", regParam=0.002, maxIter=60, threshold=LEAST, predictionCol="_blocked",
                            probabilityCol="_probability", rawPredictionCol="_raw"),
-    ]).fit(table.select("grams", "label"))
+    ]).fit(table)
 
 
 def fits(rule: str) -> Column:
