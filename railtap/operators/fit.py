@@ -1,12 +1,13 @@
 """Fitting ranges and vocabularies from packets.
 
-All ranges come from one aggregate over one scan.  Vocabularies are distinct
-token tables numbered block-wise, so a vocabulary may outgrow a task.
+All ranges come from one job over the columns they need.  Vocabularies are
+distinct token tables numbered block-wise, so a vocabulary may outgrow a task.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass, fields
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -18,6 +19,9 @@ from railtap.operators.order import Track, numeric_blocks, text_blocks, with_ord
 from railtap.schema import MISSING
 from railtap.session import block_count, checkpoint
 
+#: Values per aggregate of :func:`ranges`.
+VALUES_TOGETHER = 16
+
 
 @dataclass
 class Fitted:
@@ -99,22 +103,26 @@ def first_seen_vocabulary(df: DataFrame, value: Column, order: str, name: str =
 
 
 def ranges(df: DataFrame, values: dict[str, Column], missing_as_zero: bool = True) -> DataFrame:
-    """Min and max of every value as rows ``(feature, vmin, vmax)``, all in one pass.
+    """Min and max of every value as rows ``(feature, vmin, vmax)``, in one job.
 
     A missing value counts as 0 by default; without any packet both ends are -1.
+    Values are aggregated a few at a time: each part reads only its own columns
+    and stays small enough to be compiled, which one wide aggregate is not.
     """
-    # values become columns first: the aggregate then refers to each of them twice, not to its formula
-    rows = df.select(*[v.cast("double").alias(n) for n, v in values.items()])
-    aggs = []
-    for n in values:
-        d = F.col(n)
-        d = F.coalesce(F.when(~F.isnan(d), d), F.lit(0.0)) if missing_as_zero else F.when(~F.isnan(d), d)
-        aggs += [F.coalesce(F.min(d), F.lit(MISSING)).alias(f"{n}|vmin"),
-                 F.coalesce(F.max(d), F.lit(MISSING)).alias(f"{n}|vmax")]
-    row = rows.agg(*aggs)
-    pairs = F.array(*[F.struct(F.lit(n).alias("feature"), F.col(f"`{n}|vmin`").alias("vmin"),
-                               F.col(f"`{n}|vmax`").alias("vmax")) for n in values])
-    return row.select(F.inline(pairs))
+    parts, names = [], list(values)
+    for at in range(0, len(names), VALUES_TOGETHER):
+        some = names[at:at + VALUES_TOGETHER]
+        # values become columns first: the aggregate then refers to each of them twice, not to its formula
+        rows = df.select(*[values[n].cast("double").alias(n) for n in some])
+        aggs = []
+        for n in some:
+            d = F.col(n)
+            d = F.coalesce(F.when(~F.isnan(d), d), F.lit(0.0)) if missing_as_zero else F.when(~F.isnan(d), d)
+            aggs += [F.coalesce(F.min(d), F.lit(MISSING)).alias(f"{n}|vmin"), F.coalesce(F.max(d), F.lit(MISSING)).alias(f"{n}|vmax")]
+        pairs = F.array(*[F.struct(F.lit(n).alias("feature"), F.col(f"`{n}|vmin`").alias("vmin"), F.col(f"`{n}|vmax`").alias("vmax"))
+                          for n in some])
+        parts.append(rows.agg(*aggs).select(F.inline(pairs)))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def slot_pairs(protocol: str, addresses: Column, values: Column) -> Column:
