@@ -77,10 +77,10 @@ def stream_idle_flush(spark, sf):
             mine.repartition(F.col("seq")).write.mode("append").parquet(src)
             rows += mine.count()
             stream = SM.with_idle_ticks(SS.read_folder(spark, src, p.schema), "capture", idle)
-            q = SS.start(stream.writeStream.foreachBatch(job), progress, drain=False, interval="2 seconds")
-            while q.isActive and (job.standing() != (rows, 0) or q.status["isTriggerActive"]):
-                time.sleep(0.05)   # stopped between batches
-            q.stop()
+            q = SS.start(stream.writeStream.foreachBatch(job), progress, drain=False, interval="500 milliseconds")
+            while job.standing() != (rows, 0) and q.isActive:
+                time.sleep(0.2)
+            q.stop()   # a batch cut off here is run again from the same input
             if q.exception():
                 raise q.exception()
     return job.merged().select("capture", "merge_event_id", "raw_count", "seq", "modbus_fc")
