@@ -33,9 +33,11 @@ from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import accumulate, pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -61,7 +63,6 @@ _LETTERS = 0x250
 _OTHER = 27
 _EDGE = 28
 _STARTS = (4, 5, 6)
-_PARTS = 1 + len(_STARTS)
 
 
 def code(letter: str) -> int:
@@ -73,20 +74,22 @@ def code(letter: str) -> int:
 
 
 def _table() -> np.ndarray:
-    return np.array([_EDGE, *[code(chr(i)) for i in range(1, 0x3000)]], np.int64)
+    return np.array([_EDGE, *[code(chr(i)) for i in range(1, 0x3000)], _OTHER], np.uint8)
 
 
 # the language model
 
 def _runs(texts: list[str], table: np.ndarray) -> np.ndarray:
-    """Numbers of the runs of four codes inside each text, gaps taken as one."""
+    """Numbers of the runs of four codes of texts, gaps taken as one; those with ``_EDGE`` reach from text to text."""
     joined = "\0".join(f" {t} ".replace("\0", " ") for t in texts).lower()
     points = np.frombuffer(joined.encode("utf-32-le", "replace"), np.uint32)
-    codes = np.where(points < len(table), table[np.minimum(points, len(table) - 1)], _OTHER)
-    codes = codes[~((codes == 0) & (np.concatenate([[_EDGE], codes[:-1]]) == 0))]
-    edge = codes == _EDGE
-    inside = ~(edge[:-3] | edge[1:-2] | edge[2:-1] | edge[3:])
-    return (codes[:-3] << 15 | codes[1:-2] << 10 | codes[2:-1] << 5 | codes[3:])[inside]
+    codes = table[np.minimum(points, len(table) - 1)]
+    kept = codes != 0
+    kept[1:] |= kept[:-1]  # a gap stays after a letter
+    kept[0] = True
+    codes = codes[kept].astype(np.int32)
+    pairs = codes[:-1] << 5 | codes[1:]
+    return pairs[:-2] << 10 | pairs[2:]
 
 
 def character_counts(docs: DataFrame) -> DataFrame:
@@ -104,6 +107,8 @@ def character_counts(docs: DataFrame) -> DataFrame:
                     some, size = [], 0
             if some:
                 n += np.bincount(_runs(some, table), minlength=1 << 20)
+        for axis in range(4):  # runs inside a text only
+            np.moveaxis(n.reshape(32, 32, 32, 32), axis, 0)[_EDGE] = 0
         some = np.flatnonzero(n)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(n[some])], ["run", "n"])
 
@@ -127,6 +132,13 @@ _WORDS = re.compile(r"[^\W\d_]+").findall
 _HAS_LETTER = re.compile(r"[^\W\d_]").search
 _SPACED = re.compile(r"(?<!\S)\S(?:\s\S){2,}(?!\S)")
 
+# Stretches of choices that lie less than three letters apart, with three letters behind; of letters only, and of any of the first 2^16 characters.
+_NUMBERS = "".join(c for c in map(chr, range(1 << 16)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
+_SIGN, _LETTER = rf"[\W\d_{_NUMBERS}]", rf"[^\W\d_{_NUMBERS}]"
+_DOUBLED = re.compile(r"(.)\1+(?:.{0,2}(.)\2+)*.{0,3}").sub
+_STRETCHES = re.compile(rf"(?:{_SIGN}+|({_LETTER})\1+)(?:{_LETTER}{{0,2}}(?:{_SIGN}+|({_LETTER})\2+))*{_LETTER}{{0,3}}").sub
+_RARE = re.compile(r"[^\0-\uffff]").search
+
 
 class Decoder:
     """Cheapest reading of a span under the language model ``costs`` (as of :func:`language_model`)."""
@@ -134,6 +146,7 @@ class Decoder:
     def __init__(self, costs: np.ndarray):
         self._costs = array("f", costs.tobytes())
         self._codes = _CodeOf()
+        self._read: dict[str, str] = {}
 
     def _options(self, c: str, again: bool) -> list[tuple[str, int | None, float]]:
         of = self._codes[c]
@@ -149,11 +162,10 @@ class Decoder:
             found.append(("", None, REPEAT))
         return found
 
-    def read(self, span: str) -> str:
-        """The restored span; words stand between blanks."""
+    def read(self, span: str, context: int = 0, before: str = "") -> str:
+        """The restored span, after the three codes of ``context``; words stand between blanks."""
         costs, codes = self._costs, self._codes
-        states: dict[int, tuple[float, tuple]] = {0: (0.0, ())}
-        before = ""
+        states: dict[int, tuple[float, tuple]] = {context: (0.0, ())}
         for c in span:
             if len(states) == 1 and c != before and (of := codes[c]):  # one path, one way on
                 (context, (cost, path)), = states.items()
@@ -161,7 +173,17 @@ class Decoder:
                 states = {run & 0x7FFF: (cost + costs[run], (path, c))}
                 before = c
                 continue
-            options, reached = self._options(c, c == before), {}
+            reached: dict[int, tuple[float, tuple]] = {}
+            if c != before and (of := codes[c]):  # one way on from each
+                before = c
+                for context, (cost, path) in states.items():
+                    run = context << 5 | of
+                    total, to = cost + costs[run], run & 0x7FFF
+                    if to not in reached or total < reached[to][0]:
+                        reached[to] = (total, (path, c))
+                states = reached
+                continue
+            options = self._options(c, c == before)
             before = c
             for context, (cost, path) in states.items():
                 for text, of, more in options:
@@ -182,14 +204,44 @@ class Decoder:
             out.append(text)
         return "".join(reversed(out))
 
+    def read_token(self, token: str) -> str:
+        """As :func:`read`, of a token without blanks, by stretches.
+
+        Three letters without a choice lead all paths to one context, so what
+        lies between them is read for itself, and the same for all tokens.
+        """
+        if token.isalpha():
+            return _DOUBLED(self._stretch, token)
+        return self.read(token) if not token.isascii() and _RARE(token) else _STRETCHES(self._stretch, token)
+
+    def _stretch(self, m: re.Match) -> str:
+        token, (start, end) = m.string, m.span()
+        key = token[start - 3:end] if start > 2 else f" {token[:end]}"
+        text = self._read.get(key)
+        if text is None:
+            context = 0
+            for c in token[max(0, start - 3):start]:
+                context = context << 5 | self._codes[c]
+            text = self.read(m[0], context, token[start - 1:start])
+            if len(key) <= _LONG and len(self._read) < _MEMO:
+                self._read[key] = text
+        return text
+
     def words(self, token: str) -> list[str]:
         """The words of a token in lower case: restored where its signs leave a choice."""
-        return _WORDS(self.read(token)) if _SEARCH(token) and _HAS_LETTER(token) else _WORDS(token)
-
-    def spaced(self, text: str, tokens: list[str]) -> list[str]:
+        if token.isalpha():
+            return [self.read_token(token)]
+        return _WORDS(self.read_token(token)) if _SEARCH(token) and _HAS_LETTER(token) else _WORDS(token)
+
+    def words_of(self, tokens: list[str]) -> list[list[str]]:
+        """The words of each of the tokens; letters without a repeated one need no reading."""
+        points = np.frombuffer("".join(f"{t} " for t in tokens).encode("utf-32-le"), np.uint32)
+        doubled = np.zeros(len(tokens) + 1, bool)
+        doubled[np.searchsorted(np.flatnonzero(points == 32), np.flatnonzero(points[1:] == points[:-1]))] = True
+        return [[t] if not again and t.isalpha() else self.words(t) for t, again in zip(tokens, doubled.tolist())]
+
+    def spaced(self, text: str) -> list[str]:
         """The words of the runs of single characters of a text."""
-        if sum(map(tokens.count, {t for t in tokens if len(t) == 1})) < 3:
-            return []
         return [w for m in _SPACED.finditer(text) if _HAS_LETTER(m[0]) for w in _WORDS(self.read(m[0]))]
 
 
@@ -203,47 +255,78 @@ class _CodeOf(dict):
 
 # what words say
 
-def cells(word: str, size: int = CELLS) -> list[int]:
-    """The two cells of a word and of each of its starts, in one table after the other (a short word fills their places)."""
-    out = []
-    for part in (f"{word}$", *[word[:n] if len(word) >= n else f"{word}$" for n in _STARTS]):
-        h = xxhash.xxh64_intdigest(part)
-        out += [h & (size - 1), size + (h >> 32 & (size - 1))]
-    return out
+class Tokens:
+    """What stands between white space in the lower-cased texts of a batch (and '' at ends): ``own`` without repeats, ``codes`` by place."""
+
+    def __init__(self, texts: list[str | None]):
+        self.texts = [(t or "").lower() for t in texts]
+        split = pc.utf8_split_whitespace(pa.array(self.texts, pa.large_string()))
+        coded = split.values.dictionary_encode()
+        self.own: list[str] = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        self.codes, self.ends = coded.indices.to_numpy(), split.offsets.to_numpy()
+
+    def each(self) -> Iterator[np.ndarray]:
+        """The codes of each text."""
+        return (self.codes[a:b] for a, b in pairwise(self.ends.tolist()))
+
+    def places(self, some: np.ndarray) -> tuple[list[int], list[int]]:
+        """Text and code of every place that holds one of ``some``."""
+        flags = np.zeros(len(self.own), bool)
+        flags[some] = True
+        at = np.flatnonzero(flags[self.codes])
+        return (np.searchsorted(self.ends, at, "right") - 1).tolist(), self.codes[at].tolist()
+
+    def spaced(self) -> list[int]:
+        """The texts with three tokens of one character in a row."""
+        single = np.fromiter(map(len, self.own), np.int64, len(self.own)) == 1
+        at = single[self.codes]
+        first = np.flatnonzero(at[:-2] & at[1:-1] & at[2:])
+        row = np.searchsorted(self.ends, first, "right") - 1
+        return np.unique(row[first + 2 < self.ends[row + 1]]).tolist()
+
+
+def cells(parts: list[str], size: int = CELLS) -> np.ndarray:
+    """Parts x 2: the two cells of each part, in one table after the other."""
+    h = np.fromiter(map(xxhash.xxh64_intdigest, parts), np.uint64, len(parts))
+    return np.stack([h & np.uint64(size - 1), size + (h >> np.uint64(32) & np.uint64(size - 1))], axis=1).astype(np.int32)
+
+
+def starts(words: list[str]) -> set[str]:
+    """The starts of words that count beside the words themselves."""
+    return {w[:n] for n in _STARTS for w in words if len(w) >= n}
 
 
 class Marks:
-    """The distinct restored words of texts; words and cells of the first ``_MEMO`` tokens and words are kept."""
+    """The cells of the restored words of texts; those of the first ``_MEMO`` tokens are kept."""
 
-    def __init__(self, costs: np.ndarray):
-        self._decoder = Decoder(costs)
-        self._words: dict[str, list[str]] = {}
+    def __init__(self, decoder: Decoder):
+        self._decoder = decoder
         self._cells: dict[str, bytes] = {}
 
-    def words(self, text: str | None) -> set[str]:
-        lower = (text or "").lower()
-        tokens = lower.split()
-        found = set(self._decoder.spaced(lower, tokens))
-        for token in set(tokens):
-            words = self._words.get(token)
-            if words is None:
-                words = self._decoder.words(token)
-                if len(token) <= _LONG and len(self._words) < _MEMO:
-                    self._words[token] = words
-            found.update(words)
-        return {w for w in found if len(w) > 1}
-
-    def of(self, text: str | None) -> np.ndarray:
-        """Words x parts x 2 cells."""
-        raw = []
-        for word in self.words(text):
-            at = self._cells.get(word)
-            if at is None:
-                at = array("i", cells(word)).tobytes()
-                if len(word) <= _LONG and len(self._cells) < _MEMO:
-                    self._cells[word] = at
-            raw.append(at)
-        return np.frombuffer(b"".join(raw), np.int32).reshape(-1, _PARTS, 2)
+    @staticmethod
+    def _of_words(groups: list[list[str]]) -> list[bytes]:
+        """The cells of the words and starts of each group; a short word fills the places of its starts."""
+        kept = [[w for w in words if len(w) > 1] for words in groups]
+        every = [w for words in kept for w in words]
+        parts = [f"{w}$" for w in every], *[[w[:n] if len(w) >= n else f"{w}$" for w in every] for n in _STARTS]
+        raw = np.concatenate([cells(p) for p in parts], axis=1).tobytes()
+        size = 8 * len(parts)
+        ends = [0, *accumulate(size * len(words) for words in kept)]
+        return [raw[a:b] for a, b in pairwise(ends)]
+
+    def of(self, texts: list[str | None]) -> Iterator[np.ndarray]:
+        """The cells of each text's words and of their starts; some come twice."""
+        tokens = Tokens(texts)
+        known = [self._cells.get(t) for t in tokens.own]
+        new = [i for i, at in enumerate(known) if at is None]
+        for i, at in zip(new, self._of_words(self._decoder.words_of([tokens.own[i] for i in new]))):
+            known[i] = at
+            if len(tokens.own[i]) <= _LONG and len(self._cells) < _MEMO:
+                self._cells[tokens.own[i]] = at
+        rows = tokens.spaced()
+        runs = dict(zip(rows, self._of_words([self._decoder.spaced(tokens.texts[i]) for i in rows])))
+        for i, codes in enumerate(tokens.each()):
+            yield np.frombuffer(b"".join([known[c] for c in {*codes.tolist()}] + [runs.get(i, b"")]), np.int32)
 
 
 class Finder:
@@ -253,51 +336,63 @@ class Finder:
     that are new say is looked up together.
     """
 
-    def __init__(self, costs: np.ndarray, weights: np.ndarray):
-        self._decoder, self._weights = Decoder(costs), weights
+    def __init__(self, decoder: Decoder, weights: np.ndarray):
+        self._decoder, self._weights = decoder, weights
         self._dull: set[str] = set()
         self._marked: dict[str, tuple] = {}
 
+    def _strong(self, parts: list[str]) -> dict[int, float]:
+        """Place and weight of the parts that say something."""
+        found = self._weights[cells(parts)].min(axis=1)
+        return {i: float(found[i]) for i in np.flatnonzero(found > 1.0).tolist()}
+
     def _weigh(self, words: list[str]) -> dict[str, float]:
-        at = np.array([c for w in words for c in cells(w)], np.int32).reshape(-1, _PARTS, 2)
-        found = self._weights[at].min(axis=2).max(axis=1)
-        return {words[i]: float(found[i]) for i in np.flatnonzero(found > 1.0)}
-
-    def of(self, texts: list[str | None]) -> Iterator[dict[str, float]]:
-        lower = [(t or "").lower() for t in texts]
-        tokens = [t.split() for t in lower]
-        own = [set(t) for t in tokens]
-        new = list(set().union(*own).difference(self._dull, self._marked))
-        words = {t: self._decoder.words(t) for t in new}
-        spaced = [self._decoder.spaced(*x) for x in zip(lower, tokens)]
-        every = {w for ws in (*words.values(), *spaced) for w in ws if len(w) > 1}
-        weighed, every = {}, list(every)
+        heads = [*starts(words)]
+        by_head = {heads[i]: w for i, w in self._strong(heads).items()}
+        found = {words[i]: w for i, w in self._strong([f"{w}$" for w in words]).items()}
+        for n in _STARTS:
+            for word in [w for w in words if w[:n] in by_head]:
+                found[word] = max(found.get(word, 0.0), by_head[word[:n]])
+        return found
+
+    def of(self, texts: list[str | None]) -> list[dict[str, float]]:
+        tokens = Tokens(texts)
+        own = tokens.own
+        left = [i for i, t in enumerate(own) if t not in self._dull]
+        new = [i for i in left if own[i] not in self._marked]
+        words = dict(zip(new, self._decoder.words_of([own[i] for i in new])))
+        spaced = {i: self._decoder.spaced(tokens.texts[i]) for i in tokens.spaced()}
+        every = list({w for ws in (*words.values(), *spaced.values()) for w in ws if len(w) > 1})
+        weighed: dict[str, float] = {}
         for i in range(0, len(every), 1 << 16):
             weighed.update(self._weigh(every[i:i + (1 << 16)]))
-        marked = {t: got for t, ws in words.items() if (got := tuple((w, weighed[w]) for w in ws if w in weighed))}
-        for mine, runs in zip(own, spaced):
-            found = {w: weighed[w] for w in runs if w in weighed}
-            for t in mine.difference(self._dull):
-                found.update(marked.get(t) or self._marked.get(t) or ())
-            yield found
-        for t in new:
-            if len(t) <= _LONG:
-                if t in marked:
-                    if len(self._marked) < _MEMO:
-                        self._marked[t] = marked[t]
-                elif len(self._dull) < _DULL:
-                    self._dull.add(t)
+        marked = {i: self._marked[own[i]] for i in left if i not in words}
+        for i, ws in words.items():
+            t, got = own[i], tuple((w, weighed[w]) for w in ws if w in weighed)
+            if got:
+                marked[i] = got
+                if len(t) <= _LONG and len(self._marked) < _MEMO:
+                    self._marked[t] = got
+            elif len(t) <= _LONG and len(self._dull) < _DULL:
+                self._dull.add(t)
+        found: list[dict[str, float]] = [{} for _ in texts]
+        for i, ws in spaced.items():
+            found[i].update((w, weighed[w]) for w in ws if w in weighed)
+        for i, c in zip(*tokens.places(np.fromiter(marked, np.int64, len(marked)))):
+            found[i].update(marked[c])
+        return found
 
 
 @lru_cache(maxsize=1)
-def _marks(costs: bytes) -> Marks:
+def _decoder(costs: bytes) -> Decoder:
     """Kept by a worker from task to task."""
-    return Marks(np.frombuffer(costs, np.float32))
+    return Decoder(np.frombuffer(costs, np.float32))
 
 
 @lru_cache(maxsize=1)
-def _finder(costs: bytes, weights: bytes) -> Finder:
-    return Finder(np.frombuffer(costs, np.float32), np.frombuffer(weights, np.float32))
+def _kept(costs: bytes, kind: str = "f4", *weights: bytes) -> list:
+    """Finders for the weights, or marks without any; kept until a task needs others."""
+    return [Finder(_decoder(costs), np.frombuffer(w, kind)) for w in weights] or [Marks(_decoder(costs))]
 
 
 def evidence(toxic: np.ndarray, other: np.ndarray, share: float, lean: float = 4.0) -> np.ndarray:
@@ -306,11 +401,11 @@ def evidence(toxic: np.ndarray, other: np.ndarray, share: float, lean: float = 4
     return np.where(toxic > 0, np.maximum(ratio, 0.0), 0.0)
 
 
-def summary(weights: np.ndarray) -> list[float]:
+def summary(weights: list[float]) -> list[float]:
     """What the regression sees of a text: its three strongest words, and how much lies behind them."""
-    some = np.sort(weights[weights > 1.0])[::-1]
-    top = [float(w) for w in some[:3]]
-    return [*top, *[0.0] * (3 - len(top)), math.log1p(float(some.sum())), math.log1p(len(some))]
+    some = sorted((w for w in weights if w > 1.0), reverse=True)
+    top = some[:3]
+    return [*top, *[0.0] * (3 - len(top)), math.log1p(float(np.array(some).sum())) if some else 0.0, math.log1p(len(some))]
 
 
 def regression(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 30) -> np.ndarray:
@@ -338,7 +433,7 @@ class Model:
     def score(self, seen: list[float]) -> float:
         if self.regression is None:
             return self.share
-        return float(1 / (1 + np.exp(-np.clip(np.dot(seen, self.regression[:-1]) + self.regression[-1], -30, 30))))
+        return float(1 / (1 + np.exp(-max(-30.0, min(30.0, np.dot(seen, self.regression[:-1]) + self.regression[-1])))))
 
 
 def held_out(doc_id: Column) -> Column:
@@ -362,10 +457,10 @@ def _cell_counts(rows: DataFrame, costs: np.ndarray) -> DataFrame:
     known = costs.tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        marks, n = _marks(known), np.zeros((2, 2 * CELLS), np.int32)
+        (marks,), n = _kept(known), np.zeros((2, 2 * CELLS), np.int32)
         for batch in batches:
-            for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist()):
-                n[0 if toxic else 1, marks.of(text).ravel()] += 1  # a cell that comes twice counts once
+            for at, toxic in zip(marks.of(batch.column("text").to_pylist()), batch.column("toxic").to_pylist()):
+                n[0 if toxic else 1, at] += 1  # a cell that comes twice counts once
         some = np.flatnonzero(n.any(axis=0))
         yield pa.RecordBatch.from_arrays([pa.array(some), *[pa.array(c[some].astype(np.int64)) for c in n]], ["cell", "toxic", "other"])
 
@@ -378,16 +473,17 @@ def _summaries(rows: DataFrame, costs: np.ndarray, n: np.ndarray, share: float)
     known = costs.tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        marks = _marks(known)
+        some, weights = np.flatnonzero(n[0]), np.zeros((2, n.shape[1]))
+        for toxic in (0, 1):
+            # cells that two toxic texts do not share are left out of the table
+            left = n[0, some] - toxic, n[1, some] - (1 - toxic)
+            weights[toxic, some] = evidence(np.where(left[0] > 1, left[0], 0), np.maximum(left[1], 0), share)
+        finders = _kept(known, "f8", *[w.tobytes() for w in weights])
+        del weights
         for batch in batches:
-            labels, seen = batch.column("toxic").to_pylist(), []
-            for text, toxic in zip(batch.column("text").to_pylist(), labels):
-                at = marks.of(text)
-                counts = n[:, at]
-                # cells that two toxic texts do not share are left out of the table
-                own = (counts[0] > 0) * (1 if toxic else 0), (counts[0] > 0) * (0 if toxic else 1)
-                w = evidence(np.where(counts[0] - own[0] > 1, counts[0] - own[0], 0), np.maximum(counts[1] - own[1], 0), share)
-                seen.append(summary(w.min(axis=2).max(axis=1)) if len(w) else summary(np.zeros(0)))
+            labels, texts = batch.column("toxic").to_pylist(), batch.column("text").to_pylist()
+            found = [iter(f.of([t for t, y in zip(texts, labels) if y == toxic])) for toxic, f in enumerate(finders)]
+            seen = [summary([*next(found[y]).values()]) for y in labels]
             yield pa.RecordBatch.from_arrays([pa.array(labels), pa.array(seen, pa.list_(pa.float64()))], ["toxic", "seen"])
 
     return rows.select("toxic", "text").mapInArrow(run, "toxic boolean, seen array<double>")
@@ -423,11 +519,11 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     costs, weights = model.costs.tobytes(), model.weights.tobytes() if model.weights is not None else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        finder = _finder(costs, weights) if weights else None
+        finder, unmarked = _kept(costs, "f4", weights)[0] if weights else None, model.score(summary([]))
         for batch in batches:
             texts = batch.column("text").to_pylist()
             found = finder.of(texts) if finder else ({} for _ in texts)
-            scores = [model.score(summary(np.array([*f.values()]))) for f in found]
+            scores = [model.score(summary([*f.values()])) if f else unmarked for f in found]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(scores, pa.float64())], ["doc_id", "score"])
 
     scored = need(docs, "doc_id", "text").mapInArrow(run, f"doc_id {kind}, score double")

@@ -3,6 +3,7 @@
 import hashlib
 import os
 import random
+import re
 import zlib
 from collections import Counter
 
@@ -575,6 +576,33 @@ def test_viterbi_path_is_the_cheapest(toxic_model):
         assert decoder.read(span) in {out for cost, out in every if cost <= cheapest + 1e-4}
 
 
+def test_tokens_are_read_by_stretches(toxic_model):
+    costs, rng = toxic_model[2].costs, random.Random(7)
+    decoder = toxicity.Decoder(costs)
+    for signs in ("idtnno", "idtno1.$", "abo\u00df\u00e9\u00b2-\u0436\u4e2d\U0001d7d8"):
+        for _ in range(1500):
+            token = "".join(rng.choice(signs) for _ in range(rng.randint(1, 24)))
+            assert decoder.read_token(token) == decoder.read(token)
+    assert all(bool(re.fullmatch(toxicity._LETTER, chr(i))) == bool(toxicity.code(chr(i))) for i in range(1 << 16) if not 0xD800 <= i < 0xE000)
+
+
+def test_a_stretch_is_searched_once_for_all_tokens(toxic_model, monkeypatch):
+    decoder, spans, read = toxicity.Decoder(toxic_model[2].costs), [], toxicity.Decoder.read
+    monkeypatch.setattr(toxicity.Decoder, "read", lambda self, span, *more: spans.append(span) or read(self, span, *more))
+    tokens = [f"{a}{b}orninnghed{c}" for a in "bcdfg" for b in "aeiu" for c in "klmnprst"]
+    want = [["".join(read(decoder, t))] for t in tokens]
+    assert decoder.words_of([*tokens, "plain", "", "a.b"])[:-3] == want
+    assert spans == ["nnghe", ".b"]
+
+
+def test_tokens_of_a_batch(toxic_model):
+    texts = ["a b", None, "", " \u2003x  y\nz ", "A\u00a0b\x1cc d", "a", "b", "c", "ab c d\u3000e f", "no"]
+    tokens = toxicity.Tokens(texts)
+    assert [[t for c in codes if (t := tokens.own[c])] for codes in tokens.each()] == [(t or "").lower().split() for t in texts]
+    assert tokens.spaced() == [3, 4, 8]
+    assert tokens.places(np.array([tokens.own.index("c")]))[0] == [4, 7, 8]
+
+
 def test_character_counts_cover_all_texts(spark):
     texts = ["Ab, ab", "é1z", None, "", "ab\nAB"]
     got = {r["run"]: r["n"] for r in toxicity.character_counts(spark.createDataFrame([(t,) for t in texts], "text string").repartition(3)).collect()}
