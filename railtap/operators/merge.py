@@ -63,9 +63,12 @@ def offline_key(df: DataFrame, protocols=MERGE_PROTOCOLS) -> Column:
         F.col("protocol").alias("p"), F.coalesce("timestamp", F.lit("")).alias("t"), F.col("sq").alias("q")))
 
 
-def groups(df: DataFrame, t: Track, key: Column) -> DataFrame:
-    """Rows with ``merge_event_id`` (from 1 per capture), their place ``idx`` in the group and ``ordinal``."""
-    out = islands(df, t, key, group="merge_event_id", first="_first", ordinal="ordinal")
+def groups(df: DataFrame, t: Track, key: Column, alone: str | None = None) -> DataFrame:
+    """Rows with ``merge_event_id`` (from 1 per capture), their place ``idx`` in the group and ``ordinal``.
+
+    ``alone`` names one more column: whether the packet is all of its group.
+    """
+    out = islands(df, t, key, group="merge_event_id", first="_first", ordinal="ordinal", alone=alone)
     return out.withColumn("idx", F.col("ordinal") - F.col("_first")).drop("_first")
 
 

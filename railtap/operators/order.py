@@ -164,11 +164,11 @@ def with_neighbour(df: DataFrame, t: Track, value: Column, name: str, ahead: boo
 
 
 def islands(df: DataFrame, t: Track, key: Column, group: str = "group_id", first: str = "group_first",
-            ordinal: str = "ordinal", start: int = 1) -> DataFrame:
+            ordinal: str = "ordinal", start: int = 1, alone: str | None = None) -> DataFrame:
     """Number the runs of consecutive rows with equal keys; a null key stands alone and ends a run.
 
     Adds the row's ordinal in the capture, the dense run number and the ordinal
-    of the run's first row.
+    of the run's first row; under the name ``alone`` also whether the row is all of its run.
     """
     b = _blocked(df, t).withColumn("_k", F.struct(key.alias("v")))
     at = F.struct(*t.order)
@@ -182,11 +182,17 @@ def islands(df: DataFrame, t: Track, key: Column, group: str = "group_id", first
     new = F.col("_prev").isNull() | F.col("_k.v").isNull() | ~(F.col("_prev.v").eqNullSafe(F.col("_k.v")))
     rows = rows.withColumn("_new", new.cast("int"))
     starts = F.when(F.col("_new") == 1, F.col(ordinal))
-    carry = rows.groupBy(*_keys(t)).agg(F.sum("_new").alias("_g"), F.max(starts).alias("_st"))
+    heads = [F.min_by("_new", F.struct(at, "_new")).alias("_head")] if alone else []
+    carry = rows.groupBy(*_keys(t)).agg(F.sum("_new").alias("_g"), F.max(starts).alias("_st"), *heads)
+    heads = [F.lead("_head").over(W.partitionBy(*t.by).orderBy("_blk")).alias("_next")] if alone else []
     carry = carry.select(*_keys(t), F.coalesce(F.sum("_g").over(_before(t)), F.lit(0)).alias("_go"),
-                         F.max("_st").over(_before(t)).alias("_so"))
+                         F.max("_st").over(_before(t)).alias("_so"), *heads)
     w0 = w.rowsBetween(W.unboundedPreceding, 0)
     out = rows.join(carry, _keys(t))
+    if alone:
+        # the capture's last row has no next one to go on with its run
+        ends = F.coalesce(F.lead("_new").over(w), F.col("_next"), F.lit(1)) == 1
+        out = out.withColumn(alone, (F.col("_new") == 1) & ends).drop("_next")
     return (out.withColumn(group, (F.col("_go") + F.sum("_new").over(w0) - 1 + start).cast("bigint"))
             .withColumn(first, F.coalesce(F.max(starts).over(w0), F.col("_so")))
             .drop("_blk", "_k", "_off", "_carry", "_prev", "_new", "_go", "_so"))

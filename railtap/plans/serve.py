@@ -17,7 +17,7 @@ from railtap.operators.merge import CHUNK_ROWS, group_sketch, groups, merge_onli
 from railtap.operators.order import Track, with_ordinal
 from railtap.operators.windows import compact, dense_cells, sliding
 from railtap.schema import MERGE_PROTOCOLS, MISSING, OUT_OF_RANGE
-from railtap.session import checkpoint
+from railtap.session import checkpoint, condensed
 
 _CONTEXT = ["protocol", "timestamp", "sip", "dip", "src_asset", "dst_asset"]
 
@@ -29,49 +29,76 @@ def merged_packets(packets: DataFrame, t: Track, order: str, protocols=MERGE_PRO
     ``sketch`` holds what the features need of a group's lists; the list fields
     themselves are those of the group's first chunk.  The envelope's time, where
     packets have one (``meta.packet_ts_ms``), is the time of the merge key.
+
+    A packet that is all of its group is its own merge and has no lists, so its
+    sketch is null; only the others are dealt out by group.
     """
     if key is None:
         envelope = "meta" in packets.columns
         key = online_key(packets, protocols, ts_ms="meta.packet_ts_ms" if envelope else None)
-    grouped = checkpoint(packets.sparkSession, groups(packets, t, key), "grouped")
-    merged = merge_online(grouped, t.by, order, protocols, chunk_rows, written=True).where("chunk = 0").drop("chunk")
-    merged = merged.join(group_sketch(grouped, t.by, protocols, chunk_rows), [*t.by, "merge_event_id"], "left")
+    grouped = checkpoint(packets.sparkSession, groups(packets, t, key, alone="_alone"), "grouped")
+    alone, several = grouped.where("_alone").drop("_alone"), grouped.where("NOT _alone").drop("_alone")
+    merged = merge_online(several, t.by, order, protocols, chunk_rows, written=True).where("chunk = 0").drop("chunk")
+    merged = merged.join(group_sketch(several, t.by, protocols, chunk_rows), [*t.by, "merge_event_id"], "left")
+    alone = alone.withColumns({"raw_count": F.lit(1), "sketch": F.lit(None)})
+    merged = merged.unionByName(alone.select(*[F.col(f.name).cast(f.dataType) for f in merged.schema]))
     return merged.withColumn("i", F.col("merge_event_id") - 1)   # groups are numbered without gaps
 
 
-def feature_windows(rows: DataFrame, capture: str, fitted: Fitted, features: list[str], size: int, step: int,
-                    missing: float = OUT_OF_RANGE, tail: str = "drop", extra: dict | None = None) -> DataFrame:
-    """Windows of feature vectors ``x`` with the last packet's context; ``extra`` adds window aggregates.
-
-    ``rows`` are packets with position ``i``.
-    """
+def feature_cells(rows: DataFrame, capture: str, fitted: Fitted, features: list[str], missing: float = OUT_OF_RANGE,
+                  extra: dict | None = None) -> DataFrame:
+    """Capture, position ``i``, feature vector and context of every packet; ``rows`` are packets with position ``i``."""
     context = [c if c in rows.columns else None for c in _CONTEXT]
     rows = rows.withColumn("_last", F.struct(*[(F.col(c) if c else F.lit(None).cast("string")).alias(n)
                                                for n, c in zip(_CONTEXT, context)]))
     more = {f"_x_{n}": e for n, (_, e) in (extra or {}).items()}
     rows = rows.withColumns(more) if more else rows
     feats = featurise(rows, fitted, [capture, "i", "_last", *more])
-    cells = feats.select(capture, "i", "_last", *more, dense_cells(features, missing).alias("_v"))
+    return feats.select(capture, "i", "_last", *more, dense_cells(features, missing).alias("_v"))
+
+
+def cell_windows(cells: DataFrame, capture: str, size: int, step: int, tail: str = "drop", extra: dict | None = None) -> DataFrame:
+    """Windows over :func:`feature_cells`: feature vectors ``x`` with the last packet's context and the ``extra`` aggregates."""
     aggs = {"x": ("rows", F.col("_v")), "last": ("last", F.col("_last"))}
     aggs |= {n: (kind, F.col(f"_x_{n}")) for n, (kind, _) in (extra or {}).items()}
     return sliding(cells, capture, "i", size, step, aggs, tail=tail)
 
 
+def feature_windows(rows: DataFrame, capture: str, fitted: Fitted, features: list[str], size: int, step: int,
+                    missing: float = OUT_OF_RANGE, tail: str = "drop", extra: dict | None = None) -> DataFrame:
+    """Windows of feature vectors ``x`` with the last packet's context; ``extra`` adds window aggregates.
+
+    ``rows`` are packets with position ``i``.
+    """
+    return cell_windows(feature_cells(rows, capture, fitted, features, missing, extra), capture, size, step, tail, extra)
+
+
+def merged_cells(packets: DataFrame, t: Track, order: str, fitted: Fitted, features: list[str]) -> DataFrame:
+    """Feature cells of the merged packets, written: narrow, and all that windows of any step read of a capture."""
+    return condensed(packets.sparkSession, lambda: feature_cells(
+        merged_packets(packets, t, order), t.by[0], fitted, features), "cells")
+
+
 def serve(packets: DataFrame, t: Track, order: str, fitted: Fitted, features: list[str],
           reconstruct: Callable[[DataFrame], DataFrame], classify: Callable[[DataFrame], DataFrame] | None = None,
           labels: list[str] | None = None, size: int = 80, step: int = 5, threshold: float = SERVING_THRESHOLD,
-          weights: list[float] | None = None, always_classify: bool = True) -> DataFrame:
+          weights: list[float] | None = None, always_classify: bool = True, cells: DataFrame | None = None) -> DataFrame:
     """Verdict of every full window of a capture.
 
+    ``cells`` are the packets' :func:`merged_cells`, where the caller has them already.
+
     ``reconstruct`` adds ``xh`` to windows holding ``x``; ``classify`` adds the
     class probabilities ``probs`` to windows holding the compacted ``seq``.
     Without ``always_classify`` it is given the anomalous windows only.
     """
     capture = t.by[0]
-    w = feature_windows(merged_packets(packets, t, order), capture, fitted, features, size, step)
     keys = [capture, "window_id"]
+    if cells is None:
+        cells = merged_cells(packets, t, order, fitted, features)
+    w = cell_windows(cells, capture, size, step)
     scored = reconstruct(w).withColumn("_se", SC.squared_errors(F.col("x"), F.col("xh"), weights))
-    scored = scored.select(*keys, "start", "end", "last", "x", SC.error_serve(F.col("x"), F.col("_se")).alias("mse"),
+    x = ["x"] if classify else []   # the pattern model alone reads the windows again
+    scored = scored.select(*keys, "start", "end", "last", *x, SC.error_serve(F.col("x"), F.col("_se")).alias("mse"),
                            SC.temporal_error_max(F.col("_se")).alias("temporal_error_max"),
                            SC.top_feature_errors(F.col("_se"), features).alias("feature_error"))
     scored = scored.withColumn("threshold", F.lit(float(threshold))) \

@@ -1,7 +1,9 @@
 """Merging and matching against plain loops."""
 
 import json
+import os
 import random
+import time
 from collections import defaultdict, deque
 
 import pytest
@@ -11,6 +13,7 @@ from railtap.operators import match as M
 from railtap.operators import features as X
 from railtap.operators import merge as G
 from railtap.operators.order import track
+from railtap import session
 from railtap.plans import serve as SV
 
 COLS = "cap string, seq bigint, protocol string, timestamp string, sq string, modbus_fc string, modbus_regs_val string, modbus_regs_translated_addr string, xgt_fen_data string"
@@ -123,6 +126,61 @@ def test_sketch_gives_the_features_of_the_merged_lists(spark, chunk_rows):
     assert got == want and max(x[1] for x in want) > 20
 
 
+def serving_packets(spark, n=240, seed=5):
+    """Two captures of packets, most of them a group of their own, some a run of equal keys."""
+    r = random.Random(seed)
+    rows, key = [], None
+    for i in range(n):
+        if r.random() < 0.7 or key is None:
+            key = (r.choice("ab"), r.choice(["modbus", "xgt_fen", "arp", "dns"]), f"2024-01-01T00:00:{i % 60:02d}", str(i))
+        rows.append((key[0], i, *key[1:], r.choice(["request", "response"]), f"10.0.0.{i % 5}", "m", f"10.0.1.{i % 3}", "n", str(i % 9),
+                     r.choice(["6", "3", None]), r.choice(["05 00", "0A0B", None])))
+    return spark.createDataFrame(rows, "capture string, seq bigint, protocol string, timestamp string, sq string, dir string, sip string,"
+                                 " smac string, dip string, dmac string, len string, modbus_fc string, xgt_fen_data string").repartition(3)
+
+
+@pytest.mark.parametrize("block", [7, 1000])
+def test_packets_without_a_group_merge_as_in_one(spark, block):
+    p = serving_packets(spark)
+    t = track("capture", "seq", block)
+    whole = G.merge_online(G.groups(p, t, G.online_key(p)), "capture", "seq").drop("chunk")
+    got = SV.merged_packets(p, t, "seq")
+    assert got.drop("sketch", "i").dtypes == whole.dtypes
+    rows = lambda df: sorted(map(str, df.select(whole.columns).collect()))
+    assert rows(got) == rows(whole) and {r["raw_count"] > 1 for r in got.collect()} == {True, False}
+    assert {(r["raw_count"] > 1) for r in got.where("sketch IS NOT NULL").collect()} == {True}
+
+
+def test_serving_merges_a_capture_once_and_keeps_only_what_is_read(spark, monkeypatch):
+    p = serving_packets(spark)
+    t, fitted, features = track("capture", "seq", 50), X.fit(p), ["protocol", "len_norm", "modbus_fc_norm", "xgt_data_mean_byte"]
+    paths, fresh = [], session.fresh_path
+    monkeypatch.setattr(session, "fresh_path", lambda spark, name: paths.append((name, fresh(spark, name))) or paths[-1][1])
+    serve = lambda **more: SV.serve(p, t, "seq", fitted, features, lambda d: d.withColumn("xh", F.transform("x", lambda r: F.transform(
+        r, lambda v: v / 2))), size=8, step=4, **more).select("capture", "seq_id", "start", "end", "alert", "summary.anomaly_score")
+    one = sorted(map(str, serve().collect()))
+    assert len(one) > 20 and [n for n, _ in paths] == ["grouped", "features", "cells", "scored"]
+    assert [n for n, at in paths if os.path.exists(at)] == ["cells", "scored"]
+    paths.clear()
+    cells = SV.merged_cells(p, t, "seq", fitted, features)
+    assert sorted(map(str, serve(cells=cells).collect())) == one and [n for n, _ in paths].count("grouped") == 1
+
+
+def test_a_checkpoint_leaves_no_shuffle_files(spark):
+    disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def shuffles():
+        files = disk.getAllFiles()
+        return {files.apply(i).getName() for i in range(files.size()) if files.apply(i).getName().startswith("shuffle_")}
+
+    before = shuffles()
+    kept = session.checkpoint(spark, spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count())
+    until = time.time() + 20   # the files go in the background
+    while (left := shuffles() - before) and time.time() < until:
+        time.sleep(0.2)
+    assert not left and kept.count() == 7
+
+
 def test_no_lists_cross_the_window_over_chunks(spark):
     _, df = packets(spark)
     g = G.groups(df, track("cap", "seq", 50), G.offline_key(df))

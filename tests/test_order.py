@@ -1,6 +1,7 @@
 """Ordered operators: block edges, hot captures, partition independence."""
 
 import random
+from collections import Counter
 
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -57,6 +58,15 @@ def test_islands(spark, block):
     assert got == want
 
 
+@pytest.mark.parametrize("block", [1, 5, 64, 10_000])
+def test_islands_of_one_row(spark, block):
+    rows = sample()
+    got = O.islands(frame(spark, rows), O.track("cap", "seq", block), F.col("key"), alone="alone").collect()
+    sizes = Counter((r["cap"], r["group_id"]) for r in got)
+    assert all(r["alone"] == (sizes[r["cap"], r["group_id"]] == 1) for r in got)
+    assert {r["alone"] for r in got} == {True, False}
+
+
 @pytest.mark.parametrize("block", [3, 50])
 def test_running_sum_and_neighbours(spark, block):
     rows = sample()
